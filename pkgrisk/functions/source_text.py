@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgrisk.functions.let import let
+
 _PLAIN = (  # any other word, number or punctuation; a run of them is one token
     r"(?:(?!(?:pub|crate|super|self|in|async|const|default|unsafe|extern|mod|fn|impl|trait)\b)"
     r"(?!b?r?#*[\"'])\w++|[^\s\w{}()\[\];\"'/#]++)"
@@ -87,11 +89,6 @@ def _cover(first: Column, last: Column, done: Column) -> Column:
     return F.greatest(last - F.greatest(first, done + 1) + 1, F.lit(0).cast("bigint"))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _step(s: Column, t: Column) -> Column:
     k, line, depth = t["k"], s["line"], s["depth"]
     newline = k == _NEWLINE
@@ -125,7 +122,7 @@ def _step(s: Column, t: Column) -> Column:
         (counts & in_test).alias("to_test"),
         (counts & (~in_test | outer_code)).alias("to_code"),
     )
-    return _let(facts, lambda b: _advance(s, t, b))
+    return let(facts, lambda b: _advance(s, t, b))
 
 
 def _advance(s: Column, t: Column, b: Column) -> Column:

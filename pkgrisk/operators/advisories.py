@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pkgrisk.functions.let import let
 from pkgrisk.functions.semver import precedence_key, requirement_interval
 
 # Counter names, in report order.
@@ -33,33 +34,46 @@ def cvss_base_score(vector: Column) -> Column:
     def letter(metric: str) -> Column:
         return F.regexp_extract(vector, rf"/{metric}:([A-Z])(/|$)", 1)
 
-    def weight(metric: str, table: str) -> Column:
-        out = F.lit(None).cast("double")
-        for k, w in _WEIGHTS[table].items():
-            out = F.when(letter(metric) == k, F.lit(w)).otherwise(out)
-        return out
-
-    changed = letter("S") == "C"
-    privileges = F.when(changed, weight("PR", "PR_CHANGED")).otherwise(weight("PR", "PR"))
-    kept = (1 - weight("C", "CIA")) * (1 - weight("I", "CIA")) * (1 - weight("A", "CIA"))
-    iss = 1 - kept
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    exploitability = 8.22 * weight("AV", "AV") * weight("AC", "AC") * privileges * weight("UI", "UI")
-    raw = F.least(F.when(changed, 1.08 * (impact + exploitability)).otherwise(impact + exploitability), F.lit(10.0))
-    scaled = F.round(raw * 100000).cast("bigint")
-    rounded_up = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
-    score = F.when(impact <= 0, F.lit(0.0)).otherwise(rounded_up)
+    def weight(table: str, key: Column) -> Column:
+        pairs = [F.lit(x) for item in _WEIGHTS[table].items() for x in item]
+        return F.try_element_at(F.create_map(*pairs), key)
+
+    read = F.struct(
+        (letter("S") == "C").alias("changed"),
+        letter("PR").alias("pr"),
+        (8.22 * weight("AV", letter("AV")) * weight("AC", letter("AC")) * weight("UI", letter("UI"))).alias("ease"),
+        (
+            1 - (1 - weight("CIA", letter("C"))) * (1 - weight("CIA", letter("I"))) * (1 - weight("CIA", letter("A")))
+        ).alias("iss"),
+    )
+
+    def parts(r: Column) -> Column:
+        privileges = F.when(r["changed"], weight("PR_CHANGED", r["pr"])).otherwise(weight("PR", r["pr"]))
+        impact = F.when(
+            r["changed"], 7.52 * (r["iss"] - 0.029) - 3.25 * F.pow(r["iss"] - 0.02, F.lit(15.0))
+        ).otherwise(6.42 * r["iss"])
+        scope = F.when(r["changed"], 1.08).otherwise(1.0)
+        return F.struct(impact.alias("impact"), (r["ease"] * privileges).alias("ease"), scope.alias("scope"))
+
+    def rounded_up(p: Column) -> Column:
+        scaled = F.round(F.least(p["scope"] * (p["impact"] + p["ease"]), F.lit(10.0)) * 100000)
+        return F.when(p["impact"] <= 0, F.lit(0.0)).otherwise(F.ceil(scaled / 10000) / 10.0)
+
+    score = let(let(read, parts), rounded_up)
     return F.when(vector.startswith("CVSS:3") & letter("S").isin("U", "C"), score)
 
 
 def severity(score: Column) -> Column:
-    return (
-        F.when(score <= 0, "none")
-        .when(score < 4, "low")
-        .when(score < 7, "medium")
-        .when(score < 9, "high")
-        .when(score.isNotNull(), "critical")
-    )
+    def band(s: Column) -> Column:
+        return (
+            F.when(s <= 0, "none")
+            .when(s < 4, "low")
+            .when(s < 7, "medium")
+            .when(s < 9, "high")
+            .when(s.isNotNull(), "critical")
+        )
+
+    return let(score, band)
 
 
 def advisory_class(informational: Column, severity_text: Column, cvss: Column) -> Column:
@@ -68,9 +82,10 @@ def advisory_class(informational: Column, severity_text: Column, cvss: Column) -
     Informational advisories never count as vulnerabilities.
     """
     known = F.coalesce(F.lower(severity_text), severity(cvss_base_score(cvss)))
+    counted = let(known, lambda k: F.when(k.isin("low", "medium", "high", "critical"), k))
     return F.when(
         informational.isNotNull(), F.when(informational.isin(*INFORMATIONAL), informational)
-    ).otherwise(F.when(known.isin("low", "medium", "high", "critical"), known))
+    ).otherwise(counted)
 
 
 def classified(advisories: DataFrame) -> DataFrame:

@@ -25,7 +25,10 @@ COUNT_FAMILIES = ("issues_opened", "issues_closed", "prs_opened", "prs_merged",
 OPEN_SERIES = ("open_issue_age", "open_pr_age")
 CLOSED_SERIES = ("closed_issue_age", "merged_pr_age")
 
-_IS_PR = F.col("pull_request").isNotNull
+def _is_pr() -> Column:
+    return F.col("pull_request").isNotNull()
+
+
 _MERGED = "pull_request.merged_at"
 
 
@@ -54,7 +57,7 @@ def lookback(
 
 def issue_counts(issues: DataFrame, now: Column, days: Sequence[int] = WINDOW_DAYS) -> DataFrame:
     """Open counts and the five windowed families in one pass."""
-    is_pr, is_open = _IS_PR(), F.col("state") == "open"
+    is_pr, is_open = _is_pr(), F.col("state") == "open"
     created, closed, merged = F.col("created_at"), F.col("closed_at"), F.col(_MERGED)
     return issues.groupBy("repo").agg(
         F.count_if(~is_pr & is_open).alias("open_issues"),
@@ -75,7 +78,7 @@ def issue_ages(
     An issue is counted once per series with the narrowest window it falls in;
     the nested windows are unrolled on the day histogram, not on the issues.
     """
-    is_pr, is_open = _IS_PR(), F.col("state") == "open"
+    is_pr, is_open = _is_pr(), F.col("state") == "open"
     created, closed, merged = F.col("created_at"), F.col("closed_at"), F.col(_MERGED)
     everything = len(days)
 

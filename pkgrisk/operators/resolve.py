@@ -37,9 +37,10 @@ def deduplicate(requests: DataFrame) -> DataFrame:
 def latest_versions(versions: DataFrame) -> DataFrame:
     """Greatest version per package; pre-releases and yanked versions included."""
     others = [c for c in versions.columns if c != "crate_id"]
+    ids = [c for c in ("id", "version_id") if c in others]
     return (
         versions.groupBy("crate_id")
-        .agg(F.max_by(F.struct(*others), semver_key(F.col("num"))).alias("_v"))
+        .agg(F.max_by(F.struct(*others), F.struct(semver_key(F.col("num")), *ids)).alias("_v"))
         .select("crate_id", "_v.*")
     )
 
