@@ -73,7 +73,7 @@ def precedence_key(c: Column) -> Column:
     """Order key without build metadata; NULL for malformed text."""
     pre = _part(c, 4)
     tail = F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre))
-    return F.when(is_semver(c), F.concat(semver_base(c), tail))
+    return F.when(c.rlike(SEMVER_PATTERN), F.concat(semver_base(c), tail))
 
 
 def semver_key(c: Column) -> Column:

@@ -214,7 +214,7 @@ def default_metrics(spark: SparkSession) -> DataFrame:
 def format_value(metric: Metric, value: Column) -> Column:
     """Report text: floats with two decimals, dates without time, lists joined."""
     if metric.kind == REAL:
-        return F.format_number(value, "0.00")
+        return F.call_function("format_number", value, F.lit("0.00"))
     if metric.kind == TIME:
         return F.date_format(value, "yyyy-MM-dd")
     if metric.kind == LIST:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.stats import WINDOW_DAYS, window_counts
-from pkgrisk.operators.resolve import FOUND
 
 RECENT_MONTHS = 3  # fixed value: month buckets that make "the last 90 days"
 _MONTHS = "array<struct<month: date, downloads: bigint>>"
@@ -138,13 +137,14 @@ def docs_link(documentation: Column, name: Column, version: Column) -> Column:
     ).otherwise(F.concat(F.lit("https://docs.rs/"), name, F.lit("/"), version))
 
 
-def registry_facts(registry: Registry, resolved: DataFrame, now: Column) -> DataFrame:
-    """``name, version, repository, registry`` for every request that was found.
+def registry_facts(registry: Registry, packages: DataFrame, now: Column) -> DataFrame:
+    """``name, version, registry`` for ``packages(name, version, crate_id, version_id)``.
 
-    Ids are resolved first; every aggregate reads only the requested packages
-    (semi joins on the id list) and arrives partitioned on the join key.
+    Every aggregate reads only the requested packages (semi joins on the id
+    list) and arrives partitioned on the join key.  ``packages`` is read many
+    times, so hand in a written table.
     """
-    hits = resolved.filter(F.col("status") == FOUND).select("name", "version", "crate_id", "version_id")
+    hits = packages.select("name", "version", "crate_id", "version_id")
     ids = hits.select("crate_id").distinct()
     r = registry
     versions = only(r.versions, ids, "crate_id")
@@ -171,7 +171,6 @@ def registry_facts(registry: Registry, resolved: DataFrame, now: Column) -> Data
     people = F.array().cast("array<struct<login: string, kind: string, display_name: string>>")
     overall = overall.select(
         "crate_id",
-        "repository",
         F.struct(
             "created_at",
             "updated_at",
@@ -213,7 +212,6 @@ def registry_facts(registry: Registry, resolved: DataFrame, now: Column) -> Data
         .select(
             "name",
             "version",
-            "repository",
             F.struct("version_facts", "overall").alias("registry"),
         )
     )

@@ -26,7 +26,7 @@ def status_text(appraisal: Column) -> Column:
     return F.concat(
         appraisal["risk"],
         F.lit(" RISK (score = "),
-        F.format_number(appraisal["score"], "0"),
+        F.call_function("format_number", appraisal["score"], F.lit("0")),
         F.lit(", awarded points = "),
         appraisal["awarded"].cast("string"),
         F.lit(", available points = "),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,9 @@ from pkgrisk.operators.facts import for_packages, merge_facts
 from pkgrisk.operators.graph import closure_facts, closure_requests, select_roots
 from pkgrisk.operators.metrics import metrics_wide
 from pkgrisk.operators.registry import Registry, registry_facts
-from pkgrisk.operators.resolve import deduplicate_specs, resolve, with_suggestions
+from pkgrisk.operators.resolve import analysable, deduplicate_specs, resolve, with_suggestions
 from pkgrisk.operators.rules import appraise, should_appraise
+from pkgrisk.session import Scratch
 from pkgrisk.sources.policy import Policy
 
 
@@ -33,15 +34,37 @@ class Sources:
     codebase: DataFrame | None = None
     coverage: DataFrame | None = None
     docs: DataFrame | None = None
-    extra: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def gather(resolved: DataFrame, registry: Registry, sources: Sources, now: Column) -> DataFrame:
+@dataclass(frozen=True)
+class Identified:
+    """Resolved requests and the packages among them, written once.
+
+    Everything downstream joins these two small tables instead of repeating
+    the resolution in every branch of the plan.
+    """
+
+    resolved: DataFrame
+    packages: DataFrame  # name, version, repo, crate_id, version_id
+
+
+def identify(requests: DataFrame, registry: Registry, repo: Column | None = None) -> Identified:
+    scratch = Scratch(requests.sparkSession, "identified")
+    resolved = scratch.save(resolve(requests, registry.crates, registry.versions), "resolved")
+    home = registry.crates.select(F.col("id").alias("crate_id"), "repository")
+    found = analysable(resolved).join(home, "crate_id").withColumn(
+        "repo", repository(F.col("repository"))["url"] if repo is None else repo
+    )
+    packages = scratch.save(
+        deduplicate_specs(found).select("name", "version", "repo", "crate_id", "version_id"), "packages"
+    )
+    return Identified(resolved, packages)
+
+
+def gather(found: Identified, registry: Registry, sources: Sources, now: Column) -> DataFrame:
     """One facts row per found package."""
-    base = registry_facts(registry, resolved, now).withColumn("repo", repository(F.col("repository")))
-    packages = deduplicate_specs(base).withColumn("repo", F.col("repo.url"))
-    ids = packages.select("name", "version", "repo")
-    providers: dict[str, DataFrame] = dict(sources.extra)
+    ids = found.packages.select("name", "version", "repo")
+    providers: dict[str, DataFrame] = {}
     if sources.advisories is not None:
         providers["advisories"] = advisory_facts(sources.advisories, ids)
     if sources.hosting is not None:
@@ -51,8 +74,8 @@ def gather(resolved: DataFrame, registry: Registry, sources: Sources, now: Colum
     if sources.codebase is not None:
         providers["codebase"] = ids.join(sources.codebase, ["repo", "name"]).select("name", "version", "codebase")
     if sources.docs is not None:
-        providers["docs"] = sources.docs
-    return merge_facts(packages, providers)
+        providers["docs"] = sources.docs.join(ids, ["name", "version"], "left_semi")
+    return merge_facts(registry_facts(registry, found.packages, now), providers)
 
 
 def appraise_packages(
@@ -69,8 +92,9 @@ def appraise_packages(
     ``appraised`` has the metric structs and, if there is anything to judge,
     ``appraisal``; ``resolved`` tells which requests failed and why.
     """
-    resolved = resolve(requests, registry.crates, registry.versions)
-    metrics = metrics_wide(gather(resolved, registry, sources, now))
+    found = identify(requests, registry)
+    resolved = found.resolved
+    metrics = metrics_wide(gather(found, registry, sources, now))
     if should_appraise(policy, gate_requested):
         metrics = appraise(metrics, policy, now)
     if suggestions:

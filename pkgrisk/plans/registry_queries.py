@@ -10,6 +10,7 @@ from pkgrisk.functions.semver import requirement_matches, semver_key
 from pkgrisk.operators import registry as reg
 from pkgrisk.operators import resolve as res
 from pkgrisk.operators.hosting import host_status
+from pkgrisk.plans.appraise import identify
 from pkgrisk.plans.catalog import CRATE_MONTHS, NOW, NUM, query
 from pkgrisk.plans.shadow import Shadow, now
 from pkgrisk.session import Scratch
@@ -496,8 +497,7 @@ LEFT JOIN own ON own.crate_id = c_custkey LEFT JOIN cat ON cat.crate_id = c_cust
 def registry_facts(s: Shadow) -> DataFrame:
     """Everything the registry knows, for the latest version of every package."""
     everyone = s.crates.select("name", F.lit(None).cast("string").alias("version"))
-    resolved = res.resolve(everyone, s.crates, s.versions)
-    f = reg.registry_facts(s.registry, resolved, now())
+    f = reg.registry_facts(s.registry, identify(everyone, s.registry).packages, now())
     v, o = "registry.version_facts", "registry.overall"
     return f.select(
         "name",
