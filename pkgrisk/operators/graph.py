@@ -28,20 +28,26 @@ def derive(seeds: DataFrame, implications: DataFrame, both: DataFrame | None = N
     """
     scratch = Scratch(seeds.sparkSession, label)
     rules = scratch.save(implications.select("src", "dst").distinct(), "rules")
-    pairs = None if both is None else scratch.save(both.select("left", "right", "dst").distinct(), "pairs")
+    pairs = None
+    if both is not None:
+        # Either half may arrive last, so each pair is kept under both.
+        halves = both.select(F.col("left").alias("src"), F.col("right").alias("need"), "dst").unionByName(
+            both.select(F.col("right").alias("src"), F.col("left").alias("need"), "dst")
+        )
+        pairs = scratch.save(halves.distinct(), "pairs")
+        if pairs.isEmpty():
+            pairs = None
     delta = scratch.save(seeds.select("root", "atom").distinct(), "round-0")
     rounds = ["round-0"]
     while not delta.isEmpty():
         seen = scratch.read_all(rounds, delta)
         new = delta.join(rules, delta["atom"] == rules["src"]).select("root", F.col("dst").alias("atom"))
         if pairs is not None:
-            for mine, other in (("left", "right"), ("right", "left")):
-                half = delta.join(pairs, delta["atom"] == pairs[mine]).select(
-                    "root", F.col(other).alias("atom"), "dst"
-                )
-                new = new.unionByName(
-                    half.join(seen, ["root", "atom"], "left_semi").select("root", F.col("dst").alias("atom"))
-                )
+            half = delta.join(pairs, delta["atom"] == pairs["src"]).select(
+                "root", F.col("need").alias("atom"), "dst"
+            )
+            complete = half.join(seen, ["root", "atom"], "left_semi")
+            new = new.unionByName(complete.select("root", F.col("dst").alias("atom")))
         # Candidates are written first: with their size known, the lookup in the
         # ever growing facts is a broadcast semi join whenever they are few.
         found = scratch.save(new.distinct(), f"candidates-{len(rounds)}")
@@ -85,10 +91,10 @@ def expand_features(package_features: DataFrame, enabled: DataFrame) -> DataFram
     """All features ``enabled(pkg_id, feature)`` switches on inside each package."""
     step = package_features.filter(is_plain(F.col("activation")))
     found = derive(
-        enabled.select(F.col("pkg_id").cast("string").alias("root"), _feature("", F.col("pkg_id"), F.col("feature")).alias("atom")),
+        enabled.select(F.col("pkg_id").cast("string").alias("root"), _feature(F.lit(_PLAIN), F.col("pkg_id"), F.col("feature")).alias("atom")),
         step.select(
-            _feature("", F.col("pkg_id"), F.col("feature")).alias("src"),
-            _feature("", F.col("pkg_id"), F.col("activation")).alias("dst"),
+            _feature(F.lit(_PLAIN), F.col("pkg_id"), F.col("feature")).alias("src"),
+            _feature(F.lit(_PLAIN), F.col("pkg_id"), F.col("activation")).alias("dst"),
         ),
         label="features",
     )
@@ -143,13 +149,17 @@ def edge_declarations(
     )
 
 
-def activators(edges: DataFrame, package_features: DataFrame) -> DataFrame:
+_EDGE_KEY = ("pkg_id", "dep_lib_name", "dep_pkg_id", "edge_kind")
+
+
+def activators(edges: DataFrame, package_features: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """``pkg_id, dep_lib_name, dep_pkg_id, edge_kind, feature`` that switch an optional edge on.
 
     Either the feature carries the dependency's name, or one of its activations
-    is ``dep:x``, ``x/...`` or ``x``.  ``x?/...`` alone does not.
+    is ``dep:x``, ``x/...`` or ``x``.  ``x?/...`` alone does not.  ``also``
+    names further edge columns to carry along.
     """
-    key = ["pkg_id", "dep_lib_name", "dep_pkg_id", "edge_kind"]
+    key = [*_EDGE_KEY, *also]
     optional = edges.filter("optional").select(*key)
     lib, act = F.col("dep_lib_name"), F.col("activation")
     target = F.when(act.startswith("dep:"), F.substring(act, 5, 1 << 20)).when(
@@ -173,7 +183,7 @@ def active_optional(edges: DataFrame, package_features: DataFrame, enabled: Data
     )
 
 
-def _passed_on(edges: DataFrame, package_features: DataFrame) -> DataFrame:
+def _passed_on(edges: DataFrame, package_features: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """``x/f`` and ``x?/f`` of the parent: feature -> feature of the dependency."""
     act = F.col("activation")
     label = F.regexp_replace(F.substring_index(act, "/", 1), r"\?$", "")
@@ -184,13 +194,13 @@ def _passed_on(edges: DataFrame, package_features: DataFrame) -> DataFrame:
         F.expr("substring(activation, instr(activation, '/') + 1)").alias("dep_feature"),
     )
     return edges.filter("declared").select(
-        "pkg_id", "label", "dep_lib_name", "dep_pkg_id", "edge_kind", "optional"
+        *_EDGE_KEY, *also, "label", "optional"
     ).join(passing, ["pkg_id", "label"])
 
 
 def dependency_features(edges: DataFrame, package_features: DataFrame, enabled: DataFrame) -> DataFrame:
     """``pkg_id, dep_lib_name, dep_pkg_id, edge_kind, feature`` handed to each dependency."""
-    key = ["pkg_id", "dep_lib_name", "dep_pkg_id", "edge_kind"]
+    key = list(_EDGE_KEY)
     known = edges.filter("declared")
     default = known.filter("uses_default_features").select(*key, F.lit("default").alias("feature"))
     stated = known.select(*key, F.explode("features").alias("feature"))
@@ -205,57 +215,63 @@ def dependency_features(edges: DataFrame, package_features: DataFrame, enabled:
 # --------------------------------------------------------------------------
 # The closure as implications
 
+# An atom is (space, kind, package, ...).  Kinds: V the package is needed, F a
+# feature is on, E an edge is taken.  The plain space "" holds packages reached
+# over any number of hops; each dependency type has a space for its roots, whose
+# edges lead into the plain space.
 _SEP = "\x1f"
+_PLAIN = ""
 
 
-def _atom(space: str, kind: str, *parts: Column) -> Column:
-    return F.concat_ws(_SEP, F.lit(space), F.lit(kind), *[p.cast("string") for p in parts])
+def _atom(space: Column, kind: str, *parts: Column) -> Column:
+    return F.concat_ws(_SEP, space, F.lit(kind), *[p.cast("string") for p in parts])
 
 
-def _visited(space: str, pkg: Column) -> Column:
+def _visited(space: Column, pkg: Column) -> Column:
     return _atom(space, "V", pkg)
 
 
-def _feature(space: str, pkg: Column, feature: Column) -> Column:
+def _feature(space: Column, pkg: Column, feature: Column) -> Column:
     return _atom(space, "F", pkg, feature)
 
 
-def _edge(space: str) -> Column:
+def _edge(space: Column) -> Column:
     return _atom(space, "E", F.col("pkg_id"), F.col("dep_lib_name"), F.col("dep_pkg_id"))
 
 
-def _rules(space: str, edges: DataFrame, package_features: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Implications for packages in ``space``; what they lead to is in the plain space."""
-    pkg, dep = F.col("pkg_id"), F.col("dep_pkg_id")
-    plain = package_features.filter(is_plain(F.col("activation")))
-    passed = _passed_on(edges, package_features)
+def _rules(edges: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Single and paired implications; ``edges`` and ``features`` carry their ``space``."""
+    space, plain = F.col("space"), F.lit(_PLAIN)
+    pkg, dep, feature = F.col("pkg_id"), F.col("dep_pkg_id"), F.col("feature")
+    declared = features.select("pkg_id", "feature", "activation").distinct()
+    passed = _passed_on(edges, declared, ("space",))
+    taken, on = _edge(space), _feature(space, pkg, feature)
+    handed = _feature(plain, dep, F.col("dep_feature"))
+    # What a taken edge brings: the package, its default feature, stated features.
+    brought = F.array_compact(
+        F.concat(
+            F.array(
+                _visited(plain, dep),
+                F.when(F.col("uses_default_features"), _feature(plain, dep, F.lit("default"))),
+            ),
+            F.transform("features", lambda f: _feature(plain, dep, f)),
+        )
+    )
+    weak = passed.filter("optional")
+    waits = weak.select(*_EDGE_KEY, "space").distinct()
+    switches = activators(edges, declared, ("space", "uses_default_features", "features"))
     rules = [
-        plain.select(
-            _feature(space, pkg, F.col("feature")).alias("src"),
-            _feature(space, pkg, F.col("activation")).alias("dst"),
-        ),
-        edges.filter("not optional").select(_visited(space, pkg).alias("src"), _edge(space).alias("dst")),
-        activators(edges, package_features).select(
-            _feature(space, pkg, F.col("feature")).alias("src"), _edge(space).alias("dst")
-        ),
-        edges.select(_edge(space).alias("src"), _visited("", dep).alias("dst")),
-        edges.filter("uses_default_features").select(
-            _edge(space).alias("src"), _feature("", dep, F.lit("default")).alias("dst")
-        ),
-        edges.select("*", F.explode("features").alias("f")).select(
-            _edge(space).alias("src"), _feature("", dep, F.col("f")).alias("dst")
-        ),
-        passed.filter("not optional").select(
-            _feature(space, pkg, F.col("feature")).alias("src"),
-            _feature("", dep, F.col("dep_feature")).alias("dst"),
+        features.filter(is_plain(F.col("activation"))).select(
+            on.alias("src"), _feature(space, pkg, F.col("activation")).alias("dst")
         ),
+        edges.filter("not optional").select(_visited(space, pkg).alias("src"), F.explode(brought).alias("dst")),
+        switches.select(on.alias("src"), F.explode(brought).alias("dst")),
+        passed.filter("not optional").select(on.alias("src"), handed.alias("dst")),
+        # That an edge is taken matters by itself only where something waits for it.
+        switches.join(waits, [*_EDGE_KEY, "space"], "left_semi").select(on.alias("src"), taken.alias("dst")),
     ]
-    both = passed.filter("optional").select(
-        _feature(space, pkg, F.col("feature")).alias("left"),
-        _edge(space).alias("right"),
-        _feature("", dep, F.col("dep_feature")).alias("dst"),
-    )
-    return rules, both
+    both = weak.select(on.alias("left"), taken.alias("right"), handed.alias("dst"))
+    return reduce(DataFrame.unionByName, rules), both
 
 
 def select_roots(packages: DataFrame, names: Sequence[str] = (), workspace: bool = False) -> DataFrame:
@@ -291,28 +307,38 @@ def closure_facts(
     Optional edges need an active feature; features travel along the edges.
     """
     wanted = [t for t in KINDS if not types or t in types]
-    root_ids = roots.select("pkg_id").distinct()
-    all_edges = edge_declarations(resolve_edges, package_deps, normalize_names=normalize_names)
-    normal = all_edges.filter(F.col("edge_kind") == KINDS["standard"])
-    rules, both = _rules("", normal, package_features)
-    pairs, seeds = [both], []
-    for t in wanted:
-        mine = all_edges.filter(F.col("edge_kind") == KINDS[t]).join(root_ids, "pkg_id", "left_semi")
-        features = package_features.join(root_ids, "pkg_id", "left_semi")
-        r, b = _rules(t, mine, features)
-        rules += r
-        pairs.append(b)
-        key = F.concat_ws(_SEP, F.lit(t), F.col("pkg_id").cast("string")).alias("root")
-        seeds.append(root_ids.select(key, _visited(t, F.col("pkg_id")).alias("atom")))
-        seeds.append(
-            resolve_features.join(root_ids, "pkg_id", "left_semi").select(
-                key, _feature(t, F.col("pkg_id"), F.col("feature")).alias("atom")
-            )
+    scratch = Scratch(roots.sparkSession, "closure-input")
+    marked = roots.select("pkg_id").distinct().withColumn("is_root", F.lit(True))
+    is_root = F.coalesce("is_root", F.lit(False))
+
+    def spread(df: DataFrame, spaces: Column) -> DataFrame:
+        return df.join(marked, "pkg_id", "left").withColumn("space", F.explode(F.array_compact(spaces))).drop("is_root")
+
+    kind = F.col("edge_kind")
+    edges = scratch.save(
+        spread(
+            edge_declarations(resolve_edges, package_deps, normalize_names=normalize_names),
+            F.array(
+                F.when(kind == KINDS["standard"], _PLAIN),
+                *[F.when(is_root & (kind == KINDS[t]), t) for t in wanted],
+            ),
+        ),
+        "edges",
+    )
+    features = scratch.save(
+        spread(package_features, F.array(F.lit(_PLAIN), *[F.when(is_root, t) for t in wanted])), "features"
+    )
+    root_types = roots.select("pkg_id").distinct().withColumn("type", F.explode(F.array(*[F.lit(t) for t in wanted])))
+    key = F.concat_ws(_SEP, F.col("type"), F.col("pkg_id").cast("string")).alias("root")
+    seeds = root_types.select(key, _visited(F.col("type"), F.col("pkg_id")).alias("atom")).unionByName(
+        root_types.join(resolve_features, "pkg_id").select(
+            key, _feature(F.col("type"), F.col("pkg_id"), F.col("feature")).alias("atom")
         )
-    union = DataFrame.unionByName
-    facts = derive(reduce(union, seeds), reduce(union, rules), reduce(union, pairs), label="closure")
+    )
+    rules, both = _rules(edges, features)
+    facts = derive(seeds, rules, both, label="closure")
     parts = F.split("atom", _SEP)
-    return facts.filter((F.get(parts, F.lit(0)) == "") & (F.get(parts, F.lit(1)) == "V")).select(
+    return facts.filter((F.get(parts, F.lit(0)) == _PLAIN) & (F.get(parts, F.lit(1)) == "V")).select(
         F.substring_index("root", _SEP, -1).alias("root"),
         F.substring_index("root", _SEP, 1).alias("type"),
         F.get(parts, F.lit(2)).alias("pkg_id"),
