@@ -148,12 +148,22 @@ def _layout(lengths: DataFrame) -> DataFrame:
     )
 
 
+def _letters(text: str) -> Column:
+    """The set of characters as bits.  An edit changes at most two of them."""
+    return F.aggregate(
+        F.split(text, ""),
+        F.lit(0).cast("bigint"),
+        lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 64)),
+    )
+
+
 def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SUGGESTABLE_BYTES) -> DataFrame:
     """All pairs ``wanted, offered, score`` with similarity of at least 0.8.
 
     Both inputs have a ``name``.  Candidates come from an equi join on
-    (length, position, piece), which is lossless (see ``_layout``); a JVM edit
-    distance bound thins them and only the rest reaches the Arrow batches.
+    (length, position, piece), which is lossless (see ``_layout``).  Two cheap
+    lower bounds, on the letters used and on the plain edit distance, thin them
+    inside the join stage and only the rest reaches the Arrow batches.
     """
     w = (
         wanted.filter(F.octet_length("name") >= min_bytes)
@@ -161,12 +171,14 @@ def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SU
         .distinct()
         .withColumn("w", normalize_name(F.col("wanted")))
         .withColumn("wanted_len", F.length("w"))
+        .withColumn("w_letters", _letters("w"))
     )
     o = (
         offered.select(F.col("name").alias("offered"))
         .distinct()
         .withColumn("o", normalize_name(F.col("offered")))
         .withColumn("offered_len", F.length("o"))
+        .withColumn("o_letters", _letters("o"))
     )
     layout = _layout(w.select("wanted_len").distinct())
     spots = layout.select("offered_len", "at", "cut_len").distinct()
@@ -176,21 +188,18 @@ def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SU
 
     asked = w.join(layout, "wanted_len").withColumn("piece", piece("w", "cut_at"))
     held = o.join(spots, "offered_len").withColumn("piece", piece("o", "at"))
-    near = asked.join(held, ["offered_len", "at", "cut_len", "piece"]).filter(
-        F.levenshtein("w", "o") <= 2 * F.col("k")
+    near = (
+        asked.join(held, ["offered_len", "at", "cut_len", "piece"])
+        .filter(F.bit_count(F.col("w_letters").bitwiseXOR(F.col("o_letters"))) <= 2 * F.col("k"))
+        .filter(F.levenshtein("w", "o") <= 2 * F.col("k"))
     )
     longest = F.greatest("wanted_len", "offered_len")
     return (
-        near.select("wanted", "offered", "w", "o", "wanted_len", "offered_len", "k")
-        .distinct()
-        .withColumn("d", edit_distance("w", "o"))
+        near.withColumn("d", edit_distance("w", "o"))
         .filter(F.col("d") <= F.col("k"))
-        .select(
-            "wanted",
-            "offered",
-            F.when(longest == 0, F.lit(1.0))
-            .otherwise(1.0 - F.col("d") / longest)
-            .alias("score"),
+        .groupBy("wanted", "offered")
+        .agg(
+            F.max(F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.col("d") / longest)).alias("score")
         )
     )
 

@@ -229,9 +229,10 @@ def _words(df: DataFrame) -> DataFrame:
 asked AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '{_WORD}')) AS w FROM conversations) WHERE w <> ''),
 a AS (SELECT w, lower(translate(w, '-_ ', '')) AS n FROM asked WHERE length(w) >= 5 AND w NOT IN (SELECT w FROM offered)),
 o AS (SELECT w, lower(translate(w, '-_ ', '')) AS n FROM offered WHERE w NOT IN (SELECT w FROM asked)),
-pairs AS (SELECT a.w AS wanted, o.w AS offered,
-    1 - damerau_levenshtein(a.n, o.n)::DOUBLE / greatest(length(a.n), length(o.n)) AS score
-  FROM a JOIN o ON 5 * abs(length(a.n) - length(o.n)) <= greatest(length(a.n), length(o.n))),
+near AS MATERIALIZED (SELECT a.w AS wanted, o.w AS offered, a.n AS an, o.n AS bn
+  FROM a JOIN o ON 5 * abs(length(a.n) - length(o.n)) <= greatest(length(a.n), length(o.n))
+  WHERE levenshtein(a.n, o.n) <= 2 * (greatest(length(a.n), length(o.n)) // 5)),
+pairs AS (SELECT wanted, offered, 1 - damerau_levenshtein(an, bn)::DOUBLE / greatest(length(an), length(bn)) AS score FROM near),
 best AS (SELECT wanted, offered, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, offered) AS rank
   FROM pairs WHERE score >= 0.8)
 SELECT wanted AS name, string_agg(offered, '|' ORDER BY rank) AS suggestions FROM best WHERE rank <= 3 GROUP BY wanted"""

@@ -66,7 +66,7 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, length, content`` below ``root``, any depth."""
+    """``path, length, content`` below ``root``, any depth; files that are no text drop out."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -76,8 +76,8 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select(
         F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("path"),
         "length",
-        F.decode(F.col("content"), F.lit("UTF-8")).alias("content"),
-    )
+        F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
+    ).filter(F.col("content").isNotNull())
 
 
 def read_docs_json(spark: SparkSession, path: str) -> DataFrame:
