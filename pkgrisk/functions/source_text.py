@@ -76,10 +76,11 @@ def _kind(t: Column) -> Column:
 
 
 def _token(t: Column) -> Column:
+    many = (t != "\n") & F.contains(t, F.lit("\n"))
     return F.struct(
         _kind(t).alias("k"),
-        F.when(t == "\n", 0).otherwise(F.regexp_count(t, F.lit("\n"))).alias("more"),
-        F.regexp_count(t, F.lit(r"\n[ \t\r]*(?=\n)")).alias("blank"),
+        F.when(many, F.regexp_count(t, F.lit("\n"))).otherwise(0).alias("more"),
+        F.when(many, F.regexp_count(t, F.lit(r"\n[ \t\r]*(?=\n)"))).otherwise(0).alias("blank"),
         (t.startswith("/*!") | t.startswith("//!")).alias("inner_comment"),
     )
 

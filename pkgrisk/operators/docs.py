@@ -34,21 +34,30 @@ def parsed(docs_json: DataFrame) -> DataFrame:
 
 
 def items(docs: DataFrame) -> DataFrame:
-    """Public items that are not re-exports: ``package, version, id, root, name, docs, links``."""
+    """``package, version, id, root, counts, name, docs, links`` of every item.
+
+    ``counts`` is true for public items that are not re-exports.  A document
+    without items keeps one row, so that no join has to bring it back.
+    """
     spark = docs.sparkSession
     readable = docs.filter(F.col("status") == "Found").select(
-        "package", "version", "doc", F.variant_get("doc", "$.index", "variant").alias("index")
+        "package",
+        "version",
+        F.try_variant_get("doc", "$.root", "string").alias("root"),
+        F.try_variant_get("doc", "$.index", "variant").alias("index"),
     )
-    exploded = readable.lateralJoin(spark.tvf.variant_explode(F.col("index").outer()))
+    exploded = readable.lateralJoin(spark.tvf.variant_explode_outer(F.col("index").outer()))
     item = F.col("value")
-    return exploded.filter(
-        (F.try_variant_get(item, "$.visibility", "string") == "public")
-        & F.try_variant_get(item, "$.inner.use", "variant").isNull()
-    ).select(
+    return exploded.select(
         "package",
         "version",
         F.col("key").alias("id"),
-        F.try_variant_get("doc", "$.root", "string").alias("root"),
+        "root",
+        F.coalesce(
+            (F.try_variant_get(item, "$.visibility", "string") == "public")
+            & F.try_variant_get(item, "$.inner.use", "variant").isNull(),
+            F.lit(False),
+        ).alias("counts"),
         F.try_variant_get(item, "$.name", "string").alias("name"),
         F.try_variant_get(item, "$.docs", "string").alias("docs"),
         F.try_variant_get(item, "$.links", "map<string,string>").alias("links"),
@@ -121,33 +130,28 @@ def broken_links(docs: Column, links: Column) -> Column:
 
 def docs_metrics(docs: DataFrame) -> DataFrame:
     """``package, version, docs struct`` for every readable document."""
-    documented = has_docs(F.col("docs"))
+    documented = F.col("counts") & has_docs(F.col("docs"))
     is_front = (F.col("id") == F.col("root")) & (F.col("name") == F.replace("package", F.lit("-"), F.lit("_")))
+    zero = F.lit(0).cast("bigint")
     counted = items(docs).groupBy("package", "version").agg(
-        F.count("*").alias("public_api_elements"),
-        F.count_if(~documented).alias("undocumented_elements"),
-        F.coalesce(F.sum(F.when(documented, example_count(F.col("docs")))), F.lit(0)).alias("examples_in_docs"),
+        F.count_if(F.col("counts")).alias("public_api_elements"),
+        F.count_if(documented).alias("documented"),
+        F.coalesce(F.bool_or(documented & is_front), F.lit(False)).alias("has_crate_level_docs"),
         F.coalesce(
-            F.sum(F.when(documented, broken_links(F.col("docs"), F.col("links")))), F.lit(0)
+            F.sum(F.when(documented, broken_links(F.col("docs"), F.col("links")))), zero
         ).alias("broken_doc_links"),
-        F.coalesce(F.bool_or(documented & is_front), F.lit(False)).alias("has_crate_level_docs"),
+        F.coalesce(F.sum(F.when(documented, example_count(F.col("docs")))), zero).alias("examples_in_docs"),
     )
-    n = F.coalesce("public_api_elements", F.lit(0))
-    covered = n - F.coalesce("undocumented_elements", F.lit(0))
+    n, covered = F.col("public_api_elements"), F.col("documented")
     payload = F.struct(
-        n.alias("public_api_elements"),
-        F.coalesce("undocumented_elements", F.lit(0)).alias("undocumented_elements"),
+        n,
+        (n - covered).alias("undocumented_elements"),
         F.when(n > 0, covered / n * 100.0).otherwise(F.lit(100.0)).alias("doc_coverage_percentage"),
-        F.coalesce("has_crate_level_docs", F.lit(False)).alias("has_crate_level_docs"),
-        F.coalesce("broken_doc_links", F.lit(0)).alias("broken_doc_links"),
-        F.coalesce("examples_in_docs", F.lit(0)).alias("examples_in_docs"),
-    )
-    return (
-        docs.filter(F.col("status") == "Found")
-        .select("package", "version")
-        .join(counted, ["package", "version"], "left")
-        .select("package", "version", payload.alias("docs"))
+        "has_crate_level_docs",
+        "broken_doc_links",
+        "examples_in_docs",
     )
+    return counted.select("package", "version", payload.alias("docs"))
 
 
 def docs_facts(docs_json: DataFrame) -> DataFrame:
