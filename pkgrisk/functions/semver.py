@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pkgrisk.functions.let import let
+
 # The grammar of semver.org 2.0.0.
 _NUM = r"(0|[1-9]\d*)"
 _PRE_ID = r"(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)"
@@ -110,57 +112,63 @@ def _comparator(text: Column) -> Column:
     def number(i: int) -> Column:
         return F.when(got(i).rlike(r"^\d+$"), got(i).cast("decimal(20,0)"))
 
-    op, major, minor, patch, pre = got(1), number(2), number(3), number(4), got(5)
-    wild = got(2).rlike(r"^[*xX]$") | got(3).rlike(r"^[*xX]$") | got(4).rlike(r"^[*xX]$")
-    zero, one = F.lit(0).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)")
+    read = F.struct(
+        got(1).alias("op"),
+        number(2).alias("major"),
+        number(3).alias("minor"),
+        number(4).alias("patch"),
+        got(5).alias("pre"),
+        F.exists(F.array(got(2), got(3), got(4)), lambda x: x.rlike(r"^[*xX]$")).alias("wild"),
+    )
+    return F.when(text.rlike(_REQ_PATTERN), let(let(read, _lines), _bounds))
+
 
-    def base(a: Column, b: Column, c: Column) -> Column:
-        return F.concat(*[_pad(x.cast("string")) for x in (a, b, c)])
+_ZERO = "0BD"
 
-    lowest, highest = F.lit(""), F.lit(_LAST)
-    line_lo = base(major, F.coalesce(minor, zero), F.coalesce(patch, zero))
-    line_hi = (
-        F.when(minor.isNull(), base(major + one, zero, zero))
-        .when(patch.isNull(), base(major, minor + one, zero))
-    )
-    exact = F.concat(line_lo, F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre)))
+
+def _base(major: Column, minor: Column, patch: Column) -> Column:
+    return F.concat(*[_pad(x.cast("string")) for x in (major, minor, patch)])
+
+
+def _lines(r: Column) -> Column:
+    """The stretch of versions that agree with the stated numbers, and the exact key."""
+    major, minor, patch, pre = r["major"], r["minor"], r["patch"], r["pre"]
+    zero = F.expr(_ZERO)
+    lo = _base(major, F.coalesce(minor, zero), F.coalesce(patch, zero))
+    hi = F.when(minor.isNull(), _base(major + 1, zero, zero)).when(patch.isNull(), _base(major, minor + 1, zero))
+    tail = F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre))
+    return F.struct(r.alias("r"), lo.alias("lo"), hi.alias("hi"), F.concat(lo, tail).alias("exact"))
+
+
+def _bounds(line: Column) -> Column:
+    r, line_lo, line_hi, exact = line["r"], line["lo"], line["hi"], line["exact"]
+    op, major, minor, patch, wild = r["op"], r["major"], r["minor"], r["patch"], r["wild"]
+    zero, lowest, highest = F.expr(_ZERO), F.lit(""), F.lit(_LAST)
     full = patch.isNotNull()
     start = F.when(full, exact).otherwise(line_lo)
     past = F.when(full, F.concat(exact, F.lit(_AFTER))).otherwise(line_hi)
+    next_minor = F.when(minor.isNull(), _base(major + 1, zero, zero)).otherwise(_base(major, minor + 1, zero))
     next_breaking = (
-        F.when(minor.isNull() | (major > 0), base(major + one, zero, zero))
-        .when(patch.isNull() | (minor > 0), base(major, minor + one, zero))
-        .otherwise(base(major, minor, patch + one))
+        F.when(minor.isNull() | (major > 0), _base(major + 1, zero, zero))
+        .when(patch.isNull() | (minor > 0), _base(major, minor + 1, zero))
+        .otherwise(_base(major, minor, patch + 1))
     )
-    next_minor = F.when(minor.isNull(), base(major + one, zero, zero)).otherwise(
-        base(major, minor + one, zero)
-    )
-
     any_version = major.isNull()
-    lo = (
-        F.when(any_version, lowest)
-        .when(op.isin("<", "<="), lowest)
-        .when(op == ">", past)
-        .otherwise(start)
-    )
+    lo = F.when(any_version | op.isin("<", "<="), lowest).when(op == ">", past).otherwise(start)
     hi = (
-        F.when(any_version, highest)
-        .when(op.isin(">", ">="), highest)
+        F.when(any_version | op.isin(">", ">="), highest)
         .when(op == "<", start)
         .when((op == "=") | (op == "<=") | wild, past)
         .when(op == "~", next_minor)
         .otherwise(next_breaking)
     )
     calm = ~full & ~wild & op.isin("=", ">=", "<=", "~")
-    return F.when(
-        text.rlike(_REQ_PATTERN),
-        F.struct(
-            lo.alias("lo"),
-            hi.alias("hi"),
-            F.when(calm, line_lo).otherwise(highest).alias("calm_lo"),
-            F.when(calm, line_hi).otherwise(lowest).alias("calm_hi"),
-            F.when(pre != "", line_lo).alias("pre_base"),
-        ),
+    return F.struct(
+        lo.alias("lo"),
+        hi.alias("hi"),
+        F.when(calm, line_lo).otherwise(highest).alias("calm_lo"),
+        F.when(calm, line_hi).otherwise(lowest).alias("calm_hi"),
+        F.when(r["pre"] != "", line_lo).alias("pre_base"),
     )
 
 
