@@ -91,22 +91,24 @@ def issue_ages(
             out = F.when(ts >= days_before(now, days[i]), F.lit(i)).otherwise(out)
         return out
 
-    def entry(name: str, keep: Column, until: Column, window: Column) -> Column:
+    def entry(name: str, until: Column, window: Column) -> Column:
         return F.when(
-            keep & until.isNotNull(),
-            F.struct(F.lit(name).alias("family"), window.alias("window"), seconds(until).alias("s")),
+            until.isNotNull(), F.struct(F.lit(name).alias("family"), window.alias("window"), seconds(until).alias("s"))
         )
 
+    # An issue is in one series by its state; a pull request may also be merged.
     none = F.lit(everything)
-    entries = F.array_compact(
-        F.array(
-            entry("open_issue_age", ~is_pr & is_open, now, none),
-            entry("open_pr_age", is_pr & is_open, now, none),
-            entry("closed_issue_age", ~is_pr & ~is_open, closed, narrowest(closed)),
-            entry("merged_pr_age", is_pr, merged, narrowest(merged)),
-        )
+    by_state = (
+        F.when(~is_pr & is_open, entry("open_issue_age", now, none))
+        .when(is_pr & is_open, entry("open_pr_age", now, none))
+        .when(~is_pr, entry("closed_issue_age", closed, narrowest(closed)))
+    )
+    as_merged = F.when(is_pr, entry("merged_pr_age", merged, narrowest(merged)))
+    rows = (
+        issues.select("repo", F.explode(F.array(by_state, as_merged)).alias("e"))
+        .filter(F.col("e").isNotNull())
+        .select("repo", "e.*")
     )
-    rows = issues.select("repo", F.explode(entries).alias("e")).select("repo", "e.*")
     hist = age_histogram(rows, ["repo", "family", "window"], F.col("s"))
     unrolled = hist.withColumn("window", F.explode(F.sequence(F.col("window"), F.lit(everything))))
     label = F.col("family")
