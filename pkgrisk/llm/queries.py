@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.llm import decontaminate, line_dedup, quality, token_count
+from pkgrisk.llm import decontaminate, fingerprint, html_text, license_scan, line_dedup, quality, token_count
 from pkgrisk.llm.vocabulary import model_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,50 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document without those that a smaller doc_id holds."""
     kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query()
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, without the recurring subtrees of its host."""
+    pages = html_text.extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query()
+def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of every document, of its edited text, and how alike they and the next document's are."""
+    docs = table(spark, folder, "documents")
+    return fingerprint.compare_with_next(docs, fingerprint.corpus_rarity(docs))
+
+
+def _values() -> str:
+    rows = [(label, text, "true") for label, text in license_scan.PHRASES] + [(label, text, "false") for label, text in license_scan.NOTICES]
+    return ", ".join(f"({n}, '{label}', '{text}', {base})" for n, (label, text, base) in enumerate(rows, 1))
+
+
+_OP6 = f"""
+WITH templates AS (SELECT template, label, base, {_WORDS.format('text')} AS w FROM (VALUES {_values()}) AS t(template, label, text, base)),
+known AS (SELECT template, label, base, len(w) - 1 AS pairs, j, w[j] AS w1, w[j + 1] AS w2 FROM templates, unnest(range(1, len(w))) AS u(j)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+pairs AS (SELECT r, i, w[i] AS w1, w[i + 1] AS w2 FROM docs, unnest(range(1, len(w))) AS u(i)),
+votes AS (SELECT r, template, label, base, pairs, i - j AS d, count(*) AS v, min(i) AS a, max(i) AS b
+  FROM pairs JOIN known USING (w1, w2) GROUP BY ALL),
+phrases AS (SELECT r, label, true AS base, d AS start, 1.0::DOUBLE AS c FROM votes WHERE base AND v = pairs),
+near AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, template ORDER BY d) <= {license_scan.NEAR} THEN 0 ELSE 1 END AS o
+  FROM votes WHERE NOT base AND v >= {license_scan.MIN_VOTES}),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY r, template ORDER BY d) AS g FROM near),
+notices AS (SELECT r, label, false AS base, NULL AS start, least(1.0::DOUBLE, sum(v) / any_value(pairs)::DOUBLE) AS c FROM grouped GROUP BY r, template, label, g),
+spans AS (SELECT * FROM phrases UNION ALL SELECT * FROM notices),
+report AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (c >= {license_scan.COVERAGE}) AS labels, max(c) AS score FROM spans GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN report USING (r)
+"""
+
+
+@_query(_OP6)
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.license_report(license_scan.license_spans(table(spark, folder, "documents")))
