@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.llm import decontaminate, fingerprint, html_text, license_scan, line_dedup, quality, token_count
+from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, quality, token_count
 from pkgrisk.llm.vocabulary import model_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ FROM docs LEFT JOIN report USING (r)
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license_scan.license_report(license_scan.license_spans(table(spark, folder, "documents")))
+
+
+@_query()
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document, at a similarity of 0.8 on five-word shingles."""
+    return jaccard_join.similar_documents(table(spark, folder, "documents"))
