@@ -42,8 +42,10 @@ def text_lines(text: Column) -> Column:
 class LineRuns:
     """The keys of all batches added so far, in levelled sorted runs."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = 2):
-        self._spark, self._buckets, self._fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
+        self._spark, self._fanout = spark, fanout
+        # As many as the shuffles of this session have partitions, so that each bucket of a run is one file.
+        self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._scratch = Scratch(spark, "line-runs")
         self._levels: list[list[str]] = []
 
@@ -96,7 +98,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHARS, buckets: int = 64) -> DataFrame:
+def repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHARS, buckets: int | None = None) -> DataFrame:
     """``doc_id, text_id, positions``: the lines (from 0) that a document with a smaller id already holds.
 
     Documents are taken in ascending order in ``batches`` ranges.  Keys of at least ``min_chars`` code points count.  A key that
