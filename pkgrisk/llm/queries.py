@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, quality, token_count
+from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, quality, token_count, toxicity
 from pkgrisk.llm.vocabulary import model_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 QUALITY_CUT = 0.3
+TOXIC_CUT = 0.7
 TOKEN_LIMIT = 4096
 
 
@@ -151,3 +152,12 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document, at a similarity of 0.8 on five-word shingles."""
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of every document, learnt from labels outside the held-out third."""
+    docs, held_out = table(spark, folder, "documents"), _remainder(3) == 1
+    rows = toxicity.train_rows(docs, table(spark, folder, "labels"), "toxic", ~held_out)
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.fit(rows), name="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
