@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, quality, token_count, toxicity
+from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, piece_lattice, quality, token_count, toxicity
 from pkgrisk.llm.vocabulary import model_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,13 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     rows = toxicity.train_rows(docs, table(spark, folder, "labels"), "toxic", ~held_out)
     scored = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.fit(rows), name="score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
+
+
+@_query()
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every document, and the digest of the text that they decode to."""
+    model = model_path()
+    encoded = piece_lattice.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return encoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(piece_lattice.decode(F.col("ids"), model), 256).alias("decoded_sha256")
+    )

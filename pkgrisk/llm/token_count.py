@@ -15,14 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgrisk.llm.vocabulary import SPACE, pieces
+from pkgrisk.llm.vocabulary import SPACE, pieces, word_pattern
 
 # Counts that one worker keeps, in two generations; only speed depends on it.
 CACHE_WORDS = 300_000
 LONG_WORD = 64
-# Letters and other scripts | ASCII signs and digits, each with the spaces before it.
-_PARTS = re.compile(r" *(?:[A-Za-z\x80-\U0010ffff]+|[\x00-\x1f!-@\[-`{-\x7f]+)| +")
-_SIGN_AND_LETTER = re.compile(r"[A-Za-z\x80-\u2580\u2582-\U0010ffff][^A-Za-z\x80-\U0010ffff]|[\x00-@\[-`{-\x7f][A-Za-z\x80-\u2580\u2582-\U0010ffff]")
 
 
 class PieceCounter:
@@ -33,8 +30,7 @@ class PieceCounter:
         for piece in pieces(model):
             if piece.kind == "normal":
                 self._rank[piece.text] = -piece.score
-        # Where no piece holds a letter beside a sign, no merge crosses from one to the other.
-        self._splits = not any(_SIGN_AND_LETTER.search(p) for p in self._rank)
+        self._parts_of = re.compile(word_pattern(model)).findall
         self._words, self._parts = _Memory(), _Memory()
 
     def symbols(self, word: str) -> int:
@@ -74,19 +70,19 @@ class PieceCounter:
     def part(self, part: str) -> int:
         n = self._parts.get(part)
         if n is None:
-            n = self.symbols(part.replace(" ", SPACE))
+            n = self.symbols(part)
             if len(part) <= LONG_WORD:
                 self._parts.put(part, n)
         return n
 
     def word(self, word: str) -> int:
         """Tokens of a run of spaces and what follows up to the next space."""
-        return sum(map(self.part, _PARTS.findall(word))) if self._splits else self.part(word)
+        return sum(map(self.part, self._parts_of(word)))
 
     def _new_word(self, word: str) -> int:
         n = self._words.old.get(word)
         if n is None:
-            n = self.word(" " + word)
+            n = self.word(SPACE + word)
         if len(word) <= LONG_WORD:
             self._words.put(word, n)
         return n
@@ -106,9 +102,9 @@ class PieceCounter:
             # An empty part is one more space before the next word.
             spaces += 1
             if part:
-                total += self.word(" " * spaces + part)
+                total += self.word(SPACE * spaces + part)
                 spaces = 0
-        return total + (self.part(" " * spaces) if spaces else 0)
+        return total + (self.part(SPACE * spaces) if spaces else 0)
 
 
 class _Memory:
