@@ -62,7 +62,7 @@ class WuManber:
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """``item, window``: the distinct windows of ``width`` consecutive words; a shorter item is one window, one without words none."""
-    words = only(items, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    words = only(items, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_array(F.col("text")).alias("w")).filter(F.size("w") > 0)
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))))
     return words.select("item", "w", start.alias("start")).select("item", F.slice("w", F.col("start"), width).alias("window")).distinct()
 
@@ -132,7 +132,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
     """``key, n_words, spans, items``: one row per row of ``docs`` with the word spans that lie in occurrences of windows.
 
     Null and empty texts have no words and no hits; items without words are never found; an empty benchmark hits nothing.  Equal
-    items are found together.  ``key`` must be unique if the benchmark needs more than one block; else rows of equal key stay apart.
+    items are found together; a null ``item_id`` is ''.  ``key`` must be unique if the benchmark needs more than one block; else rows of equal key stay apart.
     """
     spark = docs.sparkSession
     windows = windows_of(items, width)

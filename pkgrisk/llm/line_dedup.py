@@ -161,12 +161,12 @@ def _matches(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """All columns of ``docs`` and ``kept_text, n_lines, n_dropped``.
+    """All columns of ``docs`` and ``kept_text, n_lines, n_dropped``, which replace columns of these names.
 
     ``kept_text`` joins by newline the lines that no document with a smaller ``doc_id`` holds; short keys always stay.  A null or
     empty text is one empty line, which stays.  Every input row gives one row; an empty table gives none.
     """
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("kept_text", "n_lines", "n_dropped")]
     dropped = repeated_lines(docs, batches, min_chars).toDF("__doc", "__text", "__drop")
     joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__text")), "left")
     lines = text_lines(F.col("text"))
