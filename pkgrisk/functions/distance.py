@@ -56,7 +56,7 @@ def transposition_distance(left: pd.Series, right: pd.Series) -> np.ndarray:
 
 
 @F.pandas_udf(IntegerType())
-def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+def _edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     # Pairs of similar size share a table, so sort by size and work in blocks.
     out = np.empty(len(left), dtype=np.int32)
     order = np.argsort(left.str.len().to_numpy() + right.str.len().to_numpy(), kind="stable")
@@ -64,3 +64,7 @@ def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
         block = order[start : start + 4096]
         out[block] = transposition_distance(left.iloc[block], right.iloc[block])
     return pd.Series(out)
+
+
+# Marked as not deterministic so that a filter on it does not compute it a second time.
+edit_distance = _edit_distance.asNondeterministic()

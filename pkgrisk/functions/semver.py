@@ -31,6 +31,8 @@ SEMVER_PATTERN = (
 )
 _U64_MAX = "18446744073709551615"
 _WIDTH = 20
+# Digits of a text length: no text is longer.
+_SIZE_WIDTH = 10
 
 _RELEASE = "~"
 _AFTER = "\x00"
@@ -53,8 +55,8 @@ def _part(c: Column, group: int) -> Column:
 def _encode_ids(ids: Column) -> Column:
     def one(x: Column) -> Column:
         digits = F.regexp_replace(x, "^0+(?=.)", "")
-        size = F.lpad(F.length(digits).cast("string"), 4, "0")
-        raw_size = F.lpad(F.length(x).cast("string"), 4, "0")
+        size = F.lpad(F.length(digits).cast("string"), _SIZE_WIDTH, "0")
+        raw_size = F.lpad(F.length(x).cast("string"), _SIZE_WIDTH, "0")
         return F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), size, digits, raw_size)).otherwise(
             F.concat(F.lit("1"), x)
         )
@@ -67,15 +69,15 @@ def _pad(digits: Column) -> Column:
 
 
 def semver_base(c: Column) -> Column:
-    """Key of major.minor.patch alone; smaller than every version on that line."""
-    return F.concat(_pad(_part(c, 1)), _pad(_part(c, 2)), _pad(_part(c, 3)))
+    """Key of major.minor.patch alone; smaller than every version on that line.  NULL for malformed text."""
+    return F.when(is_semver(c), F.concat(_pad(_part(c, 1)), _pad(_part(c, 2)), _pad(_part(c, 3))))
 
 
 def precedence_key(c: Column) -> Column:
     """Order key without build metadata; NULL for malformed text."""
     pre = _part(c, 4)
     tail = F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre))
-    return F.when(c.rlike(SEMVER_PATTERN), F.concat(semver_base(c), tail))
+    return F.concat(semver_base(c), tail)
 
 
 def semver_key(c: Column) -> Column:
@@ -110,7 +112,13 @@ def _comparator(text: Column) -> Column:
         return F.regexp_extract(text, _REQ_PATTERN, i)
 
     def number(i: int) -> Column:
-        return F.when(got(i).rlike(r"^\d+$"), got(i).cast("decimal(20,0)"))
+        return F.when(got(i).rlike(r"^\d+$"), got(i).try_cast("decimal(20,0)"))
+
+    # A number beyond an unsigned 64-bit integer is malformed, as in a version.
+    fits = F.forall(
+        F.array(got(2), got(3), got(4)),
+        lambda x: F.when(x.rlike(r"^\d+$"), F.coalesce(x.try_cast("decimal(20,0)") <= F.expr(f"{_U64_MAX}BD"), F.lit(False))).otherwise(True),
+    )
 
     read = F.struct(
         got(1).alias("op"),
@@ -120,7 +128,7 @@ def _comparator(text: Column) -> Column:
         got(5).alias("pre"),
         F.exists(F.array(got(2), got(3), got(4)), lambda x: x.rlike(r"^[*xX]$")).alias("wild"),
     )
-    return F.when(text.rlike(_REQ_PATTERN), let(let(read, _lines), _bounds))
+    return F.when(text.rlike(_REQ_PATTERN) & fits, let(let(read, _lines), _bounds))
 
 
 _ZERO = "0BD"

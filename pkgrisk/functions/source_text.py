@@ -1,219 +1,202 @@
-"""Line statistics of one source file as a Column.
+"""Line statistics of one source file.
 
-A file is a row and is at most a few megabytes, so it is read in place: one
-regular expression splits it into tokens and one ``aggregate`` folds them.
-Nothing is exploded or shuffled.  The reading is lexical (braces, attributes,
-comments, strings); it builds no syntax tree.
+A file is a row and is read where it lies: nothing is exploded or shuffled.  One
+regular expression splits it into tokens, and a small fold over them counts.
+The reading is lexical (braces, attributes, comments, strings); it builds no
+syntax tree.  Batches of texts go to it by Arrow.
 
 What counts:
 * code lines: lines of items, including their attributes and the comments right
   above them; not ``mod`` heads, free comments or blank lines
 * test lines: the same inside a function or module whose attributes mention
   "test"; a test inside a production block counts on both sides
-* comment lines: every line a comment touches
+* comment lines: every line a comment touches; block comments nest
 * unsafe: the keyword on a block, function, impl or trait
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pkgrisk.functions.let import let
-
 _PLAIN = (  # any other word, number or punctuation; a run of them is one token
     r"(?:(?!(?:pub|crate|super|self|in|async|const|default|unsafe|extern|mod|fn|impl|trait)\b)"
-    r"(?!b?r?#*[\"'])\w++|[^\s\w{}()\[\];\"'/#]++)"
+    r"(?!b?r?#*[\"'])\w++|(?!//|/\*)[^\s\w{}()\[\];\"'#]++)"
 )
-TOKENS = (
+TOKENS = re.compile(
     r"//[^\n]*"
-    r"|/\*[\s\S]*?\*/"
+    r"|/\*"
     r"|\bb?r(#*)\"[\s\S]*?\"\1"
     r"|b?\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\""
     r"|b?'(?:\\[^']{1,10}|[^\\'\n])'"
     r"|#!?\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
     r"|\n|[{}()\[\];]"
     r"|(?:pub|crate|super|self|in|async|const|default|unsafe|extern|mod|fn|impl|trait)\b"
-    rf"|{_PLAIN}(?:[^\S\n]*{_PLAIN}){{0,63}}"
-    r"|'?\w+|\S"
+    rf"|{_PLAIN}(?:[^\S\n]*{_PLAIN})*"
+    r"|'?\w+|\S",
+    re.ASCII,
 )
+_COMMENT_EDGE = re.compile(r"/\*|\*/")
+_BLANK_LINE = re.compile(r"\n[ \t\r]*(?=\n)")
+_STRING_START = re.compile(r'(b?r#*)?b?"')
 
 (_NEWLINE, _COMMENT, _INNER, _ATTR, _TEST_ATTR, _OPEN, _CLOSE, _OPEN2, _CLOSE2, _END, _MODIFIER,
  _MOD, _FN, _UNSAFE, _EXTERN, _BLOCKISH, _STRING, _WORD, _OTHER) = range(19)
 
-_START = {
-    "line": "bigint", "seen": "bigint", "depth": "int", "pdepth": "int", "head": "boolean",
-    "held": "bigint", "held_at": "bigint", "pending": "bigint", "opening": "int", "test_at": "int",
-    "code": "bigint", "test": "bigint", "comments": "bigint",
-    "code_at": "bigint", "test_line": "bigint", "comment_at": "bigint",
-    "unsafe": "bigint", "after_unsafe": "int", "broken": "boolean",
-}
-_INITIAL = {"head": True, "broken": False, "seen": -1, "held_at": -1, "pending": -1, "test_at": -1,
-            "code_at": -1, "test_line": -1, "comment_at": -1}
-
-
-def _kind(t: Column) -> Column:
-    return (
-        F.when(t == "\n", _NEWLINE)
-        .when(t.startswith("//!") | t.startswith("/*!") | t.startswith("#!["), _INNER)
-        .when(t.startswith("//") | t.startswith("/*"), _COMMENT)
-        .when(t.startswith("#["), F.when(F.contains(t, F.lit("test")), _TEST_ATTR).otherwise(_ATTR))
-        .when(t == "{", _OPEN)
-        .when(t == "}", _CLOSE)
-        .when(t.isin("(", "["), _OPEN2)
-        .when(t.isin(")", "]"), _CLOSE2)
-        .when(t == ";", _END)
-        .when(t == "unsafe", _UNSAFE)
-        .when(t == "extern", _EXTERN)
-        .when(t == "mod", _MOD)
-        .when(t == "fn", _FN)
-        .when(t.isin("impl", "trait"), _BLOCKISH)
-        .when(t.isin("pub", "crate", "super", "self", "in", "async", "const", "default"), _MODIFIER)
-        .when(t.rlike(r'^(b?r#*)?b?"'), _STRING)
-        .when(t.rlike(r"^\w"), _WORD)
-        .otherwise(_OTHER)
-    )
-
-
-def _token(t: Column) -> Column:
-    many = (t != "\n") & F.contains(t, F.lit("\n"))
-    return F.struct(
-        _kind(t).alias("k"),
-        F.when(many, F.regexp_count(t, F.lit("\n"))).otherwise(0).alias("more"),
-        F.when(many, F.regexp_count(t, F.lit(r"\n[ \t\r]*(?=\n)"))).otherwise(0).alias("blank"),
-        (t.startswith("/*!") | t.startswith("//!")).alias("inner_comment"),
-    )
-
-
-def _cover(first: Column, last: Column, done: Column) -> Column:
+_KINDS = {
+    "\n": _NEWLINE, "{": _OPEN, "}": _CLOSE, "(": _OPEN2, "[": _OPEN2, ")": _CLOSE2, "]": _CLOSE2, ";": _END,
+    "unsafe": _UNSAFE, "extern": _EXTERN, "mod": _MOD, "fn": _FN, "impl": _BLOCKISH, "trait": _BLOCKISH,
+} | dict.fromkeys(("pub", "crate", "super", "self", "in", "async", "const", "default"), _MODIFIER)
+_HEAD = frozenset((_MODIFIER, _UNSAFE, _EXTERN, _STRING, _OPEN2, _CLOSE2))
+_HELD = frozenset((_COMMENT, _ATTR, _TEST_ATTR))
+
+
+def _kind(t: str) -> int:
+    if t.startswith(("//!", "/*!", "#![")):
+        return _INNER
+    if t.startswith(("//", "/*")):
+        return _COMMENT
+    if t.startswith("#["):
+        return _TEST_ATTR if "test" in t else _ATTR
+    if _STRING_START.match(t):
+        return _STRING
+    return _WORD if t[0] == "_" or t[0].isascii() and t[0].isalnum() else _OTHER
+
+
+def _block_comment(text: str, start: int) -> int:
+    """End of the block comment that starts there; one that never ends is not a comment, and ends after its slash."""
+    depth = 0
+    for edge in _COMMENT_EDGE.finditer(text, start):
+        depth += 1 if edge[0] == "/*" else -1
+        if not depth:
+            return edge.end()
+    return start + 1
+
+
+def tokens(text: str) -> Iterator[str]:
+    at = 0
+    while at >= 0:
+        start, at = at, -1
+        for found in TOKENS.finditer(text, start):
+            token = found[0]
+            if token == "/*":
+                # Comments nest, which the expression cannot follow: go on behind this one.
+                at = _block_comment(text, found.start())
+                yield text[found.start() : at]
+                break
+            yield token
+
+
+def statistics(text: str) -> tuple[int, int, int, int, bool]:
+    """Production, test and comment lines, unsafe uses, and whether the delimiters do not match."""
+    line = depth = pdepth = held = opening = code = test = comments = unsafe = after_unsafe = 0
+    seen = held_at = pending = test_at = code_at = test_line = comment_at = -1
+    head, broken, settled = True, False, -1
+    for t in tokens(text):
+        k = _KINDS.get(t)
+        if k is None:
+            # Inside an item, further words on a line that counts already change nothing.
+            if settled == line and t[0] not in "#/" and "\n" not in t and not after_unsafe:
+                continue
+            k = _kind(t)
+        many = k != _NEWLINE and "\n" in t
+        more = t.count("\n") if many else 0
+        blank = len(_BLANK_LINE.findall(t)) if many else 0
+        last, deep, trivia = line + more, depth > 0, k <= _TEST_ATTR
+        code_token = k > _TEST_ATTR
+        # Item heads at the top level are held back until the item shows its kind.
+        modifier = k in _HEAD
+        at_head = not deep and head
+        hold = not deep and (k in _HELD or at_head and modifier)
+        decides = at_head and code_token and not modifier
+        drops, flush = decides and k == _MOD, decides and k != _MOD
+        silent = not deep and opening >= 2 and k != _OPEN  # the rest of a mod head
+        opens_test = pending >= 0 and k in (_FN, _MOD)
+        now_opening = (1 if k == _FN else 3) if opens_test else 2 if k == _MOD and at_head else opening
+        in_test = test_at >= 0 or now_opening == 1 or now_opening == 3 and k == _OPEN
+        outer_code = test_at > 0 or test_at < 0 and deep
+        counts = k != _NEWLINE and (deep or code_token and not (at_head and modifier) and not drops and not silent)
+        to_test, to_code = counts and in_test, counts and (not in_test or outer_code)
+        if to_code:
+            done = max(code_at, held_at) if flush else code_at
+            code += (held if flush else 0) + max(_cover(line, last, done) - blank, 0)
+            code_at = last
+        if to_test:
+            if flush:
+                test += held + _cover(line, last, max(test_line, held_at))
+            else:
+                test += max(_cover(pending if opens_test and k == _FN else line, last, test_line) - blank, 0)
+            test_line = last
+        if k == _COMMENT or k == _INNER and not t.startswith("#"):
+            comments += _cover(line, last, comment_at)
+            comment_at = last
+        if after_unsafe == 1 and k in (_OPEN, _BLOCKISH) or after_unsafe == 3 and k == _WORD:
+            unsafe += 1
+        if not trivia:
+            if k == _UNSAFE:
+                after_unsafe = 1
+            elif after_unsafe == 1 and k == _EXTERN or after_unsafe == 2 and k == _STRING:
+                after_unsafe = 2
+            elif after_unsafe in (1, 2) and k == _FN:
+                after_unsafe = 3
+            else:
+                after_unsafe = 0
+        if k == _NEWLINE and seen < line or decides:
+            held = 0
+        elif hold:
+            held += _cover(line, last, held_at)
+        if hold:
+            held_at = last
+        ends = k == _END and pdepth <= 0
+        was = depth
+        depth += (k == _OPEN) - (k == _CLOSE)
+        pdepth += (k == _OPEN2) - (k == _CLOSE2)
+        broken = broken or depth < 0 or pdepth < 0
+        if not deep and ends or k == _CLOSE and depth <= 0:
+            head = True
+        elif decides:
+            head = False
+        if k == _TEST_ATTR and pending < 0:
+            pending = line
+        elif k == _OPEN or ends or opens_test:
+            pending = -1
+        if k == _OPEN and now_opening in (1, 3) and test_at < 0:
+            test_at = was
+        elif k == _CLOSE and depth == test_at:
+            test_at = -1
+        opening = 0 if k == _OPEN or ends else now_opening
+        if k == _NEWLINE:
+            line += 1
+        else:
+            line = seen = last
+            settled = line if deep and k >= _STRING else -1
+    return code, test, comments, unsafe, broken or depth != 0 or pdepth != 0
+
+
+def _cover(first: int, last: int, done: int) -> int:
     """How many of the lines first..last lie beyond the last one counted."""
-    return F.greatest(last - F.greatest(first, done + 1) + 1, F.lit(0).cast("bigint"))
-
-
-def _step(s: Column, t: Column) -> Column:
-    k, line, depth = t["k"], s["line"], s["depth"]
-    newline = k == _NEWLINE
-    code_token = k > _TEST_ATTR
-    deep = depth > 0
-
-    # Item heads at the top level are held back until the item shows its kind.
-    modifier = k.isin(_MODIFIER, _UNSAFE, _EXTERN, _STRING, _OPEN2, _CLOSE2)
-    at_head = ~deep & s["head"]
-    hold = ~deep & (k.isin(_COMMENT, _ATTR, _TEST_ATTR) | (at_head & modifier))
-    decides = at_head & code_token & ~modifier
-    drops = decides & (k == _MOD)
-    flush = decides & (k != _MOD)
-    silent = ~deep & (s["opening"] >= 2) & ~k.isin(_OPEN)  # the rest of a mod head
-
-    opens_test = (s["pending"] >= 0) & k.isin(_FN, _MOD)
-    opening = (
-        F.when(opens_test, F.when(k == _FN, 1).otherwise(3))
-        .when((k == _MOD) & at_head, 2)
-        .otherwise(s["opening"])
-    )
-    in_test = (s["test_at"] >= 0) | (opening == 1) | ((opening == 3) & (k == _OPEN))
-    outer_code = (s["test_at"] > 0) | ((s["test_at"] < 0) & deep)
-    counts = ~newline & ((deep) | (code_token & ~(at_head & modifier) & ~drops & ~silent))
-    facts = F.struct(
-        (line + t["more"]).alias("last"),
-        hold.alias("hold"),
-        decides.alias("decides"),
-        flush.alias("flush"),
-        opening.alias("opening"),
-        (counts & in_test).alias("to_test"),
-        (counts & (~in_test | outer_code)).alias("to_code"),
-    )
-    return let(facts, lambda b: _advance(s, t, b))
-
-
-def _advance(s: Column, t: Column, b: Column) -> Column:
-    k, line, depth, last = t["k"], s["line"], s["depth"], b["last"]
-    hold, decides, flush, opening = b["hold"], b["decides"], b["flush"], b["opening"]
-    to_test, to_code = b["to_test"], b["to_code"]
-    newline, deep, trivia = k == _NEWLINE, depth > 0, k <= _TEST_ATTR
-    comment = (k == _COMMENT) | t["inner_comment"]
-    opens_test = (s["pending"] >= 0) & k.isin(_FN, _MOD)
-
-    lines_code = F.when(
-        to_code,
-        F.when(flush, s["held"]).otherwise(0)
-        + F.greatest(
-            _cover(line, last, F.when(flush, F.greatest(s["code_at"], s["held_at"])).otherwise(s["code_at"]))
-            - t["blank"],
-            F.lit(0).cast("bigint"),
-        ),
-    ).otherwise(0)
-    test_from = F.when(opens_test & (k == _FN), s["pending"]).otherwise(line)
-    lines_test = F.when(
-        to_test,
-        F.when(flush, s["held"] + _cover(line, last, F.greatest(s["test_line"], s["held_at"]))).otherwise(
-            F.greatest(_cover(test_from, last, s["test_line"]) - t["blank"], F.lit(0).cast("bigint"))
-        ),
-    ).otherwise(0)
-
-    blank_line = newline & (s["seen"] < line)
-    ends = (k == _END) & (s["pdepth"] <= 0)
-    closes = (k == _CLOSE) & (depth - 1 == s["test_at"])
-    depth_after = depth + F.when(k == _OPEN, 1).when(k == _CLOSE, -1).otherwise(0)
-    pdepth_after = s["pdepth"] + F.when(k == _OPEN2, 1).when(k == _CLOSE2, -1).otherwise(0)
-    au = s["after_unsafe"]
-    counted_unsafe = ((au == 1) & k.isin(_OPEN, _BLOCKISH)) | ((au == 3) & (k == _WORD))
-    after_unsafe = (
-        F.when(trivia, au)
-        .when(k == _UNSAFE, 1)
-        .when((au == 1) & (k == _EXTERN), 2)
-        .when((au == 2) & (k == _STRING), 2)
-        .when(au.isin(1, 2) & (k == _FN), 3)
-        .otherwise(0)
-    )
-    held = (
-        F.when(blank_line | decides, 0)
-        .when(hold, s["held"] + _cover(line, last, s["held_at"]))
-        .otherwise(s["held"])
-    )
-    new = {
-        "line": F.when(newline, line + 1).otherwise(last),
-        "seen": F.when(newline, s["seen"]).otherwise(last),
-        "depth": depth_after,
-        "pdepth": pdepth_after,
-        "head": F.when(
-            ~deep & ends | ((k == _CLOSE) & (depth_after <= 0)), F.lit(True)
-        ).when(decides, F.lit(False)).otherwise(s["head"]),
-        "held": held,
-        "held_at": F.when(hold, last).otherwise(s["held_at"]),
-        "pending": F.when((k == _TEST_ATTR) & (s["pending"] < 0), line)
-        .when((k == _OPEN) | ends | opens_test, -1)
-        .otherwise(s["pending"]),
-        "opening": F.when((k == _OPEN) | ends, 0).otherwise(opening),
-        "test_at": F.when((k == _OPEN) & opening.isin(1, 3) & (s["test_at"] < 0), depth)
-        .when(closes, -1)
-        .otherwise(s["test_at"]),
-        "code": s["code"] + lines_code,
-        "test": s["test"] + lines_test,
-        "comments": s["comments"] + F.when(comment, _cover(line, last, s["comment_at"])).otherwise(0),
-        "code_at": F.when(to_code, last).otherwise(s["code_at"]),
-        "test_line": F.when(to_test, last).otherwise(s["test_line"]),
-        "comment_at": F.when(comment, last).otherwise(s["comment_at"]),
-        "unsafe": s["unsafe"] + F.when(counted_unsafe, 1).otherwise(0),
-        "after_unsafe": after_unsafe,
-        "broken": s["broken"] | (depth_after < 0) | (pdepth_after < 0),
-    }
-    return F.struct(*[new[f].cast(kind).alias(f) for f, kind in _START.items()])
+    return max(last - max(first, done + 1) + 1, 0)
+
+
+_RESULT = (
+    "struct<production_lines: bigint, test_lines: bigint, comment_lines: bigint, unsafe_count: bigint, has_errors: boolean>"
+)
+_ARROW = pa.struct([
+    ("production_lines", pa.int64()), ("test_lines", pa.int64()), ("comment_lines", pa.int64()),
+    ("unsafe_count", pa.int64()), ("has_errors", pa.bool_()),
+])
 
 
 def line_statistics(content: Column) -> Column:
-    """``struct<production_lines, test_lines, comment_lines, unsafe_count, has_errors>``"""
-    tokens = F.transform(F.regexp_extract_all(content, F.lit(TOKENS), F.lit(0)), _token)
-    initial = F.struct(*[F.lit(_INITIAL.get(f, 0)).cast(kind).alias(f) for f, kind in _START.items()])
-    return F.aggregate(
-        tokens,
-        initial,
-        _step,
-        lambda s: F.struct(
-            s["code"].alias("production_lines"),
-            s["test"].alias("test_lines"),
-            s["comments"].alias("comment_lines"),
-            s["unsafe"].alias("unsafe_count"),
-            (s["broken"] | (s["depth"] != 0) | (s["pdepth"] != 0)).alias("has_errors"),
-        ),
-    )
+    """``struct<production_lines, test_lines, comment_lines, unsafe_count, has_errors>``; NULL for NULL."""
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [dict(zip(_ARROW.names, statistics(t.as_py()), strict=True)) if t.is_valid else None for t in batch]
+            yield pa.array(rows, _ARROW)
+
+    return F.arrow_udf(read, _RESULT)(content)

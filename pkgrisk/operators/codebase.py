@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.source_text import line_statistics
 from pkgrisk.functions.stats import SECONDS_PER_DAY, WINDOW_DAYS
 
-# Limits and tool names of the analysis.
-MAX_FILE_BYTES = 5_000_000
-MAX_DEPTH = 50
-MAX_SOURCE_FILES = 10_000
-MAX_WORKFLOW_FILES = 100
+# Folder and tool names of the analysis.
 WORKFLOW_FOLDER = ".github/workflows/"
 WORKFLOW_TOOLS = {"miri": "miri_usage", "clippy": "clippy_usage"}
 
-_SALTS = 64
-
 
 def commit_stats(commits: DataFrame, now_unix: int, days: Sequence[int] = WINDOW_DAYS) -> DataFrame:
     """Counts and first / last commit per repository.
@@ -46,33 +40,10 @@ def contributors(commits: DataFrame) -> DataFrame:
     )
 
 
-def first_files(files: DataFrame, key: str, limit: int) -> DataFrame:
-    """The first ``limit`` paths of each key.
-
-    Two rounds: within a salted part of the key, then within the key, so the
-    last round never sees more than ``limit`` paths per part.
-    """
-    part = F.pmod(F.xxhash64("path"), F.lit(_SALTS))
-    paths = files.select(key, "path").withColumn("_part", part)
-    by_part = Window.partitionBy(key, "_part").orderBy("path")
-    by_key = Window.partitionBy(key).orderBy("path")
-    chosen = (
-        paths.withColumn("_n", F.row_number().over(by_part))
-        .filter(F.col("_n") <= limit)
-        .withColumn("_n", F.row_number().over(by_key))
-        .filter(F.col("_n") <= limit)
-        .select(key, "path")
-    )
-    return files.join(chosen, [key, "path"], "left_semi")
-
-
-def workflow_flags(files: DataFrame, tools: dict[str, str] = WORKFLOW_TOOLS, max_files: int | None = None) -> DataFrame:
+def workflow_flags(files: DataFrame, tools: dict[str, str] = WORKFLOW_TOOLS) -> DataFrame:
     """``repo, ci_workflows`` and one flag per tool named in a YAML workflow."""
     inside = files.filter(F.col("path").startswith(WORKFLOW_FOLDER))
     yaml = F.col("path").rlike(r"[^/]\.(yml|yaml)$")
-    if max_files is not None:
-        kept = first_files(inside.filter(yaml), "repo", max_files)
-        inside = inside.filter(~yaml).unionByName(kept)
     text = F.lower(F.col("content"))
     return inside.groupBy("repo").agg(
         F.lit(True).alias("ci_workflows"),
@@ -80,20 +51,15 @@ def workflow_flags(files: DataFrame, tools: dict[str, str] = WORKFLOW_TOOLS, max
     )
 
 
-def source_files(files: DataFrame, key: str = "package", max_files: int | None = None) -> DataFrame:
-    """Files below ``src/`` that are analysed; no limit on their number by default."""
+def source_files(files: DataFrame) -> DataFrame:
+    """Files below ``src/`` that are analysed: all of them, of any size and depth."""
     path = F.col("path")
-    depth = F.size(F.split(path, "/")) - 1
-    kept = files.filter(path.startswith("src/") & path.rlike(r"[^/]\.rs$") & (depth <= MAX_DEPTH))
-    if max_files is not None:
-        kept = first_files(kept, key, max_files)
-    return kept.filter(F.col("length") <= MAX_FILE_BYTES)
+    return files.filter(path.startswith("src/") & path.rlike(r"[^/]\.rs$"))
 
 
 def source_stats(files: DataFrame, key: str = "package") -> DataFrame:
     """Line statistics summed per package; files are read where they are."""
-    # The statistics are a costly expression: keep it to one evaluation per file.
-    per_file = files.select(key, F.explode(F.array(line_statistics(F.col("content")))).alias("s"))
+    per_file = files.select(key, line_statistics(F.col("content")).alias("s"))
     return per_file.groupBy(key).agg(
         F.count("*").alias("source_files"),
         F.count_if(F.col("s.has_errors")).alias("source_files_with_errors"),

@@ -162,7 +162,7 @@ def activators(edges: DataFrame, package_features: DataFrame, also: Sequence[str
     key = [*_EDGE_KEY, *also]
     optional = edges.filter("optional").select(*key)
     lib, act = F.col("dep_lib_name"), F.col("activation")
-    target = F.when(act.startswith("dep:"), F.substring(act, 5, 1 << 20)).when(
+    target = F.when(act.startswith("dep:"), F.call_function("substring", act, F.lit(5))).when(
         F.contains(act, F.lit("/")), F.substring_index(act, "/", 1)
     ).otherwise(act)
     named = package_features.select("pkg_id", "feature", target.alias("dep_lib_name"), "activation").filter(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.stats import (
@@ -38,21 +38,9 @@ def age_series_names(days: Sequence[int] = WINDOW_DAYS) -> list[str]:
     ]
 
 
-def lookback(
-    issues: DataFrame, now: Column, days: int | None = None, max_rows: int | None = None
-) -> DataFrame:
-    """Optional limits of the fetching side: age, and newest rows per repository.
-
-    Both are off by default.  The row limit ranks within a repository; Spark
-    applies it per task before the shuffle, so no task sees a whole hot repository.
-    """
-    out = issues
-    if days is not None:
-        out = out.filter(F.col("created_at") >= days_before(now, days))
-    if max_rows is not None:
-        newest = Window.partitionBy("repo").orderBy(F.desc("created_at"), *[c for c in ("id",) if c in issues.columns])
-        out = out.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= max_rows).drop("_rank")
-    return out
+def lookback(issues: DataFrame, now: Column, days: int | None = None) -> DataFrame:
+    """Issues created in the last ``days``; all of them by default."""
+    return issues if days is None else issues.filter(F.col("created_at") >= days_before(now, days))
 
 
 def issue_counts(issues: DataFrame, now: Column, days: Sequence[int] = WINDOW_DAYS) -> DataFrame:

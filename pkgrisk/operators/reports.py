@@ -15,7 +15,8 @@ from pkgrisk.operators.rules import FALSE, TRUE
 # Marks and texts of the reports.
 MARKS = {TRUE: "✔️", FALSE: "❌"}
 NO_MARK = "➖"
-MAX_MATRIX_COLUMNS = 10_000
+# Packages side by side in one file of a matrix; more packages make more files.
+MATRIX_BLOCK = 1_000
 
 
 def in_report_order(df: DataFrame) -> DataFrame:
@@ -64,11 +65,9 @@ def report_label(name: Column, version: Column) -> Column:
 def matrix_report(long: DataFrame, texts: DataFrame | None, packages: Sequence[str]) -> DataFrame:
     """Metrics down, packages across; appraisal and reasons first.
 
-    The columns of this report are packages, so their number is what a reader
-    can take in; larger sets keep the long form.
+    ``packages`` names the columns.  A package of the input that is not among
+    them ends the job; see ``matrix_reports`` for many packages.
     """
-    if len(packages) > MAX_MATRIX_COLUMNS:
-        raise ValueError(f"a matrix takes at most {MAX_MATRIX_COLUMNS} packages; use the long form")
     rows = long.select(
         (F.col("category_ord") + 2).alias("section"),
         "metric_ord",
@@ -88,11 +87,26 @@ def matrix_report(long: DataFrame, texts: DataFrame | None, packages: Sequence[s
                     F.col(value).alias("value"),
                 )
             )
+    listed = F.array_contains(F.lit(list(packages)), F.col("package"))
+    stray = F.raise_error(F.concat(F.lit("package is not listed for the matrix: "), F.col("package")))
+    rows = rows.withColumn("package", F.when(listed, F.col("package")).otherwise(stray))
     wide = rows.groupBy("section", "metric_ord", "Metric").pivot("package", list(packages)).agg(F.first("value"))
     cells = [F.coalesce(F.col(f"`{p}`"), F.lit("")).alias(p) for p in packages]
     return wide.orderBy("section", "metric_ord").select("Metric", *cells)
 
 
+def matrix_reports(
+    long: DataFrame, texts: DataFrame | None, packages: Sequence[str], block: int = MATRIX_BLOCK
+) -> list[DataFrame]:
+    """The matrix of any number of packages as several, each of at most ``block`` of them."""
+
+    def within(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        return df.filter(report_label(F.col("name"), F.col("version")).isin(list(names)))
+
+    blocks = [packages[i : i + block] for i in range(0, len(packages), block)]
+    return [matrix_report(within(long, b), texts if texts is None else within(texts, b), b) for b in blocks]
+
+
 def present_metrics(long: DataFrame) -> DataFrame:
     """Metrics any package has, by category and registry order."""
     return (

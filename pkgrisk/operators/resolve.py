@@ -11,6 +11,8 @@ from pkgrisk.functions.text import did_you_mean, normalize_name, repository
 
 # Suggestion limits, placeholder version, outcome names.
 MAX_SUGGESTIONS = 3
+# Pieces of a name beyond those that a similar name must share; the commonest are left out.
+SPARE_PIECES = 1
 MIN_SCORE = 0.8
 MIN_SUGGESTABLE_BYTES = 5
 PLACEHOLDER_VERSION = "0.0.0"
@@ -109,9 +111,10 @@ def _layout(lengths: DataFrame) -> DataFrame:
     A similar pair has distance d <= k = max(length) / 5.  Of those edits, the
     length difference ``gap`` is forced insertions or deletions, which harm at
     most one piece each; any other edit harms at most two.  Cut into
-    ``2k - gap + 1`` pieces, the wanted name therefore keeps one piece whole, at
-    an offset limited by the edits on either side of it.  The table depends on
-    the distinct name lengths only.
+    ``2k - gap + 1 + SPARE_PIECES`` pieces, the wanted name therefore keeps
+    1 + SPARE_PIECES of them whole, each at an offset limited by the edits on
+    either side of it, so the SPARE_PIECES commonest need no look.  The table
+    depends on the distinct name lengths only.
     """
     pairs = (
         lengths.withColumn(
@@ -127,7 +130,8 @@ def _layout(lengths: DataFrame) -> DataFrame:
         .withColumn("gap", F.abs("shift_by"))
         .withColumn("k", F.floor(F.greatest("offered_len", "wanted_len") / 5).cast("int"))
         .filter("gap <= k")
-        .withColumn("pieces", F.expr("2 * k - gap + 1"))
+        .withColumn("pieces", F.expr(f"least(2 * k - gap + 1 + {SPARE_PIECES}, wanted_len)"))
+        .withColumn("spare", F.expr("pieces - (2 * k - gap + 1)"))
     )
     return (
         pairs.withColumn("i", F.explode(F.expr("sequence(0, pieces - 1)")))
@@ -143,7 +147,7 @@ def _layout(lengths: DataFrame) -> DataFrame:
         )
         .withColumn("at", F.col("cut_at") + F.col("move"))
         .filter("at >= 0 and at + cut_len <= offered_len")
-        .select("wanted_len", "offered_len", "k", "cut_at", "cut_len", "at")
+        .select("wanted_len", "offered_len", "k", "i", "spare", "cut_at", "cut_len", "at")
         .distinct()
     )
 
@@ -157,13 +161,11 @@ def _letters(text: str) -> Column:
     )
 
 
-def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SUGGESTABLE_BYTES) -> DataFrame:
-    """All pairs ``wanted, offered, score`` with similarity of at least 0.8.
+def candidate_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SUGGESTABLE_BYTES) -> DataFrame:
+    """Pairs that may be similar, once each; no similar pair is missing.
 
-    Both inputs have a ``name``.  Candidates come from an equi join on
-    (length, position, piece), which is lossless (see ``_layout``).  Two cheap
-    lower bounds, on the letters used and on the plain edit distance, thin them
-    inside the join stage and only the rest reaches the Arrow batches.
+    They come from an equi join on (length, position, piece), see ``_layout``,
+    thinned by a lower bound on the letters used.
     """
     w = (
         wanted.filter(F.octet_length("name") >= min_bytes)
@@ -186,20 +188,39 @@ def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SU
     def piece(text: str, at: str) -> Column:
         return F.col(text).substr(F.col(at) + 1, F.col("cut_len"))
 
+    place = ["offered_len", "at", "cut_len", "piece"]
     asked = w.join(layout, "wanted_len").withColumn("piece", piece("w", "cut_at"))
     held = o.join(spots, "offered_len").withColumn("piece", piece("o", "at"))
-    near = (
-        asked.join(held, ["offered_len", "at", "cut_len", "piece"])
+    # Of each wanted name the commonest pieces are left out, as many as are to spare.
+    common = held.groupBy(*place).agg(F.count(F.lit(1)).alias("names"))
+    cost = asked.join(common, place).groupBy("wanted", "offered_len", "i", "spare").agg(F.sum("names").alias("names"))
+    dearest = Window.partitionBy("wanted", "offered_len").orderBy(F.desc("names"), "i")
+    looked = cost.withColumn("rank", F.row_number().over(dearest)).filter(F.col("rank") > F.col("spare")).select("wanted", "offered_len", "i")
+    return (
+        asked.join(looked, ["wanted", "offered_len", "i"])
+        .join(held, place)
         .filter(F.bit_count(F.col("w_letters").bitwiseXOR(F.col("o_letters"))) <= 2 * F.col("k"))
-        .filter(F.levenshtein("w", "o") <= 2 * F.col("k"))
+        # A pair may share several pieces; it is compared once.
+        .select("wanted", "offered", "w", "o", "k", "wanted_len", "offered_len")
+        .distinct()
     )
+
+
+def similar_names(wanted: DataFrame, offered: DataFrame, min_bytes: int = MIN_SUGGESTABLE_BYTES) -> DataFrame:
+    """All pairs ``wanted, offered, score`` with similarity of at least 0.8.
+
+    Both inputs have a ``name``.  The plain edit distance, a lower bound, thins
+    the candidates; only the rest reaches the Arrow batches.
+    """
+    near = candidate_names(wanted, offered, min_bytes).filter(F.levenshtein("w", "o") <= 2 * F.col("k"))
     longest = F.greatest("wanted_len", "offered_len")
     return (
         near.withColumn("d", edit_distance("w", "o"))
         .filter(F.col("d") <= F.col("k"))
-        .groupBy("wanted", "offered")
-        .agg(
-            F.max(F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.col("d") / longest)).alias("score")
+        .select(
+            "wanted",
+            "offered",
+            F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.col("d") / longest).alias("score"),
         )
     )
 

@@ -123,13 +123,12 @@ def merged_age_stats(s: Shadow) -> DataFrame:
 
 
 @query(
-    f"""WITH {ISSUES}, n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, l_orderkey, l_linenumber, l_partkey) AS r
-  FROM issues WHERE created_at >= {NOW} - INTERVAL 1000 DAY)
-SELECT repo, count(*) AS rows, strftime(min(created_at), '%Y-%m-%d') AS oldest FROM n WHERE r <= 100 GROUP BY 1"""
+    f"""WITH {ISSUES} SELECT repo, count(*) AS rows, strftime(min(created_at), '%Y-%m-%d') AS oldest
+  FROM issues WHERE created_at >= {NOW} - INTERVAL 1000 DAY GROUP BY 1"""
 )
 def issue_lookback(s: Shadow) -> DataFrame:
-    """The fetching side's limits as options: age and newest rows per repository."""
-    kept = host.lookback(s.issues, now(), days=1000, max_rows=100)
+    """All issues that are young enough."""
+    kept = host.lookback(s.issues, now(), days=1000)
     return kept.groupBy("repo").agg(
         F.count("*").alias("rows"), F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("oldest")
     )
@@ -180,7 +179,7 @@ def workflow_flags(s: Shadow) -> DataFrame:
     return code.workflow_flags(s.workflow_files)
 
 
-_KEPT_FILE = "l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0"
+_KEPT_FILE = "l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0"
 _PIECES = f"""f AS (SELECT l_orderkey, l_orderkey // 10 AS package,
   sum(CASE l_linenumber % 6 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 4 THEN 3 WHEN 5 THEN 1 ELSE 0 END)
     + CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END AS code,
@@ -207,13 +206,12 @@ def unsafe_count(s: Shadow) -> DataFrame:
 
 @query(
     """WITH f AS (SELECT DISTINCT l_orderkey // 10 AS package, l_orderkey AS k, concat('src/f', l_orderkey, '.rs') AS path
-  FROM lineitem WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY path) AS r FROM f)
-SELECT package, count(*) AS files, min(path) AS first_path, max(path) AS last_path FROM n WHERE r <= 5 AND k % 17 <> 0 GROUP BY 1"""
+  FROM lineitem WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0)
+SELECT package, count(*) AS files, min(path) AS first_path, max(path) AS last_path FROM f GROUP BY 1"""
 )
 def source_file_filter(s: Shadow) -> DataFrame:
-    """Which files are read, with the optional limit on their number."""
-    kept = code.source_files(s.source_files, max_files=5)
+    """Which files are read."""
+    kept = code.source_files(s.source_files)
     return kept.groupBy("package").agg(
         F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path")
     )

@@ -162,8 +162,13 @@ def test_order_summary_and_matrix_limit(spark):
     assert {r.risk: r.packages for r in rep.risk_summary(df).collect()} == {"LOW": 1, "HIGH": 1, "NOT_EVALUATED": 1}
     assert [r.name for r in rep.risk_listing(df).collect()] == ["serde", "tokio", "anyhow"]
     assert rep.present_metrics(metrics_long(df, REPORT)).count() == len(REPORT)
-    with pytest.raises(ValueError, match="long form"):
-        rep.matrix_report(metrics_long(df, REPORT), None, ["x"] * 10_001)
+    names = [f"{r.name} v{r.version}" for r in df.collect()]
+    whole = rep.matrix_report(metrics_long(df, REPORT), None, names).collect()
+    parts = [m.collect() for m in rep.matrix_reports(metrics_long(df, REPORT), None, names, block=2)]
+    assert [len(p[0]) for p in parts] == [3, 2]
+    assert {r.Metric: tuple(r)[1:3] for r in whole} == {r.Metric: tuple(r)[1:] for r in parts[0]}
+    with pytest.raises(Exception, match="not listed"):
+        rep.matrix_report(metrics_long(df, REPORT), None, names[:2]).collect()
 
 
 def test_score_text_rounds_to_even(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.distance import transposition_distance
 from pkgrisk.functions.text import csv_cell, normalize_name, repository, tags
-from pkgrisk.operators.resolve import parse_requests, similar_names, suggest_names
+from pkgrisk.operators.resolve import candidate_names, parse_requests, similar_names, suggest_names
 
 
 def plain_distance(a: str, b: str) -> int:
@@ -71,6 +71,21 @@ def test_candidate_join_loses_nothing(spark):
     assert {(r.wanted, r.offered) for r in rows} == expected
 
 
+def test_a_common_prefix_makes_no_crowd(spark):
+    rng = random.Random(3)
+
+    def names(n):
+        return spark.createDataFrame([("lib" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)),) for _ in range(n)], "name string")
+
+    assert candidate_names(names(100), names(20_000)).count() < 100 * 20_000 * 0.02
+
+
+def test_distance_is_computed_once(spark):
+    df = spark.createDataFrame([("serde",), ("tokio",)], "name string")
+    plan = similar_names(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2 and plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
 def test_suggestions(spark):
     crates = spark.createDataFrame([("serde",), ("serde-json",), ("serde_derive",), ("tokio",)], "name string")
     missing = spark.createDataFrame([("serdee",), ("serdejson",), ("abcd",)], "name string")

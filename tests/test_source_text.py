@@ -1,7 +1,6 @@
-import pytest
 from pyspark.sql import functions as F
 
-from pkgrisk.functions.source_text import line_statistics
+from pkgrisk.functions.source_text import line_statistics, statistics
 from pkgrisk.operators.codebase import source_files, source_stats
 
 CASES = [
@@ -32,6 +31,26 @@ CASES = [
 ]
 
 
+MORE = [
+    ("/* a /* b */ c */\nfn x() {}\n", (2, 0, 1, 0, False)),
+    ("/* never closed\nfn x() {}\n", (2, 0, 0, 0, False)),
+    ("fn f() {\n    let r = r##\"a \"# /* { \"##;\n    /* one\n\n    /* two */ */ g();\n}\n", (5, 0, 3, 0, False)),
+    ("#[cfg(\n    test\n)]\nmod tests {\n    fn t() {}\n}\n", (0, 3, 0, 0, False)),
+    ("fn f() {\n    #[cfg(test)]\n    {\n        g();\n    }\n}\n", (6, 0, 0, 0, False)),
+    ("unsafe impl Send for A {}\nunsafe extern \"C\" fn e() {}\nfn f() { unsafe { g() } }\n", (3, 0, 0, 3, False)),
+    ("", (0, 0, 0, 0, False)), ("\n \n\t\n", (0, 0, 0, 0, False)), ("fn f( {\n", (1, 0, 0, 0, True)),
+]
+
+
+def test_more_texts():
+    for text, expected in MORE:
+        assert statistics(text) == expected, text
+
+
+def test_no_text(spark):
+    assert spark.createDataFrame([(None,)], "c string").select(line_statistics(F.col("c")).alias("s")).head().s is None
+
+
 def test_line_statistics(spark):
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CASES)], "i int, c string")
     for row in df.select("i", line_statistics(F.col("c")).alias("s")).collect():
@@ -44,10 +63,10 @@ FILES = [
 ]
 
 
-@pytest.mark.parametrize("limit, expected", [(None, {"src/a.rs", "src/x/b.rs", "src/limit.rs"}), (2, {"src/a.rs"})])
-def test_source_file_selection(spark, limit, expected):
+def test_source_file_selection(spark):
     df = spark.createDataFrame([("p", p, n) for p, n in FILES], "package string, path string, length bigint")
-    assert {r.path for r in source_files(df, max_files=limit).collect()} == expected
+    deep = "src/" + "d/" * 50 + "e.rs"
+    assert {r.path for r in source_files(df).collect()} == {"src/a.rs", "src/x/b.rs", "src/limit.rs", "src/big.rs", deep}
 
 
 def test_package_sums(spark):

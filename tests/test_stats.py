@@ -83,7 +83,6 @@ def test_lookback_limits(spark):
     df = spark.createDataFrame([issue(d) for d in range(10)], ISSUE)
     assert lookback(df, F.expr(NOW)).count() == 10
     assert lookback(df, F.expr(NOW), days=4).count() == 5
-    assert lookback(df, F.expr(NOW), max_rows=3).count() == 3
 
 
 def test_hosting_facts(spark):

@@ -51,3 +51,29 @@ def test_interval_is_plain_order(spark):
         (semver_key(F.col("v")) < requirement_interval(F.col("r"))["hi"]).alias("inside")
     ).collect()
     assert [r.inside for r in inside] == [True, False]
+
+
+def test_numbers_beyond_the_range_are_malformed(spark):
+    big = "9" * 25
+    cases = [(f"{big}.0.0", "^1"), ("1.0.0", f"^{big}.1"), ("1.0.0", f">=1, <{big}"), ("1.0.0", "^18446744073709551616"), (f"1.0.0-{big}", "*")]
+    df = spark.createDataFrame(cases, "v string, r string")
+    rows = df.select(requirement_matches(F.col("v"), F.col("r")).alias("m"), semver_key(F.col("v")).alias("k"), requirement_interval(F.col("r")).alias("i")).collect()
+    assert [r.m for r in rows] == [None, None, None, None, False]
+    assert rows[0].k is None and rows[4].k is not None
+    assert [r.i is None for r in rows] == [False, True, True, True, False]
+
+
+def test_long_identifiers_are_ordered_by_value(spark):
+    pre = ["1.0.0-" + "1" * n for n in (9_998, 9_999, 10_000, 10_001)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(pre)], "i int, v string")
+    assert [r.i for r in df.orderBy(semver_key(F.col("v"))).collect()] == [0, 1, 2, 3]
+
+
+def test_malformed_advisory_ranges_do_not_end_the_job(spark):
+    from pkgrisk.operators.advisories import version_counts
+
+    rows = [("A-1", "p", None, "high", None, [f"^{'9' * 30}.1", ">=2.0.0"], None), ("A-2", "p", None, "low", None, ["nonsense"], None)]
+    advisories = spark.createDataFrame(rows, "id string, package string, informational string, severity string, cvss string, patched array<string>, unaffected array<string>")
+    versions = spark.createDataFrame([("p", "1.0.0"), ("p", "2.1.0"), ("p", f"{'9' * 25}.0.0")], "package string, version string")
+    counted = {r.version: sum(v for k, v in r.asDict().items() if isinstance(v, int)) for r in version_counts(advisories, versions).collect()}
+    assert counted["1.0.0"] > counted["2.1.0"] and len(counted) == 3
