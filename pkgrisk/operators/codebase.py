@@ -88,6 +88,20 @@ def in_repository(packages: DataFrame, repo_packages: DataFrame) -> DataFrame:
     )
 
 
+def located_codebase(packages: DataFrame, codebase: DataFrame) -> DataFrame:
+    """``name, version, status, reason, codebase`` of the packages whose repository was analysed.
+
+    ``packages(name, version, repo)``, ``codebase(repo, name, codebase)``.  A
+    package that its repository does not hold is Unavailable.
+    """
+    analysed = packages.select("name", "version", "repo").join(codebase.select("repo").distinct(), "repo", "left_semi")
+    return (
+        in_repository(analysed, codebase)
+        .join(codebase.select("repo", "name", "codebase"), ["repo", "name"], "left")
+        .select("name", "version", "status", "reason", "codebase")
+    )
+
+
 def codebase_facts(
     repo_packages: DataFrame,
     commits: DataFrame,

@@ -12,11 +12,6 @@ NOT_QUERIED = "not queried"
 PROVIDERS = ("hosting", "advisories", "codebase", "coverage", "docs")
 
 
-def queryable(resolved: DataFrame) -> DataFrame:
-    """Only packages with registry data are looked up in the other sources."""
-    return resolved.filter(F.col("status") == FOUND).select("name", "version").distinct()
-
-
 def for_packages(packages: DataFrame, per_repo: DataFrame, payload: str) -> DataFrame:
     """Fan a repository-grain source out to ``packages(name, version, repo)``."""
     return packages.join(per_repo, "repo").select("name", "version", "status", "reason", payload)
@@ -29,11 +24,12 @@ def merge_facts(packages: DataFrame, providers: dict[str, DataFrame]) -> DataFra
     source) and optionally ``status, reason``.  What it has no row for is
     Unavailable, "not queried".
     """
-    out = packages
+    out, columns = packages, [F.col(f"`{c}`") for c in packages.columns]
     for name in PROVIDERS:
         df = providers.get(name)
         status, reason = f"{name}_status", f"{name}_reason"
         if df is None:
+            columns += [F.lit("Unavailable").alias(status), F.lit(NOT_QUERIED).alias(reason)]
             continue
         known = df.select(
             "name",
@@ -42,15 +38,11 @@ def merge_facts(packages: DataFrame, providers: dict[str, DataFrame]) -> DataFra
             (F.col("status") if "status" in df.columns else F.lit(FOUND)).alias(status),
             (F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")).alias(reason),
         )
+        out = out.join(known, ["name", "version"], "left")
         absent = F.col(status).isNull()
-        out = (
-            out.join(known, ["name", "version"], "left")
-            .withColumn(reason, F.when(absent, F.lit(NOT_QUERIED)).otherwise(F.col(reason)))
-            .withColumn(status, F.coalesce(status, F.lit("Unavailable")))
-        )
-    for name in PROVIDERS:
-        if name not in providers:
-            out = out.withColumn(f"{name}_status", F.lit("Unavailable")).withColumn(
-                f"{name}_reason", F.lit(NOT_QUERIED)
-            )
-    return out
+        columns += [
+            F.col(name),
+            F.coalesce(status, F.lit("Unavailable")).alias(status),
+            F.when(absent, F.lit(NOT_QUERIED)).otherwise(F.col(reason)).alias(reason),
+        ]
+    return out.select(*columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.stats import WINDOW_DAYS, window_counts
+from pkgrisk.session import Scratch
 
 RECENT_MONTHS = 3  # fixed value: month buckets that make "the last 90 days"
 _MONTHS = "array<struct<month: date, downloads: bigint>>"
@@ -149,7 +150,9 @@ def registry_facts(registry: Registry, packages: DataFrame, now: Column) -> Data
     r = registry
     versions = only(r.versions, ids, "crate_id")
     all_version_ids = versions.select(F.col("id").alias("version_id"))
+    # The largest table is read once: both series come from these sums.
     months = monthly_by_version(only(r.version_downloads, all_version_ids, "version_id"))
+    months = Scratch(packages.sparkSession, "registry").save(months, "months")
     per_crate = as_series(monthly_by_crate(months, versions), "crate_id")
     per_version = as_series(only(months, hits.select("version_id"), "version_id"), "version_id")
 

@@ -17,6 +17,7 @@ MIN_SCORE = 0.8
 MIN_SUGGESTABLE_BYTES = 5
 PLACEHOLDER_VERSION = "0.0.0"
 FOUND, CRATE_NOT_FOUND, VERSION_NOT_FOUND = "Found", "CrateNotFound", "VersionNotFound"
+INVALID_REQUEST = "InvalidRequest"
 
 
 def parse_requests(df: DataFrame, text: str = "request") -> DataFrame:
@@ -264,8 +265,11 @@ def analysable(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("status") == FOUND)
 
 
-def failures(resolved: DataFrame) -> DataFrame:
-    """Rows that cannot be analysed, with the text a user sees."""
+def failures(resolved: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Rows that cannot be analysed, with the text a user sees.
+
+    ``parsed``: the parsed requests, whose errors are failures too.
+    """
     hint = did_you_mean(F.coalesce("suggestions", F.array().cast("array<string>")))
     not_found = F.concat(
         F.format_string("Could not find information on crate '%s'", F.col("name")),
@@ -274,7 +278,7 @@ def failures(resolved: DataFrame) -> DataFrame:
     no_version = F.format_string(
         "Could not find information on version %s of crate `%s`", F.col("version"), F.col("name")
     )
-    return resolved.filter(F.col("status") != FOUND).select(
+    failed = resolved.filter(F.col("status") != FOUND).select(
         "name",
         "version",
         "status",
@@ -282,3 +286,9 @@ def failures(resolved: DataFrame) -> DataFrame:
         .when(F.col("status") == VERSION_NOT_FOUND, no_version)
         .alias("message"),
     )
+    if parsed is None:
+        return failed
+    unread = parsed.filter("error is not null").select(
+        "name", "version", F.lit(INVALID_REQUEST).alias("status"), F.col("error").alias("message")
+    )
+    return failed.unionByName(unread.distinct())

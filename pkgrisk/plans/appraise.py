@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.text import repository
 from pkgrisk.operators.advisories import advisory_facts
+from pkgrisk.operators.codebase import located_codebase
 from pkgrisk.operators.facts import for_packages, merge_facts
 from pkgrisk.operators.graph import closure_facts, closure_requests, select_roots
 from pkgrisk.operators.metrics import metrics_wide
@@ -72,7 +73,7 @@ def gather(found: Identified, registry: Registry, sources: Sources, now: Column)
     if sources.coverage is not None:
         providers["coverage"] = for_packages(ids, sources.coverage, "coverage")
     if sources.codebase is not None:
-        providers["codebase"] = ids.join(sources.codebase, ["repo", "name"]).select("name", "version", "codebase")
+        providers["codebase"] = located_codebase(ids, sources.codebase)
     if sources.docs is not None:
         providers["docs"] = sources.docs.join(ids, ["name", "version"], "left_semi")
     return merge_facts(registry_facts(registry, found.packages, now), providers)

@@ -11,7 +11,7 @@ from pkgrisk.operators import freshness as fresh
 from pkgrisk.operators import reports as rep
 from pkgrisk.operators import rules
 from pkgrisk.operators.advisories import advisory_facts
-from pkgrisk.operators.codebase import codebase_facts
+from pkgrisk.operators.codebase import codebase_facts, located_codebase
 from pkgrisk.operators.coverage import coverage_facts
 from pkgrisk.operators.docs import docs_facts
 from pkgrisk.operators.facts import for_packages, merge_facts
@@ -65,7 +65,7 @@ def _codebase(s: Shadow, ids: DataFrame) -> DataFrame:
     facts = codebase_facts(
         known, s.commits, s.workflow_files, s.source_files, transitive_dependency_counts(s.links, part), EVENTS_NOW_UNIX
     )
-    return ids.join(facts, ["repo", "name"]).select("name", "version", "codebase")
+    return located_codebase(ids, facts)
 
 
 def _facts(s: Shadow, codebase: bool = False) -> DataFrame:
@@ -87,15 +87,31 @@ SELECT name, version,
   CASE WHEN s_suppkey IS NULL THEN 'not queried' WHEN s_suppkey % 3 = 2 THEN 'unsupported hosting provider: git.example.org' END AS hosting_reason,
   'Found' AS advisories_status,
   CASE WHEN doc_id IS NULL OR 48 + doc_id % 12 NOT BETWEEN 50 AND 57 THEN 'Unavailable' ELSE 'Found' END AS docs_status,
-  'not queried' AS codebase_reason
-FROM pk LEFT JOIN supplier ON s_suppkey = id LEFT JOIN documents ON doc_id = id"""
+  CASE WHEN user_id IS NULL THEN 'not queried' END AS codebase_reason
+FROM pk LEFT JOIN supplier ON s_suppkey = id LEFT JOIN documents ON doc_id = id LEFT JOIN (SELECT DISTINCT user_id FROM events) ON user_id = id"""
 )
 def facts_merge(s: Shadow) -> DataFrame:
-    return _facts(s).select(
+    return _facts(s, codebase=True).select(
         "name", "version", "hosting_status", "hosting_reason", "advisories_status", "docs_status", "codebase_reason"
     )
 
 
+@query(
+    f"""WITH {_KNOWN}, c AS (SELECT DISTINCT user_id AS repo FROM events)
+SELECT name, version, CASE WHEN repo % 3 = 0 THEN 'Unavailable' ELSE 'Found' END AS status,
+  CASE WHEN repo % 3 = 0 THEN format('crate {{}} not found in repository {{}}', concat(chr(39), name, chr(39)), concat(chr(39), repo, chr(39))) END AS reason
+FROM pk JOIN c ON repo = id"""
+)
+def package_in_repository(s: Shadow) -> DataFrame:
+    """Packages whose repository was analysed; every third one holds another package only."""
+    held = s.commits.select("repo").distinct().select(
+        "repo",
+        F.expr("CASE WHEN repo % 3 = 0 THEN 'another' ELSE concat('Customer#', lpad(cast(repo as string), 9, '0')) END").alias("name"),
+        F.struct(F.col("repo").alias("seen")).alias("codebase"),
+    )
+    return located_codebase(_everyone(s).select("name", "version", "repo"), held).drop("codebase")
+
+
 _WIDE = f"""{_KNOWN}, {CRATE_MONTHS}, {_RECENT}, {ISSUES},
 iss AS (SELECT repo, count(*) FILTER (is_open AND NOT is_pr) AS open_issues, count(*) FILTER (is_pr AND merged_at >= {NOW} - INTERVAL 180 DAY) AS merged FROM issues GROUP BY 1),
 tot AS (SELECT o_custkey, sum(floor(o_totalprice)::BIGINT)::BIGINT AS downloads FROM orders GROUP BY 1),
