@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 # Accepted format versions and the link syntax looked for.
 FORMAT_VERSIONS = (50, 57)
 CODE_BLOCK = r"```[\s\S]*?```"
-FENCE_LINE = r"(?m)^[^\S\n]*```"
+FENCE_LINE = r"(?md)^[^\S\n]*```"
 LINK = r"\[`([^`\]]+)`\](?=(\(|\[[^\]]*\])?)"
 LINK_DEFINITION = r"\[`([^`\]]+)`\]:\s*(\S+)"
 
 
+# What is read of a document; anything else is skipped while parsing, so no
+# value but a single text has a size limit.
+ITEM = (
+    "struct<visibility: string, name: string, docs: string, links: map<string, string>, "
+    "inner: struct<`use`: string>>"
+)
+DOCUMENT = f"struct<format_version: string, root: string, index: map<string, {ITEM}>, _bad: string>"
+_READ = {
+    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
+    "maxStringLen": str(2**31 - 1), "maxNestingDepth": "100000",
+}
+
+
 def parsed(docs_json: DataFrame) -> DataFrame:
-    """Adds ``doc`` (VARIANT), ``status`` and ``reason`` to ``body`` rows."""
+    """Adds ``doc``, ``status`` and ``reason`` to ``body`` rows."""
     low, high = FORMAT_VERSIONS
-    version = F.try_variant_get("doc", "$.format_version", "bigint")
+    version = F.col("doc.format_version").try_cast("bigint")
+    # A value of another type than expected spoils its own field only; text that is no JSON object to its end is malformed.
+    broken = F.col("doc._bad").isNotNull() & F.json_object_keys("body").isNull()
     reason = (
-        F.when(F.col("doc").isNull(), "malformed JSON")
+        F.when(F.col("doc").isNull() | broken, "malformed JSON")
         .when(version.isNull(), "missing 'format_version' field")
         .when(
             ~version.between(low, high),
@@ -26,7 +41,7 @@ def parsed(docs_json: DataFrame) -> DataFrame:
         )
     )
     return (
-        docs_json.withColumn("doc", F.try_parse_json("body"))
+        docs_json.withColumn("doc", F.from_json("body", DOCUMENT, _READ))
         .withColumn("reason", reason)
         .withColumn("status", F.when(F.col("reason").isNull(), "Found").otherwise("Unavailable"))
         .drop("body")
@@ -39,33 +54,24 @@ def items(docs: DataFrame) -> DataFrame:
     ``counts`` is true for public items that are not re-exports.  A document
     without items keeps one row, so that no join has to bring it back.
     """
-    spark = docs.sparkSession
-    readable = docs.filter(F.col("status") == "Found").select(
-        "package",
-        "version",
-        F.try_variant_get("doc", "$.root", "string").alias("root"),
-        F.try_variant_get("doc", "$.index", "variant").alias("index"),
+    exploded = docs.filter(F.col("status") == "Found").select(
+        "package", "version", F.col("doc.root").alias("root"), F.explode_outer("doc.index").alias("id", "item")
     )
-    exploded = readable.lateralJoin(spark.tvf.variant_explode_outer(F.col("index").outer()))
-    item = F.col("value")
+    public = (F.col("item.visibility") == "public") & F.col("item.inner.use").isNull()
     return exploded.select(
         "package",
         "version",
-        F.col("key").alias("id"),
+        "id",
         "root",
-        F.coalesce(
-            (F.try_variant_get(item, "$.visibility", "string") == "public")
-            & F.try_variant_get(item, "$.inner.use", "variant").isNull(),
-            F.lit(False),
-        ).alias("counts"),
-        F.try_variant_get(item, "$.name", "string").alias("name"),
-        F.try_variant_get(item, "$.docs", "string").alias("docs"),
-        F.try_variant_get(item, "$.links", "map<string,string>").alias("links"),
+        F.coalesce(public, F.lit(False)).alias("counts"),
+        "item.name",
+        "item.docs",
+        "item.links",
     )
 
 
 def has_docs(docs: Column) -> Column:
-    return F.coalesce(docs.rlike(r"\S"), F.lit(False))
+    return F.coalesce(docs.rlike(r"(?U)\S"), F.lit(False))
 
 
 def example_count(docs: Column) -> Column:
@@ -80,7 +86,6 @@ def broken_links(docs: Column, links: Column) -> Column:
     ``links`` maps resolved link texts to item ids.
     """
     text = F.regexp_replace(docs, CODE_BLOCK, "")
-    names = F.coalesce(F.map_keys(links), F.array().cast("array<string>"))
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(LINK), F.lit(1)).alias("label"),
         F.regexp_extract_all(text, F.lit(LINK), F.lit(2)).alias("after"),
@@ -91,7 +96,7 @@ def broken_links(docs: Column, links: Column) -> Column:
     )
 
     def known(name: Column) -> Column:
-        return F.coalesce(F.array_contains(names, name), F.lit(False))
+        return F.coalesce(F.map_contains_key(links, name), F.lit(False))
 
     def defined(label: Column) -> Column:
         # The last definition of a label is the one that holds.

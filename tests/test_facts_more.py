@@ -1,8 +1,11 @@
 """Packages in and outside their repositories, and failures of every kind."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from pkgrisk.operators.codebase import located_codebase
+from pkgrisk.operators.docs import docs_facts
 from pkgrisk.operators.facts import merge_facts
 from pkgrisk.operators.resolve import failures, parse_requests
 
@@ -27,3 +30,18 @@ def test_unreadable_requests_are_failures(spark):
         ("a", "VersionNotFound", "Could not find information on version 1.0.0 of crate `a`"),
         ("b", "InvalidRequest", "cannot parse version 'x' in request 'b@x'"),
     }
+
+
+def test_documents_of_any_size_and_shape(spark):
+    large = {str(i): {"name": "x", "visibility": "public", "docs": "d" * 1_000_000, "links": None, "inner": {"struct": {"deep": [[1]]}}} for i in range(140)}
+    bodies = {
+        "large": json.dumps({"format_version": 57, "root": 0, "index": large}),
+        "list": "[1]", "cut": '{"format_version": 57, "index": {"1": ', "none": None, "old": '{"format_version": 3}', "plain": "{}",
+        "odd": json.dumps({"format_version": 57, "root": 0, "index": {"1": {"name": 5, "visibility": {"restricted": {}}, "docs": None, "inner": {"use": {}}}, "2": {"visibility": "public", "links": [1]}}}),
+    }
+    df = spark.createDataFrame([(k, "1", v) for k, v in bodies.items()], "package string, version string, body string")
+    got = {r.name: r for r in docs_facts(df).collect()}
+    assert got["large"].docs.public_api_elements == 140 and got["large"].docs.undocumented_elements == 0
+    assert got["odd"].docs.public_api_elements == 1
+    assert [got[k].reason for k in ("cut", "none", "old")] == ["malformed JSON", "malformed JSON", "unsupported format version 3"]
+    assert got["plain"].reason == "missing 'format_version' field" and got["list"].status == "Unavailable"
