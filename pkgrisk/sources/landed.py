@@ -55,14 +55,17 @@ def commit_times(lines: DataFrame) -> DataFrame:
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """Log files, one author time per line, newest first, named after their repo.
 
-    The position in the log is what orders commits, so a file stays whole.
+    Files are split.  ``seq`` orders the lines of a file: where its split
+    starts, then the line within the task that reads the split.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(
+    lines = spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("repo"),
-        F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")
+        ).alias("seq"),
+        "value",
     )
-    return commit_times(lines.withColumn("seq", F.col("seq").cast("bigint")))
+    return commit_times(lines)
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

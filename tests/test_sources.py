@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pkgrisk.functions import cells
+from pkgrisk.operators.codebase import commit_stats
 from pkgrisk.sources import dump, landed
 from pkgrisk.sources.policy import default_policy, parse_duration, parse_policy
 from pkgrisk.sources.sinks import write_csv, write_json, write_parquet
@@ -119,6 +120,22 @@ def test_text_and_binary_sources(spark, tmp_path):
     assert landed.read_docs_json(spark, str(tmp_path / "doc.json")).head().file_name == "doc.json"
 
 
+def test_commit_logs_are_split_and_stay_in_order(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"{10_000 - i}\n" for i in range(2_000)))
+    (tmp_path / "b.log").write_text("5\n7\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        log = landed.read_commit_log(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 5
+        rows = log.orderBy("repo", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.repo, r.author_at) for r in rows] == [("a", 10_000 - i) for i in range(2_000)] + [("b", 5), ("b", 7)]
+    stats = {r.repo: r for r in commit_stats(log, 20_000).collect()}
+    assert stats["a"].commit_count == 2_000 and stats["b"].first_commit_at.timestamp() == 7
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([('a "q", b', None, "")], "x string, y string, z string").coalesce(1)
     write_csv(df, str(tmp_path / "csv"))
