@@ -7,6 +7,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pkgrisk.sources.policy import Policy
+from pkgrisk.sources.sinks import write_new
+
 # Entry states.
 DATA, NO_DATA, MISS = "Data", "NoData", "Miss"
 
@@ -54,6 +57,35 @@ def refresh_plan(requested: DataFrame, snapshots: DataFrame, now: Column, ttl: t
     return requested.select("source", "key").distinct().join(fresh, ["source", "key"], "left_anti")
 
 
+def policy_limits(policy: Policy) -> dict[str, timedelta]:
+    """How old the entries of each source may get."""
+    return {
+        "crates": policy.crates_cache_ttl,
+        "hosting": policy.hosting_cache_ttl,
+        "codebase": policy.codebase_cache_ttl,
+        "coverage": policy.coverage_cache_ttl,
+        "advisories": policy.advisories_cache_ttl,
+    }
+
+
+def refresh_plan_by_source(requested: DataFrame, snapshots: DataFrame, now: Column, limits: dict[str, timedelta]) -> DataFrame:
+    """Requested ``source, key`` pairs without a fresh entry, by each source's own limit; a source without one is never fresh."""
+    state = F.lit(MISS)
+    for source, limit in limits.items():
+        own = entry_state(F.col("fetched_at"), F.col("no_data_reason"), now, limit)
+        state = F.when(F.col("source") == source, own).otherwise(state)
+    fresh = latest_snapshots(snapshots).filter(state != MISS).select("source", "key")
+    return requested.select("source", "key").distinct().join(fresh, ["source", "key"], "left_anti")
+
+
+def save_snapshots(snapshots: DataFrame, fetched: DataFrame, path: str) -> DataFrame:
+    """Writes the latest rows of old and new entries to a folder of their own, and reads them back.
+
+    Readers of the old folder are not disturbed; whoever keeps the folders points to the new one afterwards.
+    """
+    return write_new(upsert(snapshots, fetched), path)
+
+
 def refresh_plan_by_repo(packages: DataFrame, snapshots: DataFrame, now: Column, ttl: timedelta, ignore: bool = False) -> DataFrame:
     """``repo, key``: one stale package of a repository makes all of them stale."""
     state = entry_state(F.col("fetched_at"), F.col("no_data_reason"), now, ttl, ignore)

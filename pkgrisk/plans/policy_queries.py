@@ -24,6 +24,7 @@ from pkgrisk.plans.catalog import CRATE_MONTHS, ISSUES, NOW, query
 from pkgrisk.plans.registry_queries import _LATEST, _RECENT
 from pkgrisk.plans.repo_queries import badges
 from pkgrisk.plans.shadow import EVENTS_NOW, EVENTS_NOW_UNIX, Shadow, now
+from pkgrisk.session import Scratch
 from pkgrisk.sources.policy import Policy, Rule, default_policy
 
 # --------------------------------------------------------------------------
@@ -496,6 +497,26 @@ def refresh_plan_repo(s: Shadow) -> DataFrame:
     return fresh.refresh_plan_by_repo(packages, _snapshots(s), F.expr(EVENTS_NOW), _TTL)
 
 
+_LIMITS = {"hosting": timedelta(days=9), "coverage": timedelta(days=3)}
+
+
+@query(
+    """WITH sn AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'hosting' WHEN 1 THEN 'coverage' ELSE 'other' END AS source, doc_id AS key,
+    TIMESTAMP '2024-01-15' + to_days((doc_id % 20)::INT) AS fetched_at FROM documents
+  UNION ALL SELECT CASE doc_id % 3 WHEN 0 THEN 'hosting' WHEN 1 THEN 'coverage' ELSE 'other' END, doc_id,
+    TIMESTAMP '2024-01-15' + to_days((doc_id % 12)::INT) + INTERVAL 8 DAY FROM labels),
+last AS (SELECT source, key, max(fetched_at) AS fetched FROM sn GROUP BY ALL)
+SELECT source, key FROM last WHERE NOT coalesce(CASE source WHEN 'hosting' THEN fetched > TIMESTAMP '2024-01-31' - INTERVAL 9 DAY
+  WHEN 'coverage' THEN fetched > TIMESTAMP '2024-01-31' - INTERVAL 3 DAY END, false)"""
+)
+def freshness_job(s: Shadow) -> DataFrame:
+    """New entries are merged into the old ones, written, read back and checked against the limit of each source."""
+    entries = _snapshots(s).withColumn("source", F.expr("CASE key % 3 WHEN 0 THEN 'hosting' WHEN 1 THEN 'coverage' ELSE 'other' END"))
+    old, new = entries.filter("payload <> 'label'"), entries.filter("payload = 'label'")
+    saved = fresh.save_snapshots(old, new, f"{Scratch(s.spark, 'snapshots').path}/latest")
+    return fresh.refresh_plan_by_source(entries, saved, F.expr("TIMESTAMP_NTZ'2024-01-31'"), _LIMITS)
+
+
 # --------------------------------------------------------------------------
 # Whole appraisals
 

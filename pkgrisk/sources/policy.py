@@ -118,6 +118,47 @@ LICENSES = (
 )
 
 
+# What a default rule asks for, as its outcome says it.
+DESCRIPTIONS = {
+    "Allowed License": "The license names one of the accepted ids.",
+    "No Critical Security Vulnerability": "No critical advisory affects this version.",
+    "No High Security Vulnerability": "No advisory of high severity affects this version.",
+    "Maintained Crate": "No advisory calls this version unmaintained.",
+    "Sound Crate": "No advisory calls this version unsound.",
+    "Not Yanked": "The version is still offered by the registry.",
+    "Crate Age >= 6 Months": "The package has existed for half a year.",
+    "Crate Age >= 1 Year": "The package has existed for a year.",
+    "Stable Version (>= 1.0.0)": "The major version is at least 1.",
+    "Some Adoption (>= 1,000 downloads in 90 days)": "A thousand downloads in the last three months.",
+    "Popular Crate (>= 5,000 downloads in 90 days)": "Five thousand downloads in the last three months.",
+    "Highly Adopted Crate (>= 500,000 downloads in 90 days)": "Half a million downloads in the last three months.",
+    "Multiple Owners": "More than one user or team can publish it.",
+    "Release in Last 12 Months": "A version came out in the last year.",
+    "Release in Last 6 Months": "A version came out in the last half year.",
+    "Large Community (>= 10 contributors)": "Ten people or more have committed to the repository.",
+    "Some Community (>= 5 contributors)": "Five people or more have committed to the repository.",
+    "Active Development (> 3 commits in 90 days)": "More than three commits in the last three months.",
+    "Some Development Activity (>= 1 commit in 90 days)": "A commit in the last three months.",
+    "Fast Issue Resolution (p50 < 30 days)": "Half of the issues closed in the last year were open for less than 30 days.",
+    "Reasonable Issue Resolution (p75 < 180 days)": "Three quarters of the issues closed in the last year were open for less than 180 days.",
+    "Fast PR Merge (p50 < 7 days)": "Half of the pull requests merged in the last year waited less than a week.",
+    "Reasonable PR Merge (p75 < 15 days)": "Three quarters of the pull requests merged in the last year waited less than 15 days.",
+    "Good PR Turnaround (p90 < 30 days)": "Nine tenths of the pull requests merged in the last year waited less than 30 days.",
+    "Good Documentation Coverage (>= 90%)": "Nine tenths of the public items are documented.",
+    "Has Examples": "The documentation or the package holds examples.",
+    "Crate-Level Documentation": "The front page of the documentation has a text.",
+    "CI/CD Configured": "The repository has workflows.",
+    "Uses Clippy": "A workflow runs the linter.",
+    "Uses Miri": "A workflow runs the interpreter that finds undefined behaviour.",
+    "High Test Coverage (>= 75%)": "Tests cover three quarters of the code.",
+    "Medium Test Coverage (>= 50%)": "Tests cover half of the code.",
+    "No Unsafe Usage": "The code has no unsafe part.",
+    "Low Unsafe Usage (< 10 blocks)": "The code has fewer than ten unsafe parts.",
+    "No Medium Vulnerabilities": "No advisory of medium severity affects this version.",
+    "No Low Vulnerabilities": "No advisory of low severity affects this version.",
+}
+
+
 def default_policy() -> Policy:
     """Rule names, thresholds and points of the default policy."""
     licenses = ", ".join(f"'{x}'" for x in LICENSES)
@@ -163,6 +204,6 @@ def default_policy() -> Policy:
         (3, "No Low Vulnerabilities", "advisories.version_low_severity_vulnerabilities <=> 0"),
     )
     return Policy(
-        high_risk=tuple(Rule(n, e) for n, e in gate),
-        eval=tuple(Rule(n, e, points=p) for p, n, e in weighted),
+        high_risk=tuple(Rule(n, e, DESCRIPTIONS[n]) for n, e in gate),
+        eval=tuple(Rule(n, e, DESCRIPTIONS[n], p) for p, n, e in weighted),
     )

@@ -45,3 +45,24 @@ def test_documents_of_any_size_and_shape(spark):
     assert got["odd"].docs.public_api_elements == 1
     assert [got[k].reason for k in ("cut", "none", "old")] == ["malformed JSON", "malformed JSON", "unsupported format version 3"]
     assert got["plain"].reason == "missing 'format_version' field" and got["list"].status == "Unavailable"
+
+
+def test_each_source_has_its_own_limit(spark, tmp_path):
+    from datetime import timedelta
+
+    from pkgrisk.operators.freshness import policy_limits, refresh_plan_by_source, save_snapshots
+    from pkgrisk.sources.policy import default_policy
+
+    schema = "source string, key string, fetched_at timestamp_ntz, payload string, no_data_reason string"
+
+    def rows(*entries):
+        return spark.createDataFrame([(s, k, None, p, None, day) for s, k, day, p in entries], schema + ", day int").withColumn(
+            "fetched_at", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(day)")
+        ).drop("day")
+
+    old = rows(("hosting", "a", 0, "x"), ("hosting", "b", 9, "x"), ("coverage", "a", 9, "x"), ("unknown", "a", 10, "x"))
+    saved = save_snapshots(old, rows(("hosting", "a", 10, "y")), str(tmp_path / "one"))
+    assert saved.filter("source = 'hosting' and key = 'a'").head().payload == "y" and saved.count() == 4
+    limits = policy_limits(default_policy()) | {"coverage": timedelta(days=1)}
+    got = refresh_plan_by_source(old, saved, F.expr("TIMESTAMP_NTZ'2024-01-11'"), limits).collect()
+    assert {tuple(r) for r in got} == {("coverage", "a"), ("unknown", "a")}
