@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pkgrisk.llm.vocabulary import SPACE, pieces, word_pattern
 from pkgrisk.session import Scratch
 
 FREQUENT = 200_000
+WORDS_PER_PARTITION = 10_000
 # Longest word, in code points, that stands for itself as a key; and the block in which longer words are exploded.
 LONG_WORD = 64
 NEVER = 2**31 - 1
@@ -88,24 +91,21 @@ def piece_edges(model: str) -> list[Edge]:
     return [Edge(p, ids[p], rank[p], flank(p, 0), flank(p, 1)) for p in rank if len(p) == 1 or parts[p]]
 
 
-def normalised(text: Column) -> Column:
-    """A space in front, and each space as its piece character; empty stays empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE), F.regexp_replace(text, " ", SPACE)))
-
-
 def words_of(text: Column, model: str) -> Column:
-    return F.regexp_extract_all(normalised(text), F.lit(word_pattern(model)), F.lit(0))
+    """Words of a text with a space in front; the space's own piece character is a space.  An empty text has none."""
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit(SPACE), F.lit(" "))
+    return F.regexp_extract_all(F.when(text == "", text).otherwise(F.concat(F.lit(" "), text)), F.lit(word_pattern(model)), F.lit(0))
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
     flank = "array<struct<size: int, born: int, dies: int>>"
-    return spark.createDataFrame(piece_edges(model), f"piece string, id int, rank int, left {flank}, right {flank}")
+    edges = [e._replace(text=e.text.replace(SPACE, " ")) for e in piece_edges(model)]
+    return spark.createDataFrame(edges, f"piece string, id int, rank int, left {flank}, right {flank}")
 
 
 def word_key(word: Column) -> Column:
     """A word, or a digest of a long one, so that its edges need not carry it."""
-    return F.when(F.length(word) <= LONG_WORD, word).otherwise(F.concat(F.lit(SPACE * 2 + "\x00"), F.sha2(word, 256)))
+    return F.when(F.length(word) <= LONG_WORD, word).otherwise(F.concat(F.lit("\x00 "), F.sha2(word, 256)))
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
@@ -136,22 +136,22 @@ def viterbi(edges: Column) -> Column:
         return F.get(edges, i)
 
     def step(path: Column, edge: Column) -> Column:
-        n = edge["n"]
-        before = item(F.get(path, edge["start"] - 1))
-        # Edges across the boundary end before this one or with it, so they come before it, at most 15 x 16 of them.
-        near = F.slice(edges, F.greatest(n - 254, F.lit(1)), F.least(n, F.lit(255)))
+        n, start, end = edge["n"], edge["start"], edge["end"]
+        last = F.get(path, start - 1)
 
         def crosses(c: Column) -> Column:
-            return (c["start"] < edge["start"]) & (c["end"] > edge["start"]) & F.exists(
-                before["right"],
-                lambda x: (x["size"] == edge["start"] - c["start"]) & (c["rank"] < x["dies"]) & F.exists(
+            return (c["start"] < start) & (c["end"] > start) & F.exists(
+                item(last)["right"],
+                lambda x: (x["size"] == start - c["start"]) & (c["rank"] < x["dies"]) & F.exists(
                     edge["left"],
-                    lambda y: (y["size"] == c["end"] - edge["start"]) & (c["rank"] <= y["dies"]) & (y["born"] < x["dies"]) & (x["born"] <= y["dies"]),
+                    lambda y: (y["size"] == c["end"] - start) & (c["rank"] <= y["dies"]) & (y["born"] < x["dies"]) & (x["born"] <= y["dies"]),
                 ),
             )
 
-        blocked = F.coalesce(F.exists(near, crosses), F.lit(False))
-        return F.when(F.size(path) >= edge["end"], path).when((edge["start"] > 0) & blocked, path).otherwise(F.concat(path, F.array(n)))
+        # Edges across the boundary end behind the piece before it and not behind this edge, so they lie between the two.
+        blocked = F.exists(F.slice(edges, last + 2, n - last - 1), crosses)
+        longer = F.concat(path, F.array(n))
+        return F.when(F.size(path) >= end, path).when(start == 0, longer).when(blocked, path).otherwise(longer)
 
     return F.aggregate(edges, F.array().cast("array<int>"), step)
 
@@ -188,7 +188,8 @@ def utf8_ids(point: Column, byte_ids: list[int]) -> Column:
 def encode_words(words: DataFrame, model: str) -> DataFrame:
     """``key, ids`` for distinct ``key, word``."""
     spark = words.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A word's edges take some 10 KB while they are grouped; partitions of this size are grouped in memory.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS_PER_PARTITION))
     table = piece_table(spark, model)
     longest = max(len(p.text) for p in pieces(model) if p.kind == "normal")
     # Words lie by key from here on, so grouping their edges moves nothing.
@@ -205,39 +206,53 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     )
 
 
-def _texts(model: str):
-    pattern = re.compile(word_pattern(model))
-
-    def words(text: str) -> list[str]:
-        return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    return words
+class _Dictionary:
+    """Ids of texts from the ids of their words: the common ones, and those that come with a text."""
+
+    def __init__(self, model: str, common: dict[str, list[int]]):
+        self._words, self._common = re.compile(word_pattern(model)).findall, common
+        self._seen: dict[str, list[int]] = {}
+
+    def _between(self, part: str, rare: dict[str, list[int]]) -> list[int]:
+        """Ids of what stands between two spaces; kept if it consists of common words."""
+        words = self._words(" " + part)
+        common = list(map(self._common.get, words))
+        if None not in common:
+            ids = list(chain.from_iterable(common))
+            if len(self._seen) >= FREQUENT:
+                self._seen = {}
+            self._seen[part] = ids
+            return ids
+        return list(chain.from_iterable(rare[w] if i is None else i for w, i in zip(words, common, strict=True)))
+
+    def ids(self, text: str, rare: dict[str, list[int]]) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        text = text.replace(SPACE, " ")
+        parts = text.split(" ")
+        if "" in parts:
+            found = [self._common.get(w) or rare[w] for w in self._words(" " + text)]
+        else:
+            found = list(map(self._seen.get, parts))
+            if None in found:
+                found = [self._between(p, rare) if i is None else i for p, i in zip(parts, found, strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.int32)
 
 
 def _applied(model: str, frequent):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        words, common = _texts(model), frequent.value
-        for text, own_words, own_ids in batches:
-            out = []
-            for t, w, i in zip(text, own_words, own_ids, strict=True):
-                rare = dict(zip(w.as_py(), i.as_py(), strict=True)) if w.is_valid else {}
-                ids: list[int] = []
-                for word in words(t.as_py()):
-                    ids += common.get(word) or rare[word]
-                out.append(pa.array(ids, pa.int32()))
-            yield pa.ListArray.from_arrays(pa.array([0, *_running(out)], pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
+        own = _Dictionary(model, frequent.value)
+        for texts, words, ids in batches:
+            out = [
+                own.ids(t.as_py(), dict(zip(w.as_py(), i.as_py(), strict=True)) if w.is_valid else {})
+                for t, w, i in zip(texts, words, ids, strict=True)
+            ]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
 
     return F.arrow_udf(run, "array<int>")
 
 
-def _running(arrays: list[pa.Array]) -> list[int]:
-    out, total = [], 0
-    for a in arrays:
-        total += len(a)
-        out.append(total)
-    return out
-
-
 def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids", frequent: int = FREQUENT) -> DataFrame:
     """All columns of ``docs`` and the piece ids of each text, as the model's own library gives them without special tokens.
 

@@ -38,13 +38,13 @@ def pieces(model: str) -> tuple[Piece, ...]:
     return tuple(Piece(i, own.id_to_piece(i), own.get_score(i), kind(i)) for i in range(own.get_piece_size()))
 
 
-# Latin letters, ASCII signs, and what is neither of them nor a space.
-_LETTER, _SIGN, _OTHER = r"A-Za-z\u00C0-\u024F", r"\x00-@\[-`{-\x7F", r"^\x00-\x7F\u00C0-\u024F" + SPACE
+# Latin letters, ASCII signs but the space, and what is neither of them nor a space.
+_LETTER, _SIGN, _OTHER = r"A-Za-z\u00C0-\u024F", r"\x00-\x1F!-@\[-`{-\x7F", r"^\x00-\x7F\u00C0-\u024F"
 
 
 @lru_cache(maxsize=4)
 def word_pattern(model: str) -> str:
-    """Pattern (for Java and Python) of the words of a text whose spaces are SPACE; no piece reaches from one word to the next.
+    """Pattern (for Java and Python) of the words of a text, each with the spaces before it; no piece reaches from one to the next.
 
     No piece holds a space after another character.  Where no piece holds a letter beside a sign either, words end there too, unless
     they hold other characters.
@@ -54,5 +54,5 @@ def word_pattern(model: str) -> str:
     if any(re.search(f"[^{SPACE}]{SPACE}", t) for t in texts):
         raise ValueError("the vocabulary has pieces of several words")
     if any(beside.search(t) for t in texts):
-        return f"{SPACE}*+[^{SPACE}]++|{SPACE}+"
-    return f"{SPACE}*+(?:[{_LETTER}]++(?![{_OTHER}])|[{_SIGN}]++(?![{_OTHER}])|[^{SPACE}]++)|{SPACE}+"
+        return " *+[^ ]++| +"
+    return f" *+(?:[{_LETTER}]++(?![{_OTHER}])|[{_SIGN}]++(?![{_OTHER}])|[^ ]++)| +"
