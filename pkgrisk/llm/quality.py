@@ -25,6 +25,8 @@ from pkgrisk.llm.text import only
 
 # n-grams that a task counts before it hands the counts on.
 TALLY_ROWS = 400_000
+# Labels of 20 bytes that may be broadcast.
+BROADCAST_LABELS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -97,11 +99,14 @@ class Model:
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> DataFrame:
-    """``doc_id, text, y``: labelled documents; rows without id, label, or outside ``keep`` are left out."""
-    return (
-        only(docs, "doc_id", "text").join(only(labels, "doc_id", label).dropDuplicates(["doc_id"]), "doc_id")
-        .filter(F.col(label).isNotNull() & keep).select("doc_id", "text", F.col(label).cast("int").alias("y"))
-    )
+    """``doc_id, text, y``: labelled documents; rows without id, label, or outside ``keep`` are left out.
+
+    Up to BROADCAST_LABELS labels go to the texts; beyond that both are shuffled.
+    """
+    given = only(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).dropDuplicates(["doc_id"])
+    if given.count() <= BROADCAST_LABELS:
+        given = F.broadcast(given)
+    return only(docs, "doc_id", "text").join(given, "doc_id").select("doc_id", "text", F.col(label).cast("int").alias("y"))
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
