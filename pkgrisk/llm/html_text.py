@@ -1,10 +1,12 @@
 """Main text of web pages, with the template of each site removed.
 
-Every container element outside running text is hashed with all that it holds.  Spark counts, for each host, on how many pages a
-subtree recurs; subtrees that recur on many pages of their host are its template and are cut out.  What a page marks as furniture by
-its element, class or role (menus, footers, scripts, forms, comments, adverts ...) goes even where it does not recur, since most
-hosts of a crawl have few pages.  Inside an article, running text (headings, paragraphs, quotations, tables) is never cut as
-template: many articles may share a passage.
+Every container, paragraph and table outside the main text is hashed with all that it holds.  Spark counts, for each host, on how
+many pages of different main text a subtree recurs; subtrees that recur on many of them are its template and are cut out.  What a page
+marks as furniture by its element, class or role (menus, footers, scripts, forms, comments, adverts ...) goes even where it does not
+recur, since most hosts of a crawl have few pages.
+
+The main text is that of the articles, or else of the main element.  What holds it is never cut as template, and of what lies in it
+only one thing is: a container with a class, id or role and nothing but inline text, which every article of the host holds.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SKIPPED = frozenset(
 )
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot tr td th caption dl dt dd figure figcaption hr address".split())
 CONTAINERS = frozenset("div section header footer nav aside form ul ol li main fieldset details summary center".split())
+LISTS = frozenset("ul ol li".split())
+HASHED = CONTAINERS | {"p", "table"}
 BLOCKS = RUNNING | CONTAINERS | {"article", "body", "html", "head"}
 # A start tag of a block ends an open paragraph; these end an open element of their own kind as well.
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,19 +49,35 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+class _Element:
+    """An open element."""
+
+    __slots__ = ("tag", "own", "skipped", "part", "at", "named", "holds", "plain")
+
+    def __init__(self, tag: str, own, skipped: bool, part: str, at: int, named: bool = False, holds: bool = False):
+        self.tag = tag
+        self.own = own  # hash or None
+        self.skipped = skipped
+        self.part = part  # of the page
+        self.at = at  # block count when it opened
+        self.named = named  # has a class, id or role
+        self.holds = holds  # is or holds an article or main element
+        self.plain = True  # holds inline elements only
+
+
 class PageReader(HTMLParser):
-    """Reads one page: ``hashes`` of its container subtrees and the blocks of its main text.
+    """Reads one page: ``hashes`` of its subtrees and the blocks of its main text.
 
-    Subtrees whose hash is in ``template`` are cut out.
+    Hashes of subtrees inside an article are odd, others even.  Subtrees whose hash is in ``template`` are cut out.
     """
 
     def __init__(self, template: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self._template = template
         self.hashes: list[int] = []
-        # Open elements: tag, hash or None, skipped, part of the page, block count when it opened.
-        self._open: list[tuple] = [("", blake2b(digest_size=8), False, "body", 0)]
-        self._hashing = [self._open[0][1]]
+        self._in_main: list[int] = []
+        self._open = [_Element("", blake2b(digest_size=8), False, "body", 0)]
+        self._hashing = [self._open[0].own]
         self._blocks: list[tuple[str, str]] = []
         self._words: list[str] = []
         self._seen = {"body"}
@@ -68,19 +88,26 @@ class PageReader(HTMLParser):
         while len(self._open) > 1:
             self._pop()
         self._break()
+        if self.part == "article":
+            # With an article, what else is in the main element is not main text.
+            self.hashes += self._in_main
         return self
 
+    @property
+    def part(self) -> str:
+        return next(p for p in ("article", "main", "body") if p in self._seen)
+
     @property
     def text(self) -> str:
         """Blocks of the articles, or else of the main element, or else of the body."""
-        part = next(p for p in ("article", "main", "body") if p in self._seen)
+        part = self.part
         return "\n".join(block for where, block in self._blocks if where == part)
 
     def _break(self) -> None:
         block = " ".join("".join(self._words).split())
         self._words = []
         if block:
-            self._blocks.append((self._open[-1][3], block))
+            self._blocks.append((self._open[-1].part, block))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -90,17 +117,18 @@ class PageReader(HTMLParser):
             self._words.append(" ")
         if tag in VOID:
             return
-        _, _, skipped, part, _ = self._open[-1]
-        skipped = skipped or self._is_furniture(tag, attrs, part)
-        if not skipped and tag in ("article", "main") and part != "article":
+        part = self._open[-1].part
+        skipped = self._open[-1].skipped or self._is_furniture(tag, attrs, part)
+        holds = not skipped and tag in ("article", "main")
+        if holds and part != "article":
             part = tag
             self._seen.add(tag)
-        own = None
-        if tag in CONTAINERS:
+        own, names = None, [(k, v) for k, v in attrs if k in ("class", "id", "role")]
+        if tag in CONTAINERS or tag in HASHED and part == "body":
             own = blake2b(digest_size=8)
             self._hashing.append(own)
-            own.update(repr((tag, sorted((k, v) for k, v in attrs if k in ("class", "id", "role")))).encode("utf-8", "surrogatepass"))
-        self._open.append((tag, own, skipped, part, len(self._blocks)))
+            own.update(repr((tag, sorted(names))).encode("utf-8", "surrogatepass"))
+        self._open.append(_Element(tag, own, skipped, part, len(self._blocks), any(v for _, v in names), holds))
 
     def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], part: str) -> bool:
         if tag in SKIPPED or tag == "header" and part == "body":
@@ -115,7 +143,7 @@ class PageReader(HTMLParser):
     def _end_implied(self, tag: str) -> None:
         # An open paragraph, with inline elements left open in it, ends where a block starts.
         for i in range(len(self._open) - 1, 0, -1):
-            name = self._open[i][0]
+            name = self._open[i].tag
             if name == "p" or name in ENDS_ITSELF.get(tag, ()):
                 while len(self._open) > i:
                     self._pop()
@@ -128,7 +156,7 @@ class PageReader(HTMLParser):
         if tag in BLOCKS:
             self._break()
         for i in range(len(self._open) - 1, 0, -1):
-            name = self._open[i][0]
+            name = self._open[i].tag
             if name == tag:
                 while len(self._open) > i:
                     self._pop()
@@ -138,39 +166,53 @@ class PageReader(HTMLParser):
                 return
 
     def _pop(self) -> None:
-        tag, own, _, part, at = self._open[-1]
-        if tag in BLOCKS:
+        e = self._open[-1]
+        if e.tag in BLOCKS:
             self._break()
         self._open.pop()
-        if own is None:
+        above = self._open[-1]
+        above.holds = above.holds or e.holds
+        above.plain = above.plain and e.plain and e.tag not in BLOCKS
+        if e.own is None:
             return
         digest = self._hashing.pop().digest()
         self._hashing[-1].update(b"E" + digest)
-        n = int.from_bytes(digest, "big", signed=True)
-        self.hashes.append(n)
-        if n in self._template:
-            del self._blocks[at:]
+        n = int.from_bytes(digest, "big", signed=True) & ~1
+        if e.part == "article":
+            n |= 1
+            if e.skipped or not e.plain or not e.named or e.tag in LISTS:
+                return
+        elif e.holds:
+            return
+        (self._in_main if e.part == "main" else self.hashes).append(n)
+        if n in self._template and e.part != "main":
+            del self._blocks[e.at :]
 
     def handle_data(self, data: str) -> None:
-        if not self._open[-1][2]:
+        if not self._open[-1].skipped:
             self._words.append(data)
         self._hashing[-1].update(b"T" + data.encode("utf-8", "surrogatepass"))
 
 
-def subtree_hashes(html: str | None) -> list[int]:
-    return sorted(set(PageReader().read(html or "").hashes))
+def page_parts(html: str | None) -> dict:
+    """Hashes of the subtrees of a page, hash of its main text, and whether that is of articles."""
+    page = PageReader().read(html or "")
+    main = blake2b(page.text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return {"subtrees": sorted(set(page.hashes)), "main": int.from_bytes(main, "big", signed=True), "article": page.part == "article"}
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     return PageReader(template).read(html or "").text
 
 
-def _hash_udf():
+def _parts_udf():
+    kind = pa.struct([("subtrees", pa.list_(pa.int64())), ("main", pa.int64()), ("article", pa.bool_())])
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([subtree_hashes(x.as_py()) for x in batch], pa.list_(pa.int64()))
+            yield pa.array([page_parts(x.as_py()) for x in batch], kind)
 
-    return F.arrow_udf(run, "array<long>")
+    return F.arrow_udf(run, "struct<subtrees:array<long>,main:long,article:boolean>")
 
 
 def _text_udf():
@@ -185,27 +227,34 @@ def host(url: str = "url") -> F.Column:
     return F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
 
 
-def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, subtree``: those on at least ``min_pages`` pages and ``min_share`` of the pages of their host."""
-    pages = subtrees.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    recurring = subtrees.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return recurring.join(pages, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+def site_templates(parts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, subtree``: those on at least ``min_pages`` pages and ``min_share`` of the pages of their host.
+
+    ``parts`` has ``host`` and the fields of ``page_parts``.  Pages of the same main text count once; a subtree inside an article has
+    to be on all pages with an article.
+    """
+    pages = parts.groupBy("host").agg(
+        F.count_distinct("main").alias("pages"), F.count_distinct(F.when(F.col("article"), F.col("main"))).alias("articles")
+    )
+    each = parts.select("host", "main", F.explode("subtrees").alias("subtree")).distinct()
+    recurring = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    least = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, F.col("articles")).otherwise(min_share * F.col("pages"))
+    return recurring.join(pages, "host").filter(F.col("n") >= least).select("host", "subtree")
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """All columns of ``pages`` (with ``url``, ``html``) and ``text``.
 
     White space in a block is one space, blocks stand in page order, one a line.  Null and empty pages have an empty text.  Pages
-    without a usable url share the host ''.  Equal rows count as one page for the template.
+    without a usable url share the host ''.  Pages of a host with the same main text count as one for the template.
     """
     names = pages.columns
     keyed = pages.withColumn("__page", F.xxhash64("url", "html"))
-    subtrees = keyed.select(
-        F.col("__page").alias("page"), host().alias("host"), F.explode(_hash_udf()(F.coalesce("html", F.lit("")))).alias("subtree")
-    )
-    subtrees = Scratch(pages.sparkSession, "subtrees").save(subtrees, "pages")
+    parts = keyed.select(F.col("__page").alias("page"), host().alias("host"), _parts_udf()(F.coalesce("html", F.lit(""))).alias("parts"))
+    parts = Scratch(pages.sparkSession, "subtrees").save(parts, "pages").select("page", "host", "parts.*")
     cut = (
-        subtrees.join(site_templates(subtrees, min_pages, min_share), ["host", "subtree"], "left_semi")
+        parts.select("page", "host", F.explode("subtrees").alias("subtree"))
+        .join(site_templates(parts, min_pages, min_share), ["host", "subtree"], "left_semi")
         .groupBy("page").agg(F.collect_set("subtree").alias("__template")).withColumnRenamed("page", "__page")
     )
     text = _text_udf()(F.coalesce("html", F.lit("")), F.col("__template"))

@@ -105,6 +105,34 @@ def test_recurring_subtrees_go_and_common_passages_stay(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_the_main_text_is_no_template(spark):
+    """Copies of a page, wrappers of articles and passages that articles share stay; paragraphs of a template go."""
+    shared = "<ul><li>Shared item</li></ul><div>Shared passage</div><div class='w'><p>Shared words</p></div>"
+    kinds = {
+        "main": lambda n: "<main><article><p>Same</p></article></main>",
+        "div": lambda n: "<div class=content><article><p>Same</p></article></div>",
+        "only": lambda n: "<div><main><ul><li>Same</li></ul></main></div>",
+        "body": lambda n: "<div class=content><p>Same</p></div>",
+        "list": lambda n: f"<article><p>Own {n}</p>{shared}</article>",
+        "items": lambda n: f"<main><div class=c><div class=d>Common</div>Own {n}</div></main>",
+        "foot": lambda n: f"<p>Own {n}</p><p>All rights</p><table><tr><td>Imprint</td></tr></table>",
+    }
+    rows = [(f"http://{k}.example/{n}", f"<body>{page(n)}</body>") for k, page in kinds.items() for n in range(10)]
+    got = {r.url: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    same = {got[f"http://{k}.example/{n}"] for k in ("main", "div", "only", "body") for n in range(10)}
+    assert same == {"Same"}
+    for n in range(10):
+        assert got[f"http://list.example/{n}"] == f"Own {n}\nShared item\nShared passage\nShared words"
+        assert got[f"http://items.example/{n}"] == f"Common\nOwn {n}"
+        assert got[f"http://foot.example/{n}"] == f"Own {n}"
+
+
+def test_part_of_the_articles_makes_no_template(spark):
+    rows = [(f"http://a.example/{n}", f"<article><p>Own {n}</p>{'<div class=x>Some</div>' if n < 9 else ''}</article>") for n in range(10)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "url string, html string"))
+    assert sum("Some" in r.text for r in got.collect()) == 9
+
+
 def entropy_one_by_one(data):
     out = []
     for i in range(len(data) - 63):
