@@ -7,6 +7,9 @@ recur, since most hosts of a crawl have few pages.
 
 The main text is that of the articles, or else of the main element.  What holds it is never cut as template, and of what lies in it
 only one thing is: a container with a class, id or role and nothing but inline text, which every article of the host holds.
+
+Classes and ids mark containers, and inline elements outside running text, but no container that holds an article or main element.
+Inside these the whole class or id has to be a word for furniture, elsewhere a part of it.
 """
 
 from __future__ import annotations
@@ -47,22 +50,26 @@ FURNITURE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAME = re.compile(r"[^a-z0-9]+")
+# Names with one of these tell a state ("no-sidebar", "comments-open"), not what the element is.
+STATES = frozenset("no not non without has have with open closed".split())
 
 
 class _Element:
     """An open element."""
 
-    __slots__ = ("tag", "own", "skipped", "part", "at", "named", "holds", "plain")
+    __slots__ = ("tag", "own", "skipped", "part", "at", "named", "holds", "plain", "running", "marked")
 
-    def __init__(self, tag: str, own, skipped: bool, part: str, at: int, named: bool = False, holds: bool = False):
+    def __init__(self, tag: str, own, skipped: bool | str, part: str, at: int, named: bool = False, holds: bool = False, running: bool = False, marked: bool = False):
         self.tag = tag
         self.own = own  # hash or None
-        self.skipped = skipped
+        self.skipped = skipped  # "name": an inline element that goes by its name
         self.part = part  # of the page
         self.at = at  # block count when it opened
         self.named = named  # has a class, id or role
         self.holds = holds  # is or holds an article or main element
         self.plain = True  # holds inline elements only
+        self.running = running  # is or lies in running text
+        self.marked = marked  # its class or id says that it is furniture
 
 
 class PageReader(HTMLParser):
@@ -117,8 +124,15 @@ class PageReader(HTMLParser):
             self._words.append(" ")
         if tag in VOID:
             return
-        part = self._open[-1].part
-        skipped = self._open[-1].skipped or self._is_furniture(tag, attrs, part)
+        above = self._open[-1]
+        part, running = above.part, tag in RUNNING if tag in BLOCKS else above.running
+        marked = tag != "article" and not running and self._is_marked(attrs, part)
+        # An article or main element in an inline element that goes by its name is read all the same.
+        inherited = above.skipped != "name" or tag not in ("article", "main")
+        skipped = inherited and above.skipped or self._is_furniture(tag, attrs, part)
+        if marked and tag not in BLOCKS:
+            # Inline elements go at once, containers when it is known whether they hold an article.
+            skipped, marked = skipped or "name", False
         holds = not skipped and tag in ("article", "main")
         if holds and part != "article":
             part = tag
@@ -128,17 +142,24 @@ class PageReader(HTMLParser):
             own = blake2b(digest_size=8)
             self._hashing.append(own)
             own.update(repr((tag, sorted(names))).encode("utf-8", "surrogatepass"))
-        self._open.append(_Element(tag, own, skipped, part, len(self._blocks), any(v for _, v in names), holds))
+        self._open.append(_Element(tag, own, skipped, part, len(self._blocks), any(v for _, v in names), holds, running, marked and tag in CONTAINERS and tag != "main"))
 
     def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], part: str) -> bool:
         if tag in SKIPPED or tag == "header" and part == "body":
             return True
         if tag in ("html", "body", "main"):
             return False
+        return any(key == "role" and value and value.lower() in ROLES or key == "hidden" for key, value in attrs)
+
+    @staticmethod
+    def _is_marked(attrs: list[tuple[str, str | None]], part: str) -> bool:
         for key, value in attrs:
-            if value and (key in ("class", "id") and not FURNITURE.isdisjoint(_NAME.split(value.lower())) or key == "role" and value.lower() in ROLES):
-                return True
-        return any(key in ("hidden",) for key, _ in attrs)
+            if value and key in ("class", "id"):
+                for name in value.lower().split():
+                    words = {name} if part != "body" else set(_NAME.split(name))
+                    if not FURNITURE.isdisjoint(words) and STATES.isdisjoint(words):
+                        return True
+        return False
 
     def _end_implied(self, tag: str) -> None:
         # An open paragraph, with inline elements left open in it, ends where a block starts.
@@ -173,6 +194,8 @@ class PageReader(HTMLParser):
         above = self._open[-1]
         above.holds = above.holds or e.holds
         above.plain = above.plain and e.plain and e.tag not in BLOCKS
+        if e.marked and not e.holds:
+            del self._blocks[e.at :]
         if e.own is None:
             return
         digest = self._hashing.pop().digest()
@@ -195,10 +218,10 @@ class PageReader(HTMLParser):
 
 
 def page_parts(html: str | None) -> dict:
-    """Hashes of the subtrees of a page, hash of its main text, and whether that is of articles."""
+    """Hashes of the subtrees of a page, hash of its main text, and the part of the page which that is."""
     page = PageReader().read(html or "")
     main = blake2b(page.text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return {"subtrees": sorted(set(page.hashes)), "main": int.from_bytes(main, "big", signed=True), "article": page.part == "article"}
+    return {"subtrees": sorted(set(page.hashes)), "main": int.from_bytes(main, "big", signed=True), "part": page.part}
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -206,13 +229,13 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
 
 
 def _parts_udf():
-    kind = pa.struct([("subtrees", pa.list_(pa.int64())), ("main", pa.int64()), ("article", pa.bool_())])
+    kind = pa.struct([("subtrees", pa.list_(pa.int64())), ("main", pa.int64()), ("part", pa.string())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([page_parts(x.as_py()) for x in batch], kind)
 
-    return F.arrow_udf(run, "struct<subtrees:array<long>,main:long,article:boolean>")
+    return F.arrow_udf(run, "struct<subtrees:array<long>,main:long,part:string>")
 
 
 def _text_udf():
@@ -234,7 +257,7 @@ def site_templates(parts: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     to be on all pages with an article.
     """
     pages = parts.groupBy("host").agg(
-        F.count_distinct("main").alias("pages"), F.count_distinct(F.when(F.col("article"), F.col("main"))).alias("articles")
+        F.count_distinct("main").alias("pages"), F.count_distinct(F.when(F.col("part") == "article", F.col("main"))).alias("articles")
     )
     each = parts.select("host", "main", F.explode("subtrees").alias("subtree")).distinct()
     recurring = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
@@ -251,11 +274,17 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     names = pages.columns
     keyed = pages.withColumn("__page", F.xxhash64("url", "html"))
     parts = keyed.select(F.col("__page").alias("page"), host().alias("host"), _parts_udf()(F.coalesce("html", F.lit(""))).alias("parts"))
-    parts = Scratch(pages.sparkSession, "subtrees").save(parts, "pages").select("page", "host", "parts.*")
+    scratch = Scratch(pages.sparkSession, "subtrees")
+    parts = scratch.save(parts, "pages").select("page", "host", "parts.*")
+    # What can be cut: within articles, or else, without a main element, in the body.  The result is written so that Spark knows its size
+    # and moves the pages only for a large one.
+    inside = F.col("subtree").bitwiseAND(F.lit(1)) == 1
     cut = (
-        parts.select("page", "host", F.explode("subtrees").alias("subtree"))
+        parts.filter("part <> 'main'").select("page", "host", "part", F.explode("subtrees").alias("subtree"))
+        .filter(inside == (F.col("part") == "article")).drop("part")
         .join(site_templates(parts, min_pages, min_share), ["host", "subtree"], "left_semi")
         .groupBy("page").agg(F.collect_set("subtree").alias("__template")).withColumnRenamed("page", "__page")
     )
+    cut = scratch.save(cut, "cut")
     text = _text_udf()(F.coalesce("html", F.lit("")), F.col("__template"))
     return keyed.join(cut, "__page", "left").select(*[F.col(f"`{n}`") for n in names if n != "text"], text.alias("text"))

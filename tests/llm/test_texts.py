@@ -105,6 +105,24 @@ def test_recurring_subtrees_go_and_common_passages_stay(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_names_drop_no_main_text():
+    for page in (
+        "<div class='content no-sidebar'><article><p>Text</p></article></div>",
+        "<div id='page' class='has-sidebar'><div class=widget>Login</div><article><p>Text</p></article></div>",
+        "<div id='search'><main><p>Text</p></main></div>",
+        "<article class='post comments-open'><p>Text</p></article>",
+        "<article><section id='related-work'><p>Text</p></section><div class='share'>Share</div></article>",
+        "<article><h2 id='search'>Text</h2><ul class='x menu'><li>Home</li></ul></article>",
+        "<main><div class='login-notice'>Text</div><div class='post share'>Share</div></main>",
+        "<div id='page' class='has-sidebar'><p id='notice'>Text</p></div><div class='cookie-banner'>OK</div>",
+        "<article><pre><span class='comment'>Text</span></pre><div><span class='share'>Share</span></div></article>",
+        "<x-page class='page-widget'>Menu<article><p>Text</p></article></x-page>",
+    ):
+        assert html_text.main_text(page) == "Text", page
+    nested = "<article><p>A</p><div class='related'>B<article>C</article></div></article><div class=comments>D</div>"
+    assert html_text.main_text(nested) == "A\nB\nC"
+
+
 def test_the_main_text_is_no_template(spark):
     """Copies of a page, wrappers of articles and passages that articles share stay; paragraphs of a template go."""
     shared = "<ul><li>Shared item</li></ul><div>Shared passage</div><div class='w'><p>Shared words</p></div>"
