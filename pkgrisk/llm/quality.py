@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-A document is the set of its n-grams (one and two tokens, and the writing shape of tokens).  Each indicator is scaled by the log
+A document is the set of its n-grams (one and two tokens, and the writing shape of tokens).  Tokens too long for a feature of their own,
+such as texts of scripts without spaces, give all their groups of three code points instead.  Each indicator is scaled by the log
 of the ratio of its smoothed class frequencies, and a linear classifier of hinge loss is fitted to the scaled indicators by dual
 coordinate descent.  A logistic curve over the margins of rows left out of the fit turns margins into scores.
 
@@ -25,6 +26,9 @@ from pkgrisk.llm.text import only
 
 # n-grams that a task counts before it hands the counts on.
 TALLY_ROWS = 400_000
+# Code points of a piece of a long token, and of a piece of a long shape.
+PIECE = 3
+SHAPE = 12
 # Labels of 20 bytes that may be broadcast.
 BROADCAST_LABELS = 1_000_000
 
@@ -37,18 +41,18 @@ class Settings:
     smoothing: float = 1.0
     penalty: float = 0.05
     epochs: int = 12
-    longest: int = 40  # code points of a token that is a feature of its own; longer ones keep their shape only
+    longest: int = 40  # code points of a token that is a feature of its own; longer ones are cut into pieces
     seed: int = 7
 
 
 def _shape(token: str) -> str:
     """Case and signs of a token: 'Word.' is 'Xx.', 'WORD!!' is 'X!', 'word***' is 'x*'."""
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:12]
+    return "".join(out)
 
 
 class _Shapes(dict):
@@ -67,17 +71,33 @@ _shapes = _Shapes()
 
 
 def grams(text: str | None, longest: int = 40) -> set[str]:
-    """The features of a text: tokens, pairs of tokens, shapes, pairs of shapes, share of repeats and size in powers of two."""
+    """The features of a text: tokens, pairs of tokens, shapes, pairs of shapes, share of repeats and size in powers of two.
+
+    Of a token over ``longest`` code points every piece counts as a token; its pairs are those of its first and last piece.  Shapes
+    over SHAPE signs are cut into overlapping pieces.
+    """
     tokens = (text or "").split()
     shapes = list(map(_shapes.__getitem__, tokens))
     out = {t for t in tokens if len(t) <= longest}
+    size, firsts, lasts = len(tokens), tokens, tokens
+    if any(len(t) > longest for t in tokens):
+        long = [t for t in tokens if len(t) > longest]
+        for t in long:
+            out.update("\0c" + t[i : i + PIECE] for i in range(len(t) - PIECE + 1))
+        size += sum(len(t) - PIECE for t in long)
+        firsts = [t if len(t) <= longest else "\0c" + t[:PIECE] for t in tokens]
+        lasts = [t if len(t) <= longest else "\0c" + t[-PIECE:] for t in tokens]
     seen = len(out)
-    out.update([f"{a} {b}" for a, b in set(zip(tokens, tokens[1:])) if len(a) + len(b) < longest])
-    out.update(map("\0s".__add__, set(shapes)))
-    out.update([f"\0p{a} {b}" for a, b in set(zip(shapes, shapes[1:]))])
+    out.update([f"{a} {b}" for a, b in set(zip(lasts, firsts[1:]))])
+    for s in set(shapes):
+        if len(s) <= SHAPE:
+            out.add("\0s" + s)
+        else:
+            out.update("\0s" + s[i : i + SHAPE] for i in range(0, len(s) - SHAPE // 2, SHAPE // 2))
+    out.update([f"\0p{a[-SHAPE:]} {b[:SHAPE]}" for a, b in set(zip(shapes, shapes[1:]))])
     if tokens:
-        out.add(f"\0r{round(8 * seen / len(tokens))}")
-    out.add(f"\0n{len(tokens).bit_length()}")
+        out.add(f"\0r{round(8 * seen / size)}")
+    out.add(f"\0n{size.bit_length()}")
     return out
 
 

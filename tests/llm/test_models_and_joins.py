@@ -48,6 +48,22 @@ def test_quality_learns_and_scores_odd_rows(spark):
     assert quality.with_quality(empty(spark), model).count() == 0
 
 
+def test_every_code_point_of_a_long_token_counts(spark):
+    run = "".join(random.Random(6).choice("木林森山川石田") for _ in range(400))
+    for at in (0, 70, 399):
+        assert quality.grams(run) != quality.grams(run[:at] + "水" + run[at + 1 :])
+    assert quality.grams("x" * 90 + "7!") != quality.grams("x" * 90 + "!7")
+    assert quality.grams("a1" * 20) != quality.grams("a1" * 10 + "b-" * 10)
+    a, b, c = "a" * 20, "b" * 25, "c" * 25
+    assert quality.grams(f"{a} {b} {c} {a}") != quality.grams(f"{a} {c} {b} {a}")
+    # Words of two scripts without spaces, told apart by what follows the first 64 code points.
+    pick = random.Random(8)
+    rows = [(i, "木" * 70 + "".join(pick.choice("山川石田" if i % 2 else "水火土金") for _ in range(60)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = quality.fit(df.filter("doc_id < 160"))
+    assert all((model.score(t) >= 0.5) == bool(y) for _, t, y in rows[160:])
+
+
 def test_quality_of_one_class_or_none(spark):
     df = spark.createDataFrame([(1, "a b c", 1), (2, "d e", 1)], "doc_id long, text string, y int")
     assert quality.fit(df).score("a b") > 0.5
