@@ -7,14 +7,17 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from odd import TEXTS, documents, empty
+import pyarrow.parquet as pq
+from odd import PLAIN, TEXTS, documents, empty
 from pyspark.sql import functions as F
+from test_lines_and_windows import lines_kept, plain_words
 
 import corpus_pipeline
 from compare import compare
 from pkgrisk.llm import jaccard_join, quality, toxicity
 from pkgrisk.llm.components import components
-from pkgrisk.llm.queries import ORACLES, QUERIES
+from pkgrisk.llm.queries import ORACLES, QUALITY_CUT, QUERIES
+from pkgrisk.llm.vocabulary import model_path
 from pkgrisk.session import Scratch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -224,3 +227,66 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, odd, FOLDER).count() > 0
         assert stage(spark, empty(spark), FOLDER).count() == 0
+
+
+def plain_stages(scores):
+    """The stages in plain Python, over rows of the columns of documents; ``scores`` are those of the quality classifier by text."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=model_path())
+    windows = defaultdict(set)
+    for r in pq.read_table(f"{FOLDER}/benchmark.parquet").to_pylist():
+        words = plain_words(r["text"])
+        for i in range(max(1, len(words) - 9) if words else 0):
+            windows[len(words[i : i + 10])].add(tuple(words[i : i + 10]))
+
+    def lines(rows):
+        out = []
+        for (i, text, lang, source, _), (_, kept, _, dropped) in zip(rows, lines_kept([r[:2] for r in rows]), strict=True):
+            if not dropped or kept:
+                text = kept if dropped else text
+                out.append((i, text, lang, source, None if text is None else len(text)))
+        return out
+
+    def near(rows):
+        first = {i for i, low, *_ in expected_classes([r[:2] for r in rows]) if i == low}
+        return list({r[:2]: r for r in rows if r[0] in first}.values())
+
+    def clean(rows):
+        def hit(text):
+            words = plain_words(text)
+            return any(tuple(words[i : i + n]) in known for n, known in windows.items() for i in range(len(words) - n + 1))
+
+        bad = {r[0] for r in rows if hit(r[1])}
+        return [r for r in rows if r[0] not in bad]
+
+    def pieces(rows):
+        return [(*r, tuple(library.encode(r[1] or "")), len(library.encode(r[1] or ""))) for r in rows]
+
+    return [lambda rows: [r for r in rows if scores[r[1]] >= QUALITY_CUT], lines, near, clean, pieces]
+
+
+def test_pipeline_rows_are_those_of_plain_python(spark):
+    def rows_of(df):
+        return Counter(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect())
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.fit(quality.train_rows(docs, labels, "quality", F.expr("crc32(cast(doc_id as string)) % 5 <> 0")))
+    rows = [tuple(r) for r in docs.collect()]
+    plain = plain_stages({r[1]: model.score(r[1]) for r in rows})
+    want = plain[0](rows)
+    assert 0 < len(want) < len(rows)
+    assert rows_of(corpus_pipeline.STAGES[0][1](spark, docs, FOLDER)) == Counter(want)
+    for stage in plain[1:]:
+        want = stage(want)
+    assert rows_of(corpus_pipeline.run(spark, FOLDER)) == Counter(want)
+    # Every later stage alone, over rows that it drops: copies, a benchmark item, a text of repeated lines only.
+    item = pq.read_table(f"{FOLDER}/benchmark.parquet").to_pylist()[0]["text"]
+    odd = [*TEXTS, (20, f"before {item} after"), (21, PLAIN.split("\n")[0])]
+    rows = [(None if i is None else i + 10**9, t, None, "s", None) for i, t in odd] + rows[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for (name, stage), own in list(zip(corpus_pipeline.STAGES, plain, strict=True))[1:]:
+        want = own(rows)
+        assert name == corpus_pipeline.STAGES[-1][0] or len(want) < len(rows), name
+        assert rows_of(stage(spark, df, FOLDER)) == Counter(want), name
