@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgrisk.llm import decontaminate, fingerprint, html_text, jaccard_join, license_scan, line_dedup, piece_lattice, quality, token_count, toxicity
+from pkgrisk.llm import (
+    decontaminate, divergence, filter_audit, fingerprint, html_text, jaccard_join, license_scan, line_dedup, piece_lattice, quality,
+    record_files, token_count, toxicity,
+)
 from pkgrisk.llm.vocabulary import model_path
+from pkgrisk.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +20,7 @@ ORACLES: dict[str, str] = {}
 QUALITY_CUT = 0.3
 TOXIC_CUT = 0.7
 TOKEN_LIMIT = 4096
+RECORD_END = 1
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -171,3 +176,74 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(piece_lattice.decode(F.col("ids"), model), 256).alias("decoded_sha256")
     )
+
+
+@_query()
+def op11_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, read back from the record files they were written to; tests compare with the library."""
+    path = Scratch(spark, "token-records").path
+    record_files.write_records(table(spark, folder, "documents"), path, model_path("word_bpe_49k.json"), RECORD_END)
+    read = record_files.read_records(spark, path)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+_OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format('text')} AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCUMENTS}),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(c.n) AS total FROM counts c JOIN kept USING (lang, term) GROUP BY lang, source),
+groups AS (SELECT lang, source, coalesce(t.total, 0) AS total, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals t USING (lang, source) LEFT JOIN langs l USING (lang)),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + ({divergence.UNIT} * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+    1 + ({divergence.UNIT} * (k.n + 1)) // (g.lang_total + g.v) AS whole
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - whole) * (p - whole)) // whole)::BIGINT FROM shares WHERE n > 0 AND p > whole),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+@_query(_OP12)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergences of the sources of each language, and the terms that set each source apart."""
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+_OP13 = f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM texts JOIN firsts USING (t)),
+marked AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, (len(w) < {filter_audit.MIN_WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MAX_CAPITAL_PERCENT} * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN marked USING (doc_id)),
+counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+letters AS (SELECT 'ABCDE'[i:i] AS l, (1 << (i - 1))::INT AS bit FROM unnest(range(1, 6)) AS u(i)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, k::INTEGER AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS seen FROM orders, unnest(range(1, 6)) AS u(k)),
+audit AS (SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (seen | bit) = 0) AS kept, sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & bit <> 0 AND mask & seen <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0 AND good) AS good_lost, sum(n) FILTER (mask & seen = 0 AND mask & bit <> 0 AND toxic) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM audit
+"""
+
+
+@_query(_OP13)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove in every order, by source."""
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
