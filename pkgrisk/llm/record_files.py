@@ -13,6 +13,7 @@ executors leave behind is never read.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 from array import array
@@ -32,8 +33,9 @@ MANIFEST = "manifest"
 # Frames are written and read in pieces of about this size.
 CHUNK_BYTES = 4 << 20
 # Ids of words that one worker keeps, in two generations; only speed depends on it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 LONG_WORD = 64
+_SIGNS = string.punctuation
 
 # Fixed values of the formats: the reflected polynomial of CRC-32C, what masking adds, and bytes around a payload.
 _POLYNOMIAL = 0x82F63B78
@@ -70,10 +72,13 @@ def _shift(doublings: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _of_word() -> np.ndarray:
-    """Checksum of a byte, by its place among eight."""
-    rows = [_byte_table()]
-    for _ in range(7):
-        rows.append(_apply(_shift(0), rows[-1]))
+    """Checksum of two bytes, by their place among the four pairs of a word."""
+    pairs = np.arange(1 << 16)
+    byte = _byte_table()
+    last = byte[pairs >> 8] ^ _apply(_shift(0), byte[pairs & 0xFF])
+    rows = [last]
+    for _ in range(3):
+        rows.append(_apply(_shift(1), rows[-1]))
     return np.stack(rows[::-1])
 
 
@@ -96,9 +101,9 @@ def crc32c(strings: list[bytes]) -> np.ndarray:
     data[np.arange(len(joined)) + lift] = joined
     for k in range(4):
         data[starts + k] ^= 0xFF
-    words, table = data.reshape(-1, 8), _of_word()
+    words, table = data.view("<u2").reshape(-1, 4), _of_word()
     crc = table[0][words[:, 0]]
-    for k in range(1, 8):
+    for k in range(1, 4):
         crc ^= table[k][words[:, k]]
     level = 3
     while (counts > 1).any():
@@ -138,16 +143,17 @@ def pack_numbers(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), ends
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
+def unpack_numbers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where the last byte of each lies."""
     bytes_ = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(bytes_ < 0x80)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     size = ends - starts + 1
-    out = np.zeros(len(ends), np.uint64)
-    for k in range(int(size.max(initial=0))):
-        on = size > k
+    out = (bytes_[starts] & 0x7F).astype(np.uint64)
+    for k in range(1, int(size.max(initial=1))):
+        on = np.flatnonzero(size > k)
         out[on] |= (bytes_[starts[on] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
-    return out
+    return out, ends
 
 
 def _number(n: int) -> bytes:
@@ -163,18 +169,22 @@ def _field(tag: int, body: bytes) -> bytes:
     return bytes([tag << 3 | 2]) + _number(len(body)) + body
 
 
+def _read_number(data: bytes, at: int) -> tuple[int, int]:
+    n = bits = 0
+    while True:
+        byte = data[at]
+        at, n, bits = at + 1, n | (byte & 0x7F) << bits, bits + 7
+        if byte < 0x80:
+            return n, at
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, bytes]]:
     """Tags and bodies of a message that has delimited fields only."""
     at = 0
     while at < len(data):
-        tag, size, at, bits = data[at] >> 3, 0, at + 1, 0
-        while True:
-            byte = data[at]
-            at, size, bits = at + 1, size | (byte & 0x7F) << bits, bits + 7
-            if byte < 0x80:
-                break
-        yield tag, data[at : at + size]
-        at += size
+        size, begin = _read_number(data, at + 1)
+        yield data[at] >> 3, data[begin : begin + size]
+        at = begin + size
 
 
 def _feature(name: bytes, packed: bytes) -> bytes:
@@ -192,14 +202,22 @@ def as_examples(doc_ids: list[int | None], ids: list[bytes]) -> list[bytes]:
     return out
 
 
-def from_example(data: bytes) -> tuple[int | None, np.ndarray]:
-    found = {}
-    for _, features in _fields(data):
-        for _, entry in _fields(features):
-            parts = dict(_fields(entry))
-            found[parts[1]] = unpack_numbers(dict(_fields(dict(_fields(parts[2]))[3]))[1])
-    doc_id = int(found[b"doc_id"][0].astype(np.int64)) if b"doc_id" in found else None
-    return doc_id, found[b"input_ids"].astype("<u4")
+def from_examples(messages: list[bytes]) -> list[tuple[int | None, bytes]]:
+    """``doc_id`` and ids of each message."""
+    doc_ids, packed = [], []
+    for message in messages:
+        found = {}
+        for _, features in _fields(message):
+            for _, entry in _fields(features):
+                parts = dict(_fields(entry))
+                found[parts[1]] = dict(_fields(dict(_fields(parts[2]))[3]))[1]
+        known = found.get(b"doc_id")
+        doc_ids.append(None if known is None else (_read_number(known, 0)[0] + 2**63) % 2**64 - 2**63)
+        packed.append(found[b"input_ids"])
+    numbers, ends = unpack_numbers(b"".join(packed))
+    ids = numbers.astype("<u4").tobytes()
+    cuts = (4 * np.searchsorted(ends, np.cumsum([0] + [len(p) for p in packed]))).tolist()
+    return [(i, ids[a:b]) for i, a, b in zip(doc_ids, cuts, cuts[1:], strict=False)]
 
 
 # --------------------------------------------------------------------------
@@ -231,8 +249,8 @@ def payloads_of(framed: list[bytes]) -> list[bytes]:
 class WordIds:
     """Ids of texts by one file of the tokenizers library, without special tokens around them.
 
-    If white space alone gives no ids and ends every match, a text is its words one after the other; each new word is then
-    encoded by the library once and kept.  Vocabularies with tokens that hold spaces get whole texts.
+    If white space alone gives no ids and ends every match, if signs end words and capitals don't matter, a text is its words one
+    after the other; each new word is then encoded by the library once and kept.  Other vocabularies get whole texts.
     """
 
     def __init__(self, path: str):
@@ -242,8 +260,8 @@ class WordIds:
         self._own = Tokenizer.from_file(path)
         self._own.no_truncation()
         self._own.no_padding()
-        probe = self._library(["a", "b", "a b", " a\n\nb ", " ", "\n"])
-        self.by_word = probe[0] + probe[1] == probe[2] == probe[3] and not probe[4] and not probe[5]
+        a, b, dots, *both, space, line = self._library(["a", "b", "..", "a b..", " A\n\nb.. ", " ", "\n"])
+        self.by_word = all(x == a + b + dots for x in both) and not space and not line
         self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
 
@@ -265,18 +283,50 @@ class WordIds:
         words = text.replace("\n", " ").split(" ")
         parts = list(map(self._young.get, words))
         if None in parts:
-            new = {w: self._old.get(w) for w, p in zip(words, parts, strict=True) if p is None}
-            unknown = [w for w, p in new.items() if p is None]
-            self._young |= new
-            self._young |= zip(unknown, self._words(unknown), strict=True)
-            parts = list(map(self._young.get, words))
-            for w in unknown:
+            holes = [i for i, p in enumerate(parts) if p is None]
+            new = {words[i] for i in holes}
+            self._learn(new)
+            for i in holes:
+                parts[i] = self._young[words[i]]
+            for w in new:
                 if len(w) > LONG_WORD:
                     del self._young[w]
             if len(self._young) > CACHE_WORDS:
                 self._old, self._young = self._young, {"": b""}
         return b"".join(parts)
 
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of all words among the kept ones."""
+        young, old = self._young, self._old
+        made, unknown = [], {}
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+                continue
+            stem, tail = _stem(w)
+            if stem != w:
+                made.append((w, stem, tail))
+            for part in (stem, tail):
+                if part not in young and part not in unknown:
+                    ids = old.get(part)
+                    if ids is None:
+                        unknown[part] = None
+                    else:
+                        young[part] = ids
+        if unknown:
+            young |= zip(unknown, self._words(list(unknown)), strict=True)
+        for w, stem, tail in made:
+            young[w] = young[stem] + young[tail]
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """Small letters of a Latin word and the signs after it, which are always encoded apart; else the word as it is."""
+    stem = word.rstrip(_SIGNS)
+    if len(word) <= LONG_WORD and stem.isalpha() and max(stem) < "\u0100":
+        return stem.lower(), word[len(stem) :]
+    return word, ""
+
 
 _encoders: dict[str, WordIds] = {}
 
@@ -401,10 +451,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{path}/{row['name']}.tfrecord") as f:
                     for chunk in _chunks(index):
                         out = []
-                        for payload in payloads_of([f.read(int(size)) for size in chunk[:, 1]]):
-                            doc_id, ids = from_example(payload)
-                            out.append((row["shard"], n, doc_id, start, ids.tobytes()))
-                            start, n = start + len(ids), n + 1
+                        for doc_id, ids in from_examples(payloads_of([f.read(int(size)) for size in chunk[:, 1]])):
+                            out.append((row["shard"], n, doc_id, start, ids))
+                            start, n = start + len(ids) // 4, n + 1
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _READ_ARROW.types)], schema=_READ_ARROW)
 
     return todo.mapInArrow(run, _READ_SCHEMA)
@@ -449,10 +498,10 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int, tasks: int | None
                     f = opened.get(row["name"]) or opened.setdefault(row["name"], fs.open_input_file(f"{path}/{row['name']}.tfrecord"))
                     framed.append(f.read_at(row["size"], row["at"]))
                     size, at = size + row["size"], at + 1
-                out = [(r["shard"], r["record"], *from_example(p)) for r, p in zip(rows_[first:at], payloads_of(framed), strict=True)]
+                out = [(r["shard"], r["record"], *found) for r, found in zip(rows_[first:at], from_examples(payloads_of(framed)), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array([o[0] for o in out], pa.int32()), "record": pa.array([o[1] for o in out], pa.int64()),
-                    "doc_id": pa.array([o[2] for o in out], pa.int64()), "ids": pa.array([o[3].tobytes() for o in out], pa.binary()),
+                    "doc_id": pa.array([o[2] for o in out], pa.int64()), "ids": pa.array([o[3] for o in out], pa.binary()),
                 })
 
     return rows.drop("mix").mapInArrow(run, "shard int, record long, doc_id long, ids binary")
