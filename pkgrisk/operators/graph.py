@@ -1,15 +1,16 @@
 """Dependency graphs: reachability and the feature-aware closure.
 
-Both are one loop, ``derive``: facts ``(root, atom)`` grow along static
-implications ``src -> dst`` until nothing is new.  Each round joins only the
-facts of the last round, and writes its new facts once, so lineage stays short
-and the next round plans with real sizes.
+Both are one loop, ``derive``.  Roots are numbered and go in blocks of 64; what
+is known of an atom is one row per block, a number whose bits are the roots it
+holds for.  Packages that everything depends on, which make up most of a closure,
+so take a row for 64 roots, and rows of single pairs are never made on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +19,29 @@ from pkgrisk.session import Scratch
 
 # Dependency types and the edge kind each starts with.
 KINDS = {"standard": "normal", "dev": "dev", "build": "build"}
+_BITS = 64
 
 
-def derive(seeds: DataFrame, implications: DataFrame, both: DataFrame | None = None, label: str = "derive") -> DataFrame:
-    """Least fixpoint of ``(root, atom)``.
+class Facts(NamedTuple):
+    """``state(atom, block, bits)`` and the place ``roots(root, block, bit)`` of each root."""
+
+    state: DataFrame
+    roots: DataFrame
+
+
+def derive(seeds: DataFrame, implications: DataFrame, both: DataFrame | None = None, label: str = "derive") -> Facts:
+    """Least fixpoint of the facts that start with ``seeds(root, atom)``.
 
     ``implications(src, dst)``: an atom brings another one.
     ``both(left, right, dst)``: two atoms of one root together bring another one.
+
+    A round passes on only the bits that the last one set, ORs what arrives for an
+    atom and block on the map side first, and writes the state once, old bits and
+    new ones beside each other; the state before it is then dropped.  Cycles need
+    no care: a bit is new once.  Rounds are as many as the longest way.
     """
     scratch = Scratch(seeds.sparkSession, label)
-    rules = scratch.save(implications.select("src", "dst").distinct(), "rules")
+    rules = scratch.save(implications.select("src", "dst").filter("src <> dst").distinct(), "rules")
     pairs = None
     if both is not None:
         # Either half may arrive last, so each pair is kept under both.
@@ -37,42 +51,66 @@ def derive(seeds: DataFrame, implications: DataFrame, both: DataFrame | None = N
         pairs = scratch.save(halves.distinct(), "pairs")
         if pairs.isEmpty():
             pairs = None
-    delta = scratch.save(seeds.select("root", "atom").distinct(), "round-0")
-    rounds = ["round-0"]
-    while not delta.isEmpty():
-        seen = scratch.read_all(rounds, delta)
-        new = delta.join(rules, delta["atom"] == rules["src"]).select("root", F.col("dst").alias("atom"))
+    # Neighbours in the order of their names share a block.
+    number = F.monotonically_increasing_id()
+    ordered = seeds.select("root").distinct().repartitionByRange("root").sortWithinPartitions("root").withColumn("number", number)
+    roots = scratch.save(
+        ordered.select("root", F.expr(f"number div {_BITS}").alias("block"), F.expr(f"cast(number % {_BITS} as int)").alias("bit")), "roots"
+    )
+    one = F.lit(1).cast("bigint")
+    first = seeds.select("root", "atom").join(roots, "root").select("atom", "block", F.call_function("shiftleft", one, F.col("bit")).alias("bits"))
+    first = first.groupBy("atom", "block").agg(F.bit_or("bits").alias("bits"))
+    state = scratch.save(first.withColumn("fresh", F.col("bits")), "round-0")
+    n = 0
+    while not (delta := state.filter("fresh <> 0").select("atom", "block", F.col("fresh").alias("bits"))).isEmpty():
+        arrived = delta.join(rules, delta["atom"] == rules["src"]).select(F.col("dst").alias("atom"), "block", "bits")
         if pairs is not None:
-            half = delta.join(pairs, delta["atom"] == pairs["src"]).select(
-                "root", F.col("need").alias("atom"), "dst"
-            )
-            complete = half.join(seen, ["root", "atom"], "left_semi")
-            new = new.unionByName(complete.select("root", F.col("dst").alias("atom")))
-        # Candidates are written first: with their size known, the lookup in the
-        # ever growing facts is a broadcast semi join whenever they are few.
-        found = scratch.save(new.distinct(), f"candidates-{len(rounds)}")
-        known = seen.join(found, ["root", "atom"], "left_semi")
-        name = f"round-{len(rounds)}"
-        delta = scratch.save(found.join(known, ["root", "atom"], "left_anti"), name)
-        rounds.append(name)
-    return scratch.read_all(rounds, delta)
+            half = delta.join(pairs, delta["atom"] == pairs["src"]).select(F.col("need").alias("atom"), "block", F.col("bits").alias("half"), "dst")
+            whole = half.join(state, ["atom", "block"]).select(F.col("dst").alias("atom"), "block", F.col("half").bitwiseAND(F.col("bits")).alias("bits"))
+            arrived = arrived.unionByName(whole.filter("bits <> 0"))
+        arrived = arrived.groupBy("atom", "block").agg(F.bit_or("bits").alias("arrived"))
+        known, came = F.coalesce("bits", F.lit(0)), F.coalesce("arrived", F.lit(0))
+        merged = state.select("atom", "block", "bits").join(arrived, ["atom", "block"], "full").select(
+            "atom", "block", known.bitwiseOR(came).alias("bits"), came.bitwiseAND(F.bitwise_not(known)).alias("fresh")
+        )
+        n += 1
+        state = scratch.save(merged, f"round-{n}")
+        scratch.drop(f"round-{n - 1}")
+    return Facts(state.select("atom", "block", "bits"), roots)
 
 
-def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Distinct ``root, node`` pairs over ``edges(src, dst)``.
+def as_pairs(facts: Facts) -> DataFrame:
+    """``root, atom`` rows, for results that are pairs by their nature."""
+    is_set = F.expr(f"filter(sequence(0, {_BITS - 1}), i -> getbit(bits, i) = 1)")
+    return facts.state.select("atom", "block", F.explode(is_set).alias("bit")).join(facts.roots, ["block", "bit"]).select("root", "atom")
 
-    A root is in its own set only if it lies on a cycle.
-    """
+
+def counts_by_root(facts: Facts) -> DataFrame:
+    """``root, count``: atoms of each root, as 64 sums a block; no pair is made."""
+    sums = [F.sum(F.getbit("bits", F.lit(i)).cast("bigint")) for i in range(_BITS)]
+    counted = facts.state.groupBy("block").agg(F.array(*sums).alias("sums"))
+    return counted.select("block", F.posexplode("sums").alias("bit", "count")).join(facts.roots, ["block", "bit"]).select("root", "count")
+
+
+def _reach(edges: DataFrame, roots: DataFrame | None) -> Facts:
     links = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     first = links.withColumnRenamed("src", "root").withColumnRenamed("dst", "atom")
     if roots is not None:
         first = first.join(roots.select(F.col("root").cast("string").alias("root")).distinct(), "root", "left_semi")
-    return derive(first, links, label="reachable").withColumnRenamed("atom", "node")
+    return derive(first, links, label="reachable")
+
+
+def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Distinct ``root, node`` pairs over ``edges(src, dst)``.
+
+    A root is in its own set only if it lies on a cycle.
+    """
+    return as_pairs(_reach(edges, roots)).withColumnRenamed("atom", "node")
 
 
 def transitive_dependency_counts(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """``package, transitive_dependencies``; 0 for a package without a node."""
-    counted = reachable(edges, packages.select(F.col("package").alias("root"))).groupBy("root").count()
+    counted = counts_by_root(_reach(edges, packages.select(F.col("package").alias("root"))))
     return packages.join(counted, packages["package"].cast("string") == counted["root"], "left").select(
         "package", F.coalesce("count", F.lit(0)).alias("transitive_dependencies")
     )
@@ -90,7 +128,7 @@ def is_plain(activation: Column) -> Column:
 def expand_features(package_features: DataFrame, enabled: DataFrame) -> DataFrame:
     """All features ``enabled(pkg_id, feature)`` switches on inside each package."""
     step = package_features.filter(is_plain(F.col("activation")))
-    found = derive(
+    facts = derive(
         enabled.select(F.col("pkg_id").cast("string").alias("root"), _feature(F.lit(_PLAIN), F.col("pkg_id"), F.col("feature")).alias("atom")),
         step.select(
             _feature(F.lit(_PLAIN), F.col("pkg_id"), F.col("feature")).alias("src"),
@@ -98,7 +136,7 @@ def expand_features(package_features: DataFrame, enabled: DataFrame) -> DataFram
         ),
         label="features",
     )
-    return found.select(F.col("root").alias("pkg_id"), F.substring_index("atom", _SEP, -1).alias("feature"))
+    return as_pairs(facts).select(F.col("root").alias("pkg_id"), F.substring_index("atom", _SEP, -1).alias("feature"))
 
 
 def _same_name(a: Column, b: Column, normalize: bool) -> Column:
@@ -338,7 +376,8 @@ def closure_facts(
     rules, both = _rules(edges, features)
     facts = derive(seeds, rules, both, label="closure")
     parts = F.split("atom", _SEP)
-    return facts.filter((F.get(parts, F.lit(0)) == _PLAIN) & (F.get(parts, F.lit(1)) == "V")).select(
+    packages = facts.state.filter((F.get(parts, F.lit(0)) == _PLAIN) & (F.get(parts, F.lit(1)) == "V"))
+    return as_pairs(Facts(packages, facts.roots)).select(
         F.substring_index("root", _SEP, -1).alias("root"),
         F.substring_index("root", _SEP, 1).alias("type"),
         F.get(parts, F.lit(2)).alias("pkg_id"),

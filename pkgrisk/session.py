@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,13 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="pkgrisk-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_root()
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """One temporary folder a process, for local masters alone; a session's own setting can't be changed while it runs."""
+    return tempfile.mkdtemp(prefix="pkgrisk-")
 
 
 class Scratch:
@@ -58,5 +63,7 @@ class Scratch:
         df.write.mode("error").parquet(target)
         return self._spark.read.schema(df.schema).parquet(target)
 
-    def read_all(self, names: list[str], like: DataFrame) -> DataFrame:
-        return self._spark.read.schema(like.schema).parquet(*[f"{self.path}/{n}" for n in names])
+    def drop(self, name: str) -> None:
+        """Deletes a table of this scratch folder that no frame reads any more."""
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
