@@ -39,13 +39,20 @@ _AFTER = "\x00"
 _LAST = "\x7f"
 
 
+def _numbers(c: Column) -> Column:
+    """Major, minor and patch of well-formed text, as digits."""
+    return F.split(F.substring_index(F.substring_index(c, "+", 1), "-", 1), r"\.")
+
+
+def _fit(numbers: Column) -> Column:
+    """Each number lies inside an unsigned 64-bit integer."""
+    padded = [F.lpad(F.get(numbers, F.lit(i)), _WIDTH + 1, "0") for i in range(3)]
+    return F.greatest(*padded) <= F.lit(_U64_MAX.rjust(_WIDTH + 1, "0"))
+
+
 def is_semver(c: Column) -> Column:
     """Well formed, with each number inside an unsigned 64-bit integer."""
-    fits = F.lit(True)
-    for i in (1, 2, 3):
-        digits = F.regexp_extract(c, SEMVER_PATTERN, i)
-        fits = fits & (F.lpad(digits, _WIDTH + 1, "0") <= F.lit(_U64_MAX.rjust(_WIDTH + 1, "0")))
-    return c.rlike(SEMVER_PATTERN) & fits
+    return c.rlike(SEMVER_PATTERN) & F.coalesce(_fit(_numbers(c)), F.lit(False))
 
 
 def _part(c: Column, group: int) -> Column:
@@ -68,21 +75,30 @@ def _pad(digits: Column) -> Column:
     return F.lpad(digits, _WIDTH, "0")
 
 
+def _tail(c: Column, mark: str) -> Column:
+    """What stands after the first ``mark``; empty without one."""
+    at = F.instr(c, mark)
+    return F.when(at > 0, F.call_function("substring", c, at + 1)).otherwise("")
+
+
 def semver_base(c: Column) -> Column:
-    """Key of major.minor.patch alone; smaller than every version on that line.  NULL for malformed text."""
-    return F.when(is_semver(c), F.concat(_pad(_part(c, 1)), _pad(_part(c, 2)), _pad(_part(c, 3))))
+    """Key of major.minor.patch alone; smaller than every version on that line.  NULL for malformed text.
+
+    The pattern is matched once; what it allows can then be cut at its marks.
+    """
+    key = let(_numbers(c), lambda n: F.when(_fit(n), F.concat(*[_pad(F.get(n, F.lit(i))) for i in range(3)])))
+    return F.when(c.rlike(SEMVER_PATTERN), key)
 
 
 def precedence_key(c: Column) -> Column:
     """Order key without build metadata; NULL for malformed text."""
-    pre = _part(c, 4)
-    tail = F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre))
-    return F.concat(semver_base(c), tail)
+    pre = _tail(F.substring_index(c, "+", 1), "-")
+    return F.concat(semver_base(c), F.when(pre == "", F.lit(_RELEASE)).otherwise(_encode_ids(pre)))
 
 
 def semver_key(c: Column) -> Column:
     """Total order key; NULL for malformed text."""
-    build = _part(c, 5)
+    build = _tail(c, "+")
     tail = F.when(build == "", F.lit("")).otherwise(F.concat(F.lit(_AFTER), _encode_ids(build)))
     return F.concat(precedence_key(c), tail)
 

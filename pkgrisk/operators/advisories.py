@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.functions.let import let
 from pkgrisk.functions.semver import precedence_key, requirement_interval
+from pkgrisk.operators.running import running_sums
+from pkgrisk.session import Scratch
 
 # Counter names, in report order.
 CLASSES = ("low", "medium", "high", "critical", "notice", "unmaintained", "unsound")
@@ -125,9 +127,10 @@ def version_counts(advisories: DataFrame, versions: DataFrame) -> DataFrame:
 
     A version is affected unless it lies in a safe interval.  Instead of pairing
     versions with advisories, interval ends become +1 / -1 steps per class and a
-    version reads off the running sum at its place.  Steps and versions are
-    reduced to distinct keys first, and the running sum works in blocks of one
-    major.minor line, so a package with very many of either is not one task.
+    version reads off the running sum at its place.  The steps of a package add up
+    to nothing, so one running sum over all packages, in order of package and key,
+    starts at zero for each of them, and a package with very many versions or
+    advisories is spread over many ranges.
     """
     rated = classified(advisories)
     totals = rated.groupBy("package").agg(
@@ -152,22 +155,8 @@ def version_counts(advisories: DataFrame, versions: DataFrame) -> DataFrame:
     )
     points = marks.groupBy("package", "key").agg(
         *[F.sum(F.when(F.col("class") == c, F.col("step")).otherwise(0)).alias(c) for c in CLASSES]
-    ).withColumn("block", F.substring("key", 1, 40))
-
-    by_block = Window.partitionBy("package").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        points.groupBy("package", "block")
-        .agg(*[F.sum(c).alias(c) for c in CLASSES])
-        .select("package", "block", *[F.coalesce(F.sum(c).over(by_block), F.lit(0)).alias(f"pre_{c}") for c in CLASSES])
-    )
-    inside = (
-        Window.partitionBy("package", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    safe = (
-        points.select("package", "key", "block", *[F.sum(c).over(inside).alias(c) for c in CLASSES])
-        .join(before, ["package", "block"])
-        .select("package", "key", *[(F.col(c) + F.col(f"pre_{c}")).alias(c) for c in CLASSES])
-    )
+    ).filter("key is not null")
+    safe = running_sums(points, ("package", "key"), CLASSES, Scratch(advisories.sparkSession, "safe-versions"))
     return (
         asked.join(safe, ["package", "key"], "left")
         .join(totals, "package", "left")
