@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pkgrisk.sources.kept import SnapshotStore
 from pkgrisk.sources.policy import Policy
-from pkgrisk.sources.sinks import write_new
 
 # Entry states.
 DATA, NO_DATA, MISS = "Data", "NoData", "Miss"
@@ -78,12 +78,12 @@ def refresh_plan_by_source(requested: DataFrame, snapshots: DataFrame, now: Colu
     return requested.select("source", "key").distinct().join(fresh, ["source", "key"], "left_anti")
 
 
-def save_snapshots(snapshots: DataFrame, fetched: DataFrame, path: str) -> DataFrame:
-    """Writes the latest rows of old and new entries to a folder of their own, and reads them back.
+def snapshot_store(spark: SparkSession, path: str, schema: str, buckets: int = 64) -> SnapshotStore:
+    """Kept entries that hold the latest row of each source and key; new ones rewrite only their own buckets.
 
-    Readers of the old folder are not disturbed; whoever keeps the folders points to the new one afterwards.
+    A bucket is one part of a few files: choose as many as make it a task's work.
     """
-    return write_new(upsert(snapshots, fetched), path)
+    return SnapshotStore(spark, path, schema, latest_snapshots, buckets)
 
 
 def refresh_plan_by_repo(packages: DataFrame, snapshots: DataFrame, now: Column, ttl: timedelta, ignore: bool = False) -> DataFrame:

@@ -138,7 +138,7 @@ def docs_link(documentation: Column, name: Column, version: Column) -> Column:
     ).otherwise(F.concat(F.lit("https://docs.rs/"), name, F.lit("/"), version))
 
 
-def registry_facts(registry: Registry, packages: DataFrame, now: Column) -> DataFrame:
+def registry_facts(registry: Registry, packages: DataFrame, now: Column, version_months: DataFrame | None = None) -> DataFrame:
     """``name, version, registry`` for ``packages(name, version, crate_id, version_id)``.
 
     Every aggregate reads only the requested packages (semi joins on the id
@@ -151,7 +151,10 @@ def registry_facts(registry: Registry, packages: DataFrame, now: Column) -> Data
     versions = only(r.versions, ids, "crate_id")
     all_version_ids = versions.select(F.col("id").alias("version_id"))
     # The largest table is read once: both series come from these sums.
-    months = monthly_by_version(only(r.version_downloads, all_version_ids, "version_id"))
+    if version_months is None:
+        months = monthly_by_version(only(r.version_downloads, all_version_ids, "version_id"))
+    else:
+        months = only(version_months, all_version_ids, "version_id")
     months = Scratch(packages.sparkSession, "registry").save(months, "months")
     per_crate = as_series(monthly_by_crate(months, versions), "crate_id")
     per_version = as_series(only(months, hits.select("version_id"), "version_id"), "version_id")

@@ -510,11 +510,13 @@ SELECT source, key FROM last WHERE NOT coalesce(CASE source WHEN 'hosting' THEN
   WHEN 'coverage' THEN fetched > TIMESTAMP '2024-01-31' - INTERVAL 3 DAY END, false)"""
 )
 def freshness_job(s: Shadow) -> DataFrame:
-    """New entries are merged into the old ones, written, read back and checked against the limit of each source."""
+    """New entries are merged into the kept ones, bucket by bucket, and what is kept is checked against the limit of each source."""
     entries = _snapshots(s).withColumn("source", F.expr("CASE key % 3 WHEN 0 THEN 'hosting' WHEN 1 THEN 'coverage' ELSE 'other' END"))
     old, new = entries.filter("payload <> 'label'"), entries.filter("payload = 'label'")
-    saved = fresh.save_snapshots(old, new, f"{Scratch(s.spark, 'snapshots').path}/latest")
-    return fresh.refresh_plan_by_source(entries, saved, F.expr("TIMESTAMP_NTZ'2024-01-31'"), _LIMITS)
+    store = fresh.snapshot_store(s.spark, Scratch(s.spark, "snapshots").path, "source string, key long, fetched_at timestamp_ntz, payload string, no_data_reason string", buckets=8)
+    store.upsert(old)
+    store.upsert(new)
+    return fresh.refresh_plan_by_source(entries, store.entries(), F.expr("TIMESTAMP_NTZ'2024-01-31'"), _LIMITS)
 
 
 # --------------------------------------------------------------------------

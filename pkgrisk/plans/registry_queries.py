@@ -15,6 +15,7 @@ from pkgrisk.plans.catalog import CRATE_MONTHS, NOW, NUM, query
 from pkgrisk.plans.shadow import Shadow, now
 from pkgrisk.session import Scratch
 from pkgrisk.sources import dump
+from pkgrisk.sources.kept import DownloadStore
 from pkgrisk.sources.sinks import write_csv
 
 # --------------------------------------------------------------------------
@@ -394,6 +395,19 @@ def monthly_downloads_version(s: Shadow) -> DataFrame:
     return reg.monthly_by_version(s.version_downloads)
 
 
+@query(
+    """SELECT l_orderkey AS version_id, date_trunc('month', l_shipdate)::DATE AS month,
+  sum(l_quantity::BIGINT)::BIGINT AS downloads FROM lineitem GROUP BY ALL"""
+)
+def monthly_downloads_kept(s: Shadow) -> DataFrame:
+    """Month sums kept over two dumps: the second one completes days of the first and brings new ones."""
+    store = DownloadStore(s.spark, Scratch(s.spark, "kept-downloads").path)
+    rows, recent = s.version_downloads, F.col("date") >= F.lit("1998-03-17").cast("date")
+    store.add(rows.filter(~recent | ((F.col("date") < "1998-08-20") & (F.col("version_id") % 2 == 0))))
+    store.add(rows.filter(recent))
+    return store.months()
+
+
 @query(f"WITH {CRATE_MONTHS} SELECT crate_id, month, downloads FROM cm")
 def monthly_downloads_crate(s: Shadow) -> DataFrame:
     return reg.monthly_by_crate(reg.monthly_by_version(s.version_downloads), s.versions)

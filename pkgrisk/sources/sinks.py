@@ -9,12 +9,6 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_new(df: DataFrame, path: str) -> DataFrame:
-    """Writes a folder that must not exist yet and reads it back."""
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Cells are quoted when they hold a quote, comma or line break."""
     (

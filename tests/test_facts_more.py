@@ -50,7 +50,7 @@ def test_documents_of_any_size_and_shape(spark):
 def test_each_source_has_its_own_limit(spark, tmp_path):
     from datetime import timedelta
 
-    from pkgrisk.operators.freshness import policy_limits, refresh_plan_by_source, save_snapshots
+    from pkgrisk.operators.freshness import policy_limits, refresh_plan_by_source, snapshot_store
     from pkgrisk.sources.policy import default_policy
 
     schema = "source string, key string, fetched_at timestamp_ntz, payload string, no_data_reason string"
@@ -61,7 +61,10 @@ def test_each_source_has_its_own_limit(spark, tmp_path):
         ).drop("day")
 
     old = rows(("hosting", "a", 0, "x"), ("hosting", "b", 9, "x"), ("coverage", "a", 9, "x"), ("unknown", "a", 10, "x"))
-    saved = save_snapshots(old, rows(("hosting", "a", 10, "y")), str(tmp_path / "one"))
+    store = snapshot_store(spark, str(tmp_path / "one"), schema, buckets=3)
+    store.upsert(old)
+    store.upsert(rows(("hosting", "a", 10, "y")))
+    saved = store.entries()
     assert saved.filter("source = 'hosting' and key = 'a'").head().payload == "y" and saved.count() == 4
     limits = policy_limits(default_policy()) | {"coverage": timedelta(days=1)}
     got = refresh_plan_by_source(old, saved, F.expr("TIMESTAMP_NTZ'2024-01-11'"), limits).collect()
