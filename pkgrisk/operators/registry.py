@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,57 +142,74 @@ def docs_link(documentation: Column, name: Column, version: Column) -> Column:
 def registry_facts(registry: Registry, packages: DataFrame, now: Column, version_months: DataFrame | None = None) -> DataFrame:
     """``name, version, registry`` for ``packages(name, version, crate_id, version_id)``.
 
-    Every aggregate reads only the requested packages (semi joins on the id
-    list) and arrives partitioned on the join key.  ``packages`` is read many
-    times, so hand in a written table.
+    Every part reads only the requested packages (semi joins on the id list).
+    Months, dependents, owners and labels become rows of one union under one
+    aggregate by package.  ``packages`` is read many times, so hand in a written
+    table.  ``version_months`` are month sums that are kept already; the daily
+    downloads are then not read at all.
     """
     hits = packages.select("name", "version", "crate_id", "version_id")
     ids = hits.select("crate_id").distinct()
-    r = registry
-    versions = only(r.versions, ids, "crate_id")
-    all_version_ids = versions.select(F.col("id").alias("version_id"))
+    r, scratch = registry, Scratch(packages.sparkSession, "registry")
+    versions = scratch.save(only(r.versions.select("id", "crate_id", "created_at"), ids, "crate_id"), "versions")
+    of = versions.select(F.col("id").alias("version_id"), "crate_id")
     # The largest table is read once: both series come from these sums.
-    if version_months is None:
-        months = monthly_by_version(only(r.version_downloads, all_version_ids, "version_id"))
-    else:
-        months = only(version_months, all_version_ids, "version_id")
-    months = Scratch(packages.sparkSession, "registry").save(months, "months")
-    per_crate = as_series(monthly_by_crate(months, versions), "crate_id")
+    months = monthly_by_version(only(r.version_downloads, of, "version_id")) if version_months is None else version_months
+    months = scratch.save(months.join(of, "version_id"), "months")
     per_version = as_series(only(months, hits.select("version_id"), "version_id"), "version_id")
 
-    overall = ids
-    for part in (
+    # Rows of every kind, each with the columns of its own kind, meet in one aggregate.
+    owner_of = r.versions.select(F.col("id").alias("version_id"), F.col("crate_id").alias("owner_id"))
+    using = only(r.dependencies.select("crate_id", "version_id"), ids, "crate_id").join(owner_of, "version_id")
+    by_crate = months.groupBy("crate_id", "month").agg(F.sum("downloads").cast("bigint").alias("sum"))
+    categories = r.categories.select(F.col("id").alias("category_id"), F.col("slug").alias("category"))
+    keywords = r.keywords.select(F.col("id").alias("keyword_id"), "keyword")
+    rows = (
+        ids,
         only(r.crates, ids.select(F.col("crate_id").alias("id")), "id").select(
-            F.col("id").alias("crate_id"), "created_at", "updated_at", "repository"
+            F.col("id").alias("crate_id"), F.struct("created_at", "updated_at", "repository").alias("crate")
+        ),
+        only(r.crate_downloads, ids, "crate_id").select("crate_id", "downloads"),
+        using.select("crate_id", "owner_id").distinct(),
+        versions.select("crate_id", "created_at"),
+        by_crate.select("crate_id", F.struct("month", F.col("sum").alias("downloads")).alias("month")),
+        owners(only(r.crate_owners, ids, "crate_id"), r.users, r.teams).select(
+            "crate_id", F.struct("login", "kind", "display_name").alias("owner")
         ),
-        total_downloads(ids, r.crate_downloads),
-        dependents(r.dependencies, r.versions, ids),
-        version_recency(versions, now),
-        per_crate,
-        owner_lists(owners(only(r.crate_owners, ids, "crate_id"), r.users, r.teams)),
-        label_lists(only(r.crates_categories, ids, "crate_id"), r.categories, "category_id", "slug", "categories"),
-        label_lists(only(r.crates_keywords, ids, "crate_id"), r.keywords, "keyword_id", "keyword", "keywords"),
-    ):
-        overall = overall.join(part, "crate_id", "left")
-    texts = F.array().cast("array<string>")
-    people = F.array().cast("array<struct<login: string, kind: string, display_name: string>>")
-    overall = overall.select(
+        only(r.crates_categories, ids, "crate_id").join(categories, "category_id").select("crate_id", "category"),
+        only(r.crates_keywords, ids, "crate_id").join(keywords, "keyword_id").select("crate_id", "keyword"),
+    )
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+    def listed(name: str) -> Column:
+        return F.sort_array(F.collect_list(name))
+
+    overall = every.groupBy("crate_id").agg(
+        F.any_value("crate", ignoreNulls=F.lit(True)).alias("crate"),
+        F.coalesce(F.max("downloads"), F.lit(0)).alias("downloads"),
+        F.count("owner_id").alias("dependents"),
+        *window_counts(F.col("created_at"), now, "versions", WINDOW_DAYS, total=False),
+        listed("month").alias("monthly_downloads"),
+        listed("owner").alias("owners"),
+        listed("category").alias("categories"),
+        listed("keyword").alias("keywords"),
+    ).select(
         "crate_id",
         F.struct(
-            "created_at",
-            "updated_at",
-            "repository",
+            "crate.created_at",
+            "crate.updated_at",
+            "crate.repository",
             "downloads",
             "dependents",
-            *[F.coalesce(f"versions_last_{d}_days", F.lit(0)).alias(f"versions_last_{d}_days") for d in WINDOW_DAYS],
-            F.coalesce("monthly_downloads", F.array().cast(_MONTHS)).alias("monthly_downloads"),
-            F.coalesce("owners", people).alias("owners"),
-            F.coalesce("categories", texts).alias("categories"),
-            F.coalesce("keywords", texts).alias("keywords"),
+            *[f"versions_last_{d}_days" for d in WINDOW_DAYS],
+            "monthly_downloads",
+            "owners",
+            "categories",
+            "keywords",
         ).alias("overall"),
     )
     chosen = (
-        versions.withColumnRenamed("id", "version_id")
+        r.versions.withColumnRenamed("id", "version_id")
         .join(hits.select("version_id").distinct(), "version_id", "left_semi")
         .join(per_version, "version_id", "left")
         .select(
