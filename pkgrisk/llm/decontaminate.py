@@ -11,17 +11,20 @@ documents, so a large benchmark costs more passes, not more memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgrisk.llm.text import only, word_array, words_of
+from pkgrisk.llm.text import only, utf8, word_array, words_of
+from pkgrisk.session import Scratch
 
 WINDOW = 10
 BLOCK_WORDS = 2
 WINDOWS_PER_BLOCK = 200_000
-_SEEN = "row_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+_SEEN = "row_id long, digest binary, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 class WuManber:
@@ -32,14 +35,13 @@ class WuManber:
         self._block = size = min(BLOCK_WORDS, length)
         self._far = length - size + 1
         self._shift: dict[tuple[bytes, ...], int] = {}
-        self._buckets: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = {}
+        # Windows by their last block and then by their first word.
+        self._buckets: dict[tuple[bytes, ...], dict[bytes, list[tuple[bytes, ...]]]] = {}
         for window in windows:
             for end in range(size, length + 1):
                 block = window[end - size : end]
                 self._shift[block] = min(self._shift.get(block, self._far), length - end)
-            self._buckets.setdefault(window[-size:], []).append(window)
-        # A bucket is compared by its first word first.
-        self._starts = {block: {w[0] for w in bucket} for block, bucket in self._buckets.items()}
+            self._buckets.setdefault(window[-size:], {}).setdefault(window[0], []).append(window)
 
     def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """Start and report of each place where a window occurs."""
@@ -52,11 +54,9 @@ class WuManber:
                 i += jump
                 continue
             start = i - length
-            if words[start] in self._starts[block]:
-                found = tuple(words[start:i])
-                # The bucket's windows are the keys of one dictionary: equal to one of them or to none.
-                if found in self._windows:
-                    yield start, self._windows[found]
+            for window in self._buckets[block].get(words[start], ()):
+                if all(map(eq, window, words[start:i])):
+                    yield start, self._windows[window]
             i += 1
 
 
@@ -93,7 +93,8 @@ def _search(rows: list[tuple[str, list[str]]]) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             out = []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
+                text = text.as_py()
+                words = words_of(text)
                 spans, items = [], set()
                 for search in own:
                     for start, found in search.occurrences(words):
@@ -103,7 +104,7 @@ def _search(rows: list[tuple[str, list[str]]]) -> Callable[[Iterator[pa.RecordBa
                             spans.append((start, start + search.length))
                         items.update(found)
                 out.append({
-                    "row_id": row_id, "n_words": len(words), "items": sorted(items),
+                    "row_id": row_id, "digest": sha256(utf8(text)).digest(), "n_words": len(words), "items": sorted(items),
                     "spans": [{"start": a, "end": b} for a, b in merged(spans)],
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
@@ -112,7 +113,7 @@ def _search(rows: list[tuple[str, list[str]]]) -> Callable[[Iterator[pa.RecordBa
 
 
 _ARROW = pa.schema([
-    ("row_id", pa.int64()), ("n_words", pa.int64()),
+    ("row_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())),
 ])
 
@@ -132,7 +133,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
     """``key, n_words, spans, items``: one row per row of ``docs`` with the word spans that lie in occurrences of windows.
 
     Null and empty texts have no words and no hits; items without words are never found; an empty benchmark hits nothing.  Equal
-    items are found together; a null ``item_id`` is ''.  ``key`` must be unique if the benchmark needs more than one block; else rows of equal key stay apart.
+    items are found together; a null ``item_id`` is ''.  Rows of equal key stay rows of their own, whatever the number of blocks:
+    what the blocks find is brought together by key and text, and rows equal in both come back as often as they are there.
     """
     spark = docs.sparkSession
     windows = windows_of(items, width)
@@ -140,6 +142,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
     blocks = max(1, -(-count // WINDOWS_PER_BLOCK))
     docs = docs.select(F.col(key).cast("long").alias("row_id"), "text")
     windows = windows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(blocks)))
+    if blocks > 1:
+        windows = Scratch(spark, "benchmark").save(windows, "windows")
     found = None
     for n in range(blocks):
         rows = [(r["item"], r["window"]) for r in windows.filter(F.col("block") == n).toLocalIterator()]
@@ -148,14 +152,14 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", width
         def run(batches, shared=shared):
             return _search(shared.value)(batches)
 
-        part = docs.mapInArrow(run, _SEEN)
+        part = docs.mapInArrow(run, _SEEN).withColumn("block", F.lit(n))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("row_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    return found.withColumnRenamed("row_id", key)
+        found = found.groupBy("row_id", "digest").agg(
+            F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("block") == 0).alias("copies"),
+        ).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return found.select(F.col("row_id").alias(key), "n_words", "spans", "items")
 
 
 def hit_report(hits: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,7 +2,10 @@
 
 Every pair of neighbouring words of a text is joined to the places where a template has the pair.  A match at word i of the text and
 word j of the template votes for the diagonal i - j; an unbroken copy puts all its votes on one diagonal.  Diagonals with enough votes
-that lie beside each other (words put in or left out) are merged into one span, and a span counts if it covers enough of its template.
+that lie beside each other (words put in or left out) are merged into one span.  A span is verified by the places of the template that
+its words stand for: each place counts once, however many diagonals vote for it, and the span counts if enough places are covered.
+Diagonals are merged over at most NEAR words, less than the words of the shortest fragment, so fragments beside each other keep the order
+that the template has.
 A base phrase counts only where all its words stand consecutively: all its votes on one diagonal.
 
 DataFrame functions only.  The templates are fixed text, so their pairs are broadcast whatever the input.
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pkgrisk.llm.text import only, word_array
+from pkgrisk.session import Scratch
 
 # Phrases and their labels.
 PHRASES = (
@@ -70,8 +74,9 @@ def _hash(w1: Column, w2: Column) -> Column:
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_words, template, label, base, pairs, diagonal, votes, first, last``: votes by text and diagonal.
+    """``row, doc_id, n_words, template, label, base, pairs, diagonal, votes, places, first, last``: votes by text and diagonal.
 
+    ``places`` has a bit for each pair of the template (63 at most) that votes.
     Every row of ``docs`` has one line with template 0, which carries its id and number of words.
     """
     words = only(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), word_array(F.col("text")).alias("words"))
@@ -89,7 +94,8 @@ def diagonals(docs: DataFrame) -> DataFrame:
     )
     return found.groupBy("row", "template", (F.col("i") - F.col("at")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"),
-        F.first("pairs").alias("pairs"), F.count(F.lit(1)).alias("votes"), F.min("i").alias("first"), F.max("i").alias("last"),
+        F.first("pairs").alias("pairs"), F.count(F.lit(1)).alias("votes"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("places"), F.min("i").alias("first"), F.max("i").alias("last"),
     )
 
 
@@ -97,9 +103,10 @@ def license_spans(docs: DataFrame) -> DataFrame:
     """``row, doc_id, n_words, label, base, start, end, coverage``: word spans, and one line without a label for every input row.
 
     Words count from 0, ``end`` is exclusive.  Spans below COVERAGE are listed too; base phrases are listed only in full.  Null and
-    empty texts have no words; repeated rows are rows of their own.
+    empty texts have no words; repeated rows are rows of their own; an empty table has no lines; columns other than ``doc_id`` and
+    ``text`` are not read.  Votes are written once: rows are numbered once, and texts are split into words once.
     """
-    votes = diagonals(docs)
+    votes = Scratch(docs.sparkSession, "license-scan").save(diagonals(docs), "votes")
     own = votes.filter("template = 0").select(
         "row", "doc_id", "n_words", F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"),
         F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(0.0).alias("coverage"),
@@ -113,10 +120,10 @@ def license_spans(docs: DataFrame) -> DataFrame:
     opens = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR).cast("int")
     notices = notices.withColumn("opens", F.coalesce(opens, F.lit(1))).withColumn("group", F.sum("opens").over(by_diagonal))
     notices = notices.groupBy("row", "template", "group").agg(
-        F.first("label").alias("label"), F.first("pairs").alias("pairs"), F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.first("label").alias("label"), F.first("pairs").alias("pairs"), F.bit_count(F.bit_or("places")).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"),
     ).select(
         "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("n_words"), "label", F.lit(False).alias("base"),
-        (F.col("first") - 1).alias("start"), (F.col("last") + 1).alias("end"), F.least(F.lit(1.0), F.col("votes") / F.col("pairs")).alias("coverage"),
+        (F.col("first") - 1).alias("start"), (F.col("last") + 1).alias("end"), (F.col("covered") / F.col("pairs")).alias("coverage"),
     )
     return own.unionByName(phrases).unionByName(notices)
 

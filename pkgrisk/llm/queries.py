@@ -130,13 +130,13 @@ WITH templates AS (SELECT template, label, base, {_WORDS.format('text')} AS w FR
 known AS (SELECT template, label, base, len(w) - 1 AS pairs, j, w[j] AS w1, w[j + 1] AS w2 FROM templates, unnest(range(1, len(w))) AS u(j)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
 pairs AS (SELECT r, i, w[i] AS w1, w[i + 1] AS w2 FROM docs, unnest(range(1, len(w))) AS u(i)),
-votes AS (SELECT r, template, label, base, pairs, i - j AS d, count(*) AS v, min(i) AS a, max(i) AS b
+votes AS (SELECT r, template, label, base, pairs, i - j AS d, count(*) AS v, bit_or(1::BIGINT << j::INT) AS places
   FROM pairs JOIN known USING (w1, w2) GROUP BY ALL),
 phrases AS (SELECT r, label, true AS base, d AS start, 1.0::DOUBLE AS c FROM votes WHERE base AND v = pairs),
 near AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, template ORDER BY d) <= {license_scan.NEAR} THEN 0 ELSE 1 END AS o
   FROM votes WHERE NOT base AND v >= {license_scan.MIN_VOTES}),
 grouped AS (SELECT *, sum(o) OVER (PARTITION BY r, template ORDER BY d) AS g FROM near),
-notices AS (SELECT r, label, false AS base, NULL AS start, least(1.0::DOUBLE, sum(v) / any_value(pairs)::DOUBLE) AS c FROM grouped GROUP BY r, template, label, g),
+notices AS (SELECT r, label, false AS base, NULL AS start, bit_count(bit_or(places)) / any_value(pairs)::DOUBLE AS c FROM grouped GROUP BY r, template, label, g),
 spans AS (SELECT * FROM phrases UNION ALL SELECT * FROM notices),
 report AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,

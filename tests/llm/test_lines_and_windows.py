@@ -112,6 +112,15 @@ def test_decontamination_on_odd_rows(spark, monkeypatch, block):
     assert got == {r.doc_id: hits(r.text, windows) for r in docs.collect()}
 
 
+@pytest.mark.parametrize("block", [200_000, 5, 2])
+def test_blocks_keep_rows_of_equal_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "WINDOWS_PER_BLOCK", block)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    report = decontaminate.hit_report(decontaminate.benchmark_hits(documents(spark), items))
+    windows = plain_windows(ITEMS)
+    assert Counter(map(tuple, report.collect())) == Counter((i, *hits(t, windows)) for i, t in TEXTS)
+
+
 def test_decontamination_keeps_repeated_rows_and_takes_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.benchmark_hits(documents(spark), items).count() == len(TEXTS)
@@ -142,6 +151,14 @@ def test_license_scan_on_odd_rows(spark):
     assert license_scan.license_spans(empty(spark)).count() == 0
 
 
+def test_half_a_notice_twice_is_no_notice(spark):
+    half = "licensed under cc by "
+    texts = [half * 2, half * 5, half + "nc 4 0", half + half + "nc 4.0", "licensed under cc by other words nc 4.0", "nc 4.0 licensed under cc by"]
+    rows = license_scan.license_report(license_scan.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    got = {r.doc_id: (r.labels, round(r.score, 2)) for r in rows}
+    assert got == {0: ("", 0.5), 1: ("", 0.5), 2: ("cc-by-nc", 1.0), 3: ("cc-by-nc", 1.0), 4: ("", 0.5), 5: ("", 0.5)}
+
+
 def test_license_notice_with_words_put_in_and_left_out(spark):
     notice = dict(license_scan.NOTICES)["mit-grant"].split()
     changed = notice[:10] + ["quite"] + notice[10:25] + notice[26:]
