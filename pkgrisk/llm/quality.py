@@ -5,8 +5,8 @@ such as texts of scripts without spaces, give all their groups of three code poi
 of the ratio of its smoothed class frequencies, and a linear classifier of hinge loss is fitted to the scaled indicators by dual
 coordinate descent.  A logistic curve over the margins of rows left out of the fit turns margins into scores.
 
-Class frequencies come from all labelled training rows, counted in Spark.  The fit sees a bounded sample of them
-(``Settings.fit_rows``), the vocabulary is bounded by ``Settings.features``.
+The fit sees a bounded sample of the labelled training rows (``Settings.fit_rows``), and its features are all n-grams that enough
+documents of the sample hold.  Their class frequencies are counted over all labelled training rows, in Spark.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgrisk.llm.text import only
+from pkgrisk.session import Scratch
 
 
 # n-grams that a task counts before it hands the counts on.
@@ -35,9 +38,8 @@ BROADCAST_LABELS = 1_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    features: int = 60_000  # n-grams with the most documents, by count and then by text
     fit_rows: int = 12_000  # bound of the rows that the coordinate descent sees
-    min_docs: int = 3
+    min_docs: int = 3  # documents of these rows that hold an n-gram
     smoothing: float = 1.0
     penalty: float = 0.05
     epochs: int = 12
@@ -121,9 +123,11 @@ class Model:
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> DataFrame:
     """``doc_id, text, y``: labelled documents; rows without id, label, or outside ``keep`` are left out.
 
-    Up to BROADCAST_LABELS labels go to the texts; beyond that both are shuffled.
+    Of several labels of one document the largest counts; texts of one id all get it.  Up to BROADCAST_LABELS labels go to the
+    texts; beyond that both are shuffled.
     """
-    given = only(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).dropDuplicates(["doc_id"])
+    given = only(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
+    given = given.groupBy("doc_id").agg(F.max(label).alias(label))
     if given.count() <= BROADCAST_LABELS:
         given = F.broadcast(given)
     return only(docs, "doc_id", "text").join(given, "doc_id").select("doc_id", "text", F.col(label).cast("int").alias("y"))
@@ -137,14 +141,59 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     if not positive or not negative:
         share = 0.5 if not positive + negative else (positive + 0.5) / (positive + negative + 1)
         return Model(shift=float(np.log(share / (1 - share))), slope=0.0, longest=settings.longest)
-    longest = settings.longest
+    longest, spark = settings.longest, rows.sparkSession
+    # Each class gives at most half of the sample.
+    half, scratch = settings.fit_rows // 2, Scratch(rows.sparkSession, "quality")
+    rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(settings.seed)))
+    parts = [_hashed_first(rows.filter(F.col("y") == y), half, totals[y]) for y in (0, 1)]
+    sample = scratch.save(parts[0].unionByName(parts[1]), "sample")
+    grams_of = _counts(sample, longest).filter(F.col("n") >= settings.min_docs).select("gram")
+    names = {g: i for i, g in enumerate(sorted(grams_of.toArrow().column(0).to_pylist()))}
+    shared = spark.sparkContext.broadcast(names)
+    # Counts of all rows, for the features alone: a task hands on a row for each of them at most.
+    counted = _counts(rows, longest, shared).toArrow()
+    a, at = settings.smoothing, np.array([names[g] for g in counted.column("gram").to_pylist()], np.int64)
+    n, p = (counted.column(c).to_numpy() for c in ("n", "p"))
+    scale = np.zeros(len(names))
+    scale[at] = np.log((p + a) / (positive + 2 * a) / ((n - p + a) / (negative + 2 * a)))
+
+    def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            own = [sorted({index[g] for g in grams(t, longest) if g in index}) for t in batch.column("text").to_pylist()]
+            aside = [zlib.crc32(str(i).encode()) % 4 == 1 for i in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("order"), batch.column("y"), pa.array(aside), pa.array(own, pa.list_(pa.int32()))], names=["order", "y", "aside", "found"]
+            )
+
+    # Only numbers of the sample come to the driver, in an order that does not depend on partitions.
+    numbers = sample.mapInArrow(indicators, "order long, y int, aside boolean, found array<int>").orderBy("order", "y", "found").toArrow()
+    lists = numbers.column("found").combine_chunks()
+    found = np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
+    y = np.where(numbers.column("y").to_numpy() == 1, 1, -1)
+    aside = numbers.column("aside").to_numpy()
+    shared.unpersist()
+    w, bias = descend([f for f, s in zip(found, aside) if not s], y[~aside], scale, settings)
+    margins = np.array([_margin(w, bias, scale, f) for f, s in zip(found, aside) if s])
+    # The sample's shares are undone by weighting each class to its share among all rows.
+    weight = np.where(y[aside] > 0, positive / max(1, (y > 0).sum()), negative / max(1, (y < 0).sum()))
+    slope, shift = logistic(margins, y[aside] > 0, weight)
+    w, bias = descend(found, y, scale, settings)
+    return Model({g: float(w[i] * scale[i]) for g, i in names.items() if w[i] and scale[i]}, float(bias), slope, shift, longest)
+
+
+def _counts(rows: DataFrame, longest: int, wanted: Broadcast | None = None) -> DataFrame:
+    """``gram, n, p``: documents and documents of label 1 that hold each n-gram, or each wanted one."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counts are combined before they are shuffled; a full table is handed on.
         n, p = Counter(), Counter()
+        own = None if wanted is None else wanted.value.keys()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 found = grams(text, longest)
+                if own is not None:
+                    found &= own
                 n.update(found)
                 if y:
                     p.update(found)
@@ -153,32 +202,8 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
                 n, p = Counter(), Counter()
         yield _tallied(n, p)
 
-    counted = (
-        rows.mapInArrow(tally, "gram string, n long, p long").groupBy("gram")
-        .agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= settings.min_docs)
-        .orderBy(F.desc("n"), "gram").limit(settings.features)
-    )
-    ratio: dict[str, float] = {}
-    a = settings.smoothing
-    for r in counted.toLocalIterator():
-        p, q = (r["p"] + a) / (positive + 2 * a), (r["n"] - r["p"] + a) / (negative + 2 * a)
-        ratio[r["gram"]] = float(np.log(p / q))
-    names = {g: i for i, g in enumerate(ratio)}
-    scale = np.fromiter(ratio.values(), float, len(ratio))
-    # Each class gives at most half of the sample, in the order of a hash.
-    half = settings.fit_rows // 2
-    order = F.xxhash64("doc_id", F.lit(settings.seed))
-    sample = [r for y in (0, 1) for r in _hashed_first(rows.filter(F.col("y") == y), order, min(half, totals[y]), totals[y]).collect()]
-    found = [np.fromiter(sorted({names[g] for g in grams(r["text"], longest) if g in names}), int) for r in sample]
-    y = np.array([1 if r["y"] else -1 for r in sample])
-    aside = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in sample])
-    w, bias = descend([f for f, s in zip(found, aside) if not s], y[~aside], scale, settings)
-    margins = np.array([_margin(w, bias, scale, f) for f, s in zip(found, aside) if s])
-    # The sample's shares are undone by weighting each class to its share among all rows.
-    weight = np.where(y[aside] > 0, positive / max(1, (y > 0).sum()), negative / max(1, (y < 0).sum()))
-    slope, shift = logistic(margins, y[aside] > 0, weight)
-    w, bias = descend(found, y, scale, settings)
-    return Model({g: float(w[i] * scale[i]) for g, i in names.items() if w[i] and scale[i]}, float(bias), slope, shift, longest)
+    counted = rows.select("text", "y").mapInArrow(tally, "gram string, n long, p long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
 
 
 def _tallied(n: Counter, p: Counter) -> pa.RecordBatch:
@@ -188,11 +213,16 @@ def _tallied(n: Counter, p: Counter) -> pa.RecordBatch:
     )
 
 
-def _hashed_first(rows: DataFrame, order: Column, n: int, of: int) -> DataFrame:
-    """About the first ``n`` of ``of`` rows by hash, by a threshold, so that nothing is sorted; never more than ``n``."""
+def _hashed_first(rows: DataFrame, n: int, of: int) -> DataFrame:
+    """The first ``n`` of ``of`` rows by their ``order``, a hash; rows of one id have one hash and stay together.
+
+    Only hashes are sorted, a little over ``n`` of them.
+    """
     if n >= of:
         return rows
-    return rows.filter(order.bitwiseAND(F.lit(0xFFFFFF)) < int(n / of * 0x1000000)).limit(n)
+    low = rows.filter(F.col("order").bitwiseAND(F.lit(0xFFFFFF)) < int(min(1.0, 1.2 * n / of) * 0x1000000))
+    last = low.select("order").orderBy("order").limit(n).agg(F.max("order")).head()[0]
+    return low.filter(F.col("order") <= last)
 
 
 def _margin(w: np.ndarray, bias: float, scale: np.ndarray, found: np.ndarray) -> float:

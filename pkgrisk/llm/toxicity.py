@@ -370,10 +370,12 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Network:
 
 
 def _some(rows: DataFrame, of: int, settings: Settings) -> list:
-    """At most half of ``fit_docs`` rows of one class, by a hash of the id."""
+    """At most half of ``fit_docs`` rows of one class, the first by a hash of the id."""
     most = settings.fit_docs // 2
     if of > most:
-        rows = rows.filter(F.xxhash64("doc_id", F.lit(settings.seed)).bitwiseAND(F.lit(0xFFFFFF)) < int(most / of * 0x1000000)).limit(most)
+        order = F.xxhash64("doc_id", F.lit(settings.seed))
+        low = rows.filter(order.bitwiseAND(F.lit(0xFFFFFF)) < int(min(1.0, 1.2 * most / of) * 0x1000000))
+        rows = low.orderBy(order, "doc_id", "text").limit(most)
     return rows.orderBy("doc_id", "text").collect()
 
 

@@ -75,6 +75,28 @@ def test_quality_of_one_class_or_none(spark):
     assert [r.y for r in quality.train_rows(documents(spark).limit(2), labels, "quality", F.lit(True)).collect()] == [1]
 
 
+def test_conflicting_labels(spark):
+    labels = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 0, None)], "doc_id long, quality int, toxic int")
+    for label, want in (("quality", {0: 1, 1: 0}), ("toxic", {0: 1, 1: 0})):
+        rows = quality.train_rows(documents(spark), labels, label, F.lit(True)).collect()
+        assert {r.doc_id: r.y for r in rows} == want and len(rows) == 3  # id 1 is there twice
+
+
+def test_the_fit_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(i, a, b) for i, a, _, b in labelled()], "doc_id long, text string, y int")
+    small = quality.Settings(fit_rows=120)
+    one, two = quality.fit(rows.coalesce(1), small), quality.fit(rows.orderBy(F.xxhash64("text")).repartition(7), small)
+    assert one.weights == two.weights and (one.bias, one.slope, one.shift) == (two.bias, two.slope, two.shift)
+
+
+def test_all_features_of_the_sample_count(spark):
+    """A telling n-gram of few documents is a feature however many commoner ones there are, and its counts are those of all rows."""
+    rows = [(i, f"c{i % 9} c{i % 7} " + ("rare" if i % 40 == 1 else "other") + f" d{i % 11}", int(i % 40 == 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = quality.fit(df)
+    assert model.weights["rare"] == max(model.weights.values()) and model.score("rare") > model.score("other")
+
+
 def test_coordinate_descent_reaches_the_minimum():
     pick = np.random.default_rng(0)
     found = [np.flatnonzero(pick.random(12) < 0.4) for _ in range(60)]
