@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from math import fsum, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -63,34 +65,45 @@ class _Shapes(dict):
     def __missing__(self, token: str) -> str:
         if len(self) > 200_000:
             self.clear()
-        made = _shape(token)
+        made = _plain_shape(token) or _shape(token)
         if len(token) <= 40:
             self[token] = made
         return made
 
 
+def _plain_shape(token: str) -> str:
+    """The shape of letters that are all small but for the first, with at most one sign after them; empty for others."""
+    stem, end = (token, "") if token.isalpha() else (token[:-1], token[-1])
+    if not stem.isalpha():
+        return ""
+    end = "0" if end.isdigit() else end
+    if stem.islower():
+        return "x" + end
+    return "Xx" + end if stem[0].isupper() and stem[1:].islower() else ""
+
+
 _shapes = _Shapes()
 
 
-def grams(text: str | None, longest: int = 40) -> set[str]:
-    """The features of a text: tokens, pairs of tokens, shapes, pairs of shapes, share of repeats and size in powers of two.
+def features(text: str | None, longest: int = 40) -> tuple[set[str], set[tuple[str, str]]]:
+    """The features of a text: tokens, shapes, pairs of shapes, share of repeats and size in powers of two; and pairs of tokens.
 
     Of a token over ``longest`` code points every piece counts as a token; its pairs are those of its first and last piece.  Shapes
     over SHAPE signs are cut into overlapping pieces.
     """
     tokens = (text or "").split()
-    shapes = list(map(_shapes.__getitem__, tokens))
-    out = {t for t in tokens if len(t) <= longest}
+    shapes = ["x" if t.islower() and t.isalpha() else _shapes[t] for t in tokens]
+    out = set(tokens)
     size, firsts, lasts = len(tokens), tokens, tokens
-    if any(len(t) > longest for t in tokens):
-        long = [t for t in tokens if len(t) > longest]
+    long = [t for t in out if len(t) > longest]
+    if long:
+        out.difference_update(long)
         for t in long:
             out.update("\0c" + t[i : i + PIECE] for i in range(len(t) - PIECE + 1))
-        size += sum(len(t) - PIECE for t in long)
+        size += sum(len(t) - PIECE for t in tokens if len(t) > longest)
         firsts = [t if len(t) <= longest else "\0c" + t[:PIECE] for t in tokens]
         lasts = [t if len(t) <= longest else "\0c" + t[-PIECE:] for t in tokens]
     seen = len(out)
-    out.update([f"{a} {b}" for a, b in set(zip(lasts, firsts[1:]))])
     for s in set(shapes):
         if len(s) <= SHAPE:
             out.add("\0s" + s)
@@ -100,7 +113,25 @@ def grams(text: str | None, longest: int = 40) -> set[str]:
     if tokens:
         out.add(f"\0r{round(8 * seen / size)}")
     out.add(f"\0n{size.bit_length()}")
-    return out
+    return out, set(zip(lasts, firsts[1:]))
+
+
+def grams(text: str | None, longest: int = 40) -> set[str]:
+    """All features as texts; tokens hold no space, so a pair is its tokens with one between them."""
+    out, pairs = features(text, longest)
+    return out.union([f"{a} {b}" for a, b in pairs])
+
+
+def _apart(names: Iterable[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Names of features, those of pairs of tokens as pairs."""
+    singles, pairs = [], []
+    for name in names:
+        a, between, b = name.partition(" ")
+        if between and not name.startswith("\0p"):
+            pairs.append((a, b))
+        else:
+            singles.append(name)
+    return singles, pairs
 
 
 @dataclass
@@ -111,10 +142,19 @@ class Model:
     shift: float = 0.0
     longest: int = 40
 
+    @cached_property
+    def _by_kind(self) -> list[tuple[frozenset, dict]]:
+        singles, pairs = _apart(self.weights)
+        both = {g: self.weights[g] for g in singles}, {(a, b): self.weights[f"{a} {b}"] for a, b in pairs}
+        # Sets meet sets without hashing anything again.
+        return [(frozenset(w), w) for w in both]
+
     def margin(self, text: str | None) -> float:
-        found = [w for w in map(self.weights.get, grams(text, self.longest)) if w is not None]
+        found: list[float] = []
+        for own, (known, weights) in zip(features(text, self.longest), self._by_kind, strict=True):
+            found += map(weights.__getitem__, own & known)
         # Indicators are divided by the root of their number, in the fit as well, so long texts do not outweigh short ones.
-        return self.bias + sum(found) / np.sqrt(len(found)) if found else self.bias
+        return self.bias + fsum(found) / sqrt(len(found)) if found else self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.shift, -30, 30))))
@@ -188,15 +228,15 @@ def _counts(rows: DataFrame, longest: int, wanted: Broadcast | None = None) -> D
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counts are combined before they are shuffled; a full table is handed on.
         n, p = Counter(), Counter()
-        own = None if wanted is None else wanted.value.keys()
+        own = None if wanted is None else [frozenset(w) for w in _apart(wanted.value)]
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                found = grams(text, longest)
-                if own is not None:
-                    found &= own
-                n.update(found)
-                if y:
-                    p.update(found)
+                for k, found in enumerate(features(text, longest)):
+                    if own is not None:
+                        found &= own[k]
+                    n.update(found)
+                    if y:
+                        p.update(found)
             if len(n) > TALLY_ROWS:
                 yield _tallied(n, p)
                 n, p = Counter(), Counter()
@@ -208,7 +248,7 @@ def _counts(rows: DataFrame, longest: int, wanted: Broadcast | None = None) -> D
 
 def _tallied(n: Counter, p: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"gram": list(n), "n": list(n.values()), "p": [p[g] for g in n]},
+        {"gram": [g if isinstance(g, str) else f"{g[0]} {g[1]}" for g in n], "n": list(n.values()), "p": [p[g] for g in n]},
         schema=pa.schema([("gram", pa.string()), ("n", pa.int64()), ("p", pa.int64())]),
     )
 

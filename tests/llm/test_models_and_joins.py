@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+from hypothesis import given
+from hypothesis import strategies as st
 from odd import PLAIN, TEXTS, documents, empty
 from pyspark.sql import functions as F
 from test_lines_and_windows import lines_kept, plain_words
@@ -75,6 +77,13 @@ def test_quality_of_one_class_or_none(spark):
     assert [r.y for r in quality.train_rows(documents(spark).limit(2), labels, "quality", F.lit(True)).collect()] == [1]
 
 
+@given(st.lists(st.one_of(st.sampled_from(["word", "Word", "WORD,", "McX", "ǅx", "A木B", "éa.", "7", "x7", "木", "İi", "ª", "ß!", "Σς"]), st.text(min_size=1, max_size=6)), max_size=6))
+def test_plain_shapes_are_shapes(parts):
+    for token in "".join(parts).split() + parts:
+        assert quality._plain_shape(token) in ("", quality._shape(token))
+        assert not (token.islower() and token.isalpha()) or quality._shape(token) == "x"
+
+
 def test_conflicting_labels(spark):
     labels = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 0, None)], "doc_id long, quality int, toxic int")
     for label, want in (("quality", {0: 1, 1: 0}), ("toxic", {0: 1, 1: 0})):
