@@ -30,7 +30,7 @@ from pkgrisk.session import Scratch
 
 
 # n-grams that a task counts before it hands the counts on.
-TALLY_ROWS = 400_000
+TALLY_ROWS = 150_000
 # Code points of a piece of a long token, and of a piece of a long shape.
 PIECE = 3
 SHAPE = 12
@@ -63,7 +63,7 @@ class _Shapes(dict):
     """Shapes of tokens seen; starts anew when full."""
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         made = _plain_shape(token) or _shape(token)
         if len(token) <= 40:
@@ -149,6 +149,11 @@ class Model:
         # Sets meet sets without hashing anything again.
         return [(frozenset(w), w) for w in both]
 
+    def settle(self) -> None:
+        """Keeps the weights by kind alone, for workers that only score."""
+        if self._by_kind:
+            self.weights = {}
+
     def margin(self, text: str | None) -> float:
         found: list[float] = []
         for own, (known, weights) in zip(features(text, self.longest), self._by_kind, strict=True):
@@ -200,7 +205,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            own = [sorted({index[g] for g in grams(t, longest) if g in index}) for t in batch.column("text").to_pylist()]
+            own = [sorted({index[g] for g in grams(t.as_py(), longest) if g in index}) for t in batch.column("text")]
             aside = [zlib.crc32(str(i).encode()) % 4 == 1 for i in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("order"), batch.column("y"), pa.array(aside), pa.array(own, pa.list_(pa.int32()))], names=["order", "y", "aside", "found"]
@@ -230,16 +235,17 @@ def _counts(rows: DataFrame, longest: int, wanted: Broadcast | None = None) -> D
         n, p = Counter(), Counter()
         own = None if wanted is None else [frozenset(w) for w in _apart(wanted.value)]
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                for k, found in enumerate(features(text, longest)):
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                for k, found in enumerate(features(text.as_py(), longest)):
                     if own is not None:
                         found &= own[k]
                     n.update(found)
                     if y:
                         p.update(found)
-            if len(n) > TALLY_ROWS:
-                yield _tallied(n, p)
-                n, p = Counter(), Counter()
+                # Wanted n-grams are few enough to be kept to the end.
+                if own is None and len(n) > TALLY_ROWS:
+                    yield _tallied(n, p)
+                    n, p = Counter(), Counter()
         yield _tallied(n, p)
 
     counted = rows.select("text", "y").mapInArrow(tally, "gram string, n long, p long")
@@ -313,6 +319,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", name: str =
 
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
+        own.settle()
         for batch in batches:
             yield pa.array([own.score(t.as_py()) for t in batch], pa.float64())
 
