@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.stats import (
     AGE_FIELDS,
+    SECONDS_PER_DAY,
     WINDOW_DAYS,
     age_histogram,
     ages_from_histogram,
@@ -98,6 +99,12 @@ def issue_ages(
         .select("repo", "e.*")
     )
     hist = age_histogram(rows, ["repo", "family", "window"], F.col("s"))
+    return ages_of_windows(hist, days, series)
+
+
+def ages_of_windows(hist: DataFrame, days: Sequence[int] = WINDOW_DAYS, series: Sequence[str] | None = None) -> DataFrame:
+    """Statistics of each series from ``repo, family, window, day, n, seconds`` by narrowest window."""
+    everything = len(days)
     unrolled = hist.withColumn("window", F.explode(F.sequence(F.col("window"), F.lit(everything))))
     label = F.col("family")
     for i, d in enumerate(days):
@@ -108,6 +115,62 @@ def issue_ages(
     return ages_from_histogram(named, ["repo", "series"])
 
 
+def _unix(ts: Column) -> Column:
+    """Whole seconds since 1970, rounded up."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp"), ts)
+    return F.ceil(micros / 1_000_000)
+
+
+def age_marks(issues: DataFrame) -> DataFrame:
+    """``repo, issue, family, ended, day, n, seconds``: what each issue adds to its repository's ages, whatever the time is.
+
+    Takes the columns of ``issue_counts`` and ``issue``.  A closed or merged one has the day it ended and its age in days; an open one
+    has the day from which its age is counted, and seconds that the time of asking is added to.  Of several rows of one issue an open
+    one counts, then the one that was closed last.
+    """
+    state = F.max(F.struct(F.col("state"), F.col("closed_at"), F.col("created_at"), F.col(_MERGED).alias("merged_at"), _is_pr().alias("is_pr")))
+    one = issues.groupBy("repo", "issue").agg(state.alias("i")).select("repo", "issue", "i.*")
+    is_open, created = F.col("state") == "open", _unix(F.col("created_at"))
+
+    def ended(name: str, until: str) -> Column:
+        age = F.timestamp_diff("SECOND", F.col("created_at"), F.col(until))
+        on = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp"), F.col(until)) / 86_400_000_000)
+        return F.when(age >= 0, F.struct(
+            F.lit(name).alias("family"), on.alias("ended"), F.floor(age / SECONDS_PER_DAY).alias("day"), age.cast("long").alias("seconds")
+        ))
+
+    def going(name: str) -> Column:
+        return F.when(created.isNotNull(), F.struct(
+            F.lit(name).alias("family"), F.lit(None).cast("long").alias("ended"), F.ceil(created / SECONDS_PER_DAY).alias("day"), (-created).alias("seconds")
+        ))
+
+    marks = F.array(
+        F.when(~F.col("is_pr") & is_open, going("open_issue_age")).when(is_open, going("open_pr_age"))
+        .when(~F.col("is_pr"), ended("closed_issue_age", "closed_at")),
+        F.when(F.col("is_pr"), ended("merged_pr_age", "merged_at")),
+    )
+    return one.select("repo", "issue", F.explode(marks).alias("m")).filter(F.col("m").isNotNull()).select(
+        "repo", "issue", "m.family", "m.ended", "m.day", F.lit(1).cast("long").alias("n"), "m.seconds"
+    )
+
+
+def ages_at(marks: DataFrame, today: Column, days: Sequence[int] = WINDOW_DAYS, series: Sequence[str] | None = None) -> DataFrame:
+    """``issue_ages`` from summed ``age_marks``, as of the start of the day ``today``."""
+    start = today.cast("date").cast("timestamp")
+    now, day = _unix(start), F.floor(_unix(start) / SECONDS_PER_DAY)
+    window = F.lit(len(days))
+    for i in reversed(range(len(days))):
+        window = F.when(F.col("ended") >= day - days[i], F.lit(i)).otherwise(window)
+    is_open = F.col("ended").isNull()
+    hist = marks.select(
+        "repo", "family", window.alias("window"),
+        F.when(is_open, day - F.col("day")).otherwise(F.col("day")).alias("day"), "n",
+        F.when(is_open, F.col("n") * now + F.col("seconds")).otherwise(F.col("seconds")).cast("double").alias("seconds"),
+    ).filter("day >= 0")
+    hist = hist.groupBy("repo", "family", "window", "day").agg(F.sum("n").alias("n"), F.sum("seconds").alias("seconds"))
+    return ages_of_windows(hist, days, series)
+
+
 def ages_wide(ages: DataFrame, days: Sequence[int] = WINDOW_DAYS) -> DataFrame:
     """One struct column per series; zeros for a series without rows."""
     stats = F.struct(*AGE_FIELDS)

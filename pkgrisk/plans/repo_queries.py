@@ -13,6 +13,8 @@ from pkgrisk.operators import docs as doc
 from pkgrisk.operators import hosting as host
 from pkgrisk.plans.catalog import ISSUES, NOW, NUM, nearest_rank, query
 from pkgrisk.plans.shadow import EVENTS_DAYS, EVENTS_NOW_UNIX, Shadow, now
+from pkgrisk.session import Scratch
+from pkgrisk.sources.kept import IssueAgeStore
 
 # --------------------------------------------------------------------------
 # Advisories
@@ -122,6 +124,22 @@ def merged_age_stats(s: Shadow) -> DataFrame:
     return _age_rows(s, "merged_pr_age")
 
 
+@query(_ages(
+    ("open_issue_age", NOW, "is_open AND NOT is_pr"), ("open_pr_age", NOW, "is_open AND is_pr"),
+    *_nested("closed_issue_age", "closed_at", "NOT is_open AND NOT is_pr"), *_nested("merged_pr_age", "merged_at", "is_pr"),
+))
+def issue_ages_kept(s: Shadow) -> DataFrame:
+    """Ages kept over two batches: the second one has new issues, and some that were open or closed before."""
+    issues = s.issues.withColumn("issue", F.col("id").cast("string"))
+    store = IssueAgeStore(s.spark, Scratch(s.spark, "kept-issues").path, issues.schema["repo"].dataType.simpleString())
+    line = F.col("id.l_linenumber")
+    was = F.when(line % 3 == 1, F.when(F.col("state") == "open", "closed").otherwise("open")).otherwise(F.col("state"))
+    closed = F.when(line % 3 == 1, F.when(F.col("state") == "open", F.col("id.l_shipdate"))).otherwise(F.col("closed_at"))
+    store.add(issues.withColumns({"state": was, "closed_at": closed}).filter(line % 5 != 4), host.age_marks)
+    store.add(issues.filter((line % 3 == 1) | (line % 5 == 4)), host.age_marks)
+    return host.ages_at(store.sums(), now())
+
+
 @query(
     f"""WITH {ISSUES} SELECT repo, count(*) AS rows, strftime(min(created_at), '%Y-%m-%d') AS oldest
   FROM issues WHERE created_at >= {NOW} - INTERVAL 1000 DAY GROUP BY 1"""

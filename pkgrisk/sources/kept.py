@@ -47,7 +47,7 @@ class KeptTable:
 
     def read(self, keep: Callable[[str], bool] = lambda part: True) -> DataFrame:
         """Rows of the parts whose name ``keep`` accepts, with their ``_part``; others are not even listed."""
-        parts = {p: w for p, w in self._manifest()[1].items() if keep(p)}
+        parts = {p: w for p, w in self._manifest()[1].items() if w and keep(p)}
         schema = self._schema("_part")
         if not parts:
             return self._spark.createDataFrame([], schema)
@@ -55,9 +55,10 @@ class KeptTable:
         found = self._spark.read.schema(self._schema("_part", "_write")).option("basePath", base)
         return found.parquet(*[f"{base}/_write={w}/_part={p}" for p, w in sorted(parts.items())]).select(*schema.names)
 
-    def replace(self, rows: DataFrame) -> int:
+    def replace(self, rows: DataFrame, emptied: Collection[str] = ()) -> int:
         """Parts named in ``rows._part`` get these rows instead of their own; returns the version that says so.
 
+        Parts in ``emptied`` that get no rows have none from then on.
         Rows are dealt out by part; Spark splits large parts over several files and puts small ones in one task.
         """
         version, parts = self._manifest()
@@ -65,7 +66,7 @@ class KeptTable:
         target = f"{self.path}/data/_write={write}"
         rows.select(*self._schema("_part").names).hint("rebalance", "_part").write.partitionBy("_part").parquet(target)
         names = self._spark.read.schema(self._schema("_part")).parquet(target).select("_part").distinct()
-        parts |= {r["_part"]: write for r in names.collect()}
+        parts |= dict.fromkeys(emptied, "") | {r["_part"]: write for r in names.collect()}
         manifest = self._spark.createDataFrame([(version + 1, p, w) for p, w in parts.items()], _MANIFEST)
         manifest.coalesce(1).write.mode("error").parquet(f"{self.path}/manifest/{version + 1:09d}")
         return version + 1
@@ -137,5 +138,54 @@ class DownloadStore:
         return changed
 
 
+class IssueAgeStore:
+    """Age marks of each issue and their sums by repository and day, both as parts of one table.
+
+    New, closed and reopened issues take back what they added before (-1) and add what they add now (+1).  Issues are in buckets by
+    themselves and sums in buckets by repository and day, so that a repository with most of the issues fills no bucket.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, repo: str = "string", buckets: int = 64):
+        self._spark, self._buckets = spark, buckets
+        self._table = KeptTable(spark, path, f"repo {repo}, issue string, family string, ended long, day long, n long, seconds long")
+
+    def _bucket(self, kind: str, *columns: str) -> Column:
+        return F.concat(F.lit(f"{kind}-"), F.pmod(F.xxhash64(*columns), F.lit(self._buckets)).cast("string"))
+
+    def sums(self) -> DataFrame:
+        """What ``hosting.ages_at`` takes."""
+        return self._table.read(lambda part: part.startswith("sums-")).drop("_part", "issue")
+
+    def add(self, issues: DataFrame, marks: Callable[[DataFrame], DataFrame]) -> None:
+        """Takes the present state of some issues; ``marks`` is ``hosting.age_marks``.  Issues that are not named stay as they are."""
+        scratch = Scratch(self._spark, "issue-ages")
+        issues = issues.withColumn("issue", F.col("issue").cast("string"))
+        keys = issues.select("repo", "issue").distinct().withColumn("_part", self._bucket("issues", "repo", "issue"))
+        keys = scratch.save(keys, "keys")
+        touched = {r["_part"] for r in keys.select("_part").distinct().collect()}
+        if not touched:
+            return
+        came = scratch.save(marks(issues), "came")
+        named = keys.select(F.col("repo").alias("_repo"), F.col("issue").alias("_issue"))
+        same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("issue").eqNullSafe(F.col("_issue"))
+        old = self._table.read(touched.__contains__).drop("_part")
+        back = old.join(named, same, "left_semi").withColumns({"n": -F.col("n"), "seconds": -F.col("seconds")})
+        change = scratch.save(_summed(back.unionByName(came)).withColumn("_part", self._sums_part()), "change")
+        sums_touched = {r["_part"] for r in change.select("_part").distinct().collect()}
+        sums = _summed(self._table.read(sums_touched.__contains__).drop("_part", "issue").unionByName(change.drop("_part")))
+        whole = old.join(named, same, "left_anti").unionByName(came).withColumn("_part", self._bucket("issues", "repo", "issue"))
+        self._table.replace(
+            whole.unionByName(sums.withColumns({"issue": F.lit(None).cast("string"), "_part": self._sums_part()})), touched | sums_touched
+        )
+
+    def _sums_part(self) -> Column:
+        return self._bucket("sums", "repo", "family", "ended", "day")
+
+
+def _summed(marks: DataFrame) -> DataFrame:
+    sums = marks.groupBy("repo", "family", "ended", "day").agg(F.sum("n").alias("n"), F.sum("seconds").alias("seconds"))
+    return sums.filter("n <> 0 OR seconds <> 0")
+
+
 def _month(date: datetime.date | None) -> str:
     return "none" if date is None else date.isoformat()[:7]

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pkgrisk.operators.freshness import snapshot_store
+from pkgrisk.operators.hosting import age_marks, ages_at, issue_ages
 from pkgrisk.operators.registry import monthly_by_version
-from pkgrisk.sources.kept import DownloadStore, KeptTable
+from pkgrisk.sources.kept import DownloadStore, IssueAgeStore, KeptTable
 
 SNAPSHOT = "source string, key string, fetched_at timestamp, payload string, no_data_reason string"
 
@@ -108,3 +109,48 @@ def test_days_replace_days_and_months_follow(spark, tmp_path):
     }
     assert not store.add(downloads(spark, second))
     assert files(tmp_path) == after
+
+
+ISSUE = "repo string, issue long, created_at timestamp, closed_at timestamp, state string, pull_request struct<merged_at: timestamp>"
+
+
+def test_emptied_parts_have_no_rows(spark, tmp_path):
+    table = KeptTable(spark, str(tmp_path), "n long")
+    rows = spark.range(4).select(F.col("id").alias("n"), (F.col("id") % 2).cast("string").alias("_part"))
+    table.replace(rows)
+    table.replace(rows.filter("_part = '1'"), ["0", "1"])
+    assert sorted(r.n for r in table.read().collect()) == [1, 3]
+    table.replace(rows.limit(0), ["1"])
+    assert table.read().isEmpty() and table.version() == 3
+    table.replace(rows)
+    assert table.read().count() == 4
+
+
+def test_issue_batches_add_up_to_the_whole(spark, tmp_path):
+    def issue(repo, n, opened, closed=None, pr=False, merged=None):
+        moment = datetime.timedelta(seconds=n * 977)
+        return (repo, n, at(opened) + moment, None if closed is None else at(closed) + moment, "open" if closed is None else "closed",
+                (None if merged is None else at(merged) + moment,) if pr else None)
+
+    store, today = IssueAgeStore(spark, str(tmp_path), buckets=4), F.lit(datetime.date(2025, 1, 1))
+    assert ages_at(store.sums(), today).isEmpty()
+    state = {}
+    batches = [
+        [issue("hot", n, n % 50, n % 50 + n % 7 if n % 3 else None, n % 4 == 0, n % 50 + 1 if n % 8 == 0 else None) for n in range(120)],
+        # Closed, reopened, merged, closed before it was opened, opened after the day that is asked about, no repository, the same again.
+        [issue("hot", 0, 0, 300), issue("hot", 1, 1), issue("hot", 4, 4, 310, True, 310), issue("b", 500, 10, 9), issue("b", 501, 900), issue(None, 7, 5, 6),
+         issue("hot", 2, 2, 4), issue("hot", 2, 2, 4)],
+        [issue(None, 7, 5), issue("b", 500, 10, 12), issue("hot", 1, 1, 366)],
+    ]
+    for batch in batches:
+        store.add(spark.createDataFrame(batch, ISSUE), age_marks)
+        state |= {r[:2]: r for r in batch}
+        whole = spark.createDataFrame(list(state.values()), ISSUE)
+        want = sorted(map(tuple, issue_ages(whole, today.cast("timestamp")).collect()), key=str)
+        assert sorted(map(tuple, ages_at(store.sums(), today).collect()), key=str) == want
+    before = files(tmp_path)
+    store.add(whole.limit(0), age_marks)
+    assert files(tmp_path) == before
+    store.add(spark.createDataFrame([issue("b", 501, 901)], ISSUE), age_marks)
+    assert before.items() <= files(tmp_path).items()
+    assert len({p.parent.name for p in files(tmp_path).keys() - before.keys() if "issues-" in str(p)}) == 1
