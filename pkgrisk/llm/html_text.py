@@ -8,13 +8,16 @@ recur, since most hosts of a crawl have few pages.
 The main text is that of the articles, or else of the main element.  What holds it is never cut as template, and of what lies in it
 only one thing is: a container with a class, id or role and nothing but inline text, which every article of the host holds.
 
-Classes and ids mark containers, and inline elements outside running text, but no container that holds an article or main element.
-Inside these the whole class or id has to be a word for furniture, elsewhere a part of it.
+Classes and ids mark containers, and inline elements outside running text.  Inside an article or main element the whole class or id has
+to be a word for furniture, elsewhere a part of it.  Articles in a marked container (or marked themselves) are comments or teasers if the
+page has another article or text in its main element, and else the main text.  Containers of the body that only a part of a longer
+name marks ("share-prices") are the main text where nothing else is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
@@ -50,6 +53,10 @@ FURNITURE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAME = re.compile(r"[^a-z0-9]+")
+# What may stand in a head; any other element ends it, whether it is closed or not.
+IN_HEAD = frozenset("head html title script style noscript template base link meta".split())
+# Elements that go without what they hold, but for articles and main elements: a form may wrap the page, a menu may not be closed.
+PASSED = frozenset({"form", "nav"})
 # Names with one of these tell a state ("no-sidebar", "comments-open"), not what the element is.
 STATES = frozenset("no not non without has have with open closed".split())
 
@@ -57,19 +64,21 @@ STATES = frozenset("no not non without has have with open closed".split())
 class _Element:
     """An open element."""
 
-    __slots__ = ("tag", "own", "skipped", "part", "at", "named", "holds", "plain", "running", "marked")
+    __slots__ = ("tag", "own", "skipped", "part", "at", "named", "holds", "plain", "running", "marked", "boxed", "spare_at")
 
-    def __init__(self, tag: str, own, skipped: bool | str, part: str, at: int, named: bool = False, holds: bool = False, running: bool = False, marked: bool = False):
+    def __init__(self, tag: str, own, skipped: bool | str, part: str, at: int, named: bool = False, holds: bool = False, running: bool = False, marked: bool | str = False, boxed: bool = False, spare_at: int = 0):
         self.tag = tag
         self.own = own  # hash or None
-        self.skipped = skipped  # "name": an inline element that goes by its name
+        self.skipped = skipped  # "name": goes without what it holds, but for articles and main elements
         self.part = part  # of the page
         self.at = at  # block count when it opened
         self.named = named  # has a class, id or role
         self.holds = holds  # is or holds an article or main element
         self.plain = True  # holds inline elements only
         self.running = running  # is or lies in running text
-        self.marked = marked  # its class or id says that it is furniture
+        self.marked = marked  # its class or id says that it is furniture; "part": a part of it does
+        self.boxed = boxed  # is or lies in a marked container
+        self.spare_at = spare_at  # count of spare blocks when it opened
 
 
 class PageReader(HTMLParser):
@@ -85,7 +94,10 @@ class PageReader(HTMLParser):
         self._in_main: list[int] = []
         self._open = [_Element("", blake2b(digest_size=8), False, "body", 0)]
         self._hashing = [self._open[0].own]
-        self._blocks: list[tuple[str, str]] = []
+        self._blocks: list[tuple[str, str, int]] = []
+        self._spare: list[tuple[str, str, int]] = []
+        self._count = 0
+        self._tags: Counter[str] = Counter()
         self._words: list[str] = []
         self._seen = {"body"}
 
@@ -100,23 +112,39 @@ class PageReader(HTMLParser):
             self.hashes += self._in_main
         return self
 
+    @property
+    def _main(self) -> str:
+        """Where the main text is."""
+        if "article" in self._seen:
+            return "article"
+        if "main" in self._seen and ("boxed" not in self._seen or any(where == "main" for where, _, _ in self._blocks)):
+            return "main"
+        return "boxed" if "boxed" in self._seen else "body"
+
     @property
     def part(self) -> str:
-        return next(p for p in ("article", "main", "body") if p in self._seen)
+        return "article" if self._main == "boxed" else self._main
 
     @property
     def text(self) -> str:
         """Blocks of the articles, or else of the main element, or else of the body."""
-        part = self.part
-        return "\n".join(block for where, block in self._blocks if where == part)
+        main = self._main
+        blocks = [block for where, block, _ in self._blocks if where == main]
+        if main == "body" and not blocks:
+            blocks = [block for _, block, _ in sorted(self._spare, key=lambda b: b[2])]
+        return "\n".join(blocks)
 
     def _break(self) -> None:
         block = " ".join("".join(self._words).split())
         self._words = []
         if block:
-            self._blocks.append((self._open[-1].part, block))
+            self._blocks.append((self._open[-1].part, block, self._count))
+            self._count += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD and self._tags["head"] and (self._open[-1].tag == "head" or tag == "body"):
+            while self._tags["head"]:
+                self._pop()
         if tag in BLOCKS:
             self._break()
             self._end_implied(tag)
@@ -134,17 +162,24 @@ class PageReader(HTMLParser):
             # Inline elements go at once, containers when it is known whether they hold an article.
             skipped, marked = skipped or "name", False
         holds = not skipped and tag in ("article", "main")
-        if holds and part != "article":
-            part = tag
-            self._seen.add(tag)
+        boxed = tag != "main" and (above.boxed or bool(marked) or tag == "article" and bool(self._is_marked(attrs, "body")))
+        if holds and part not in ("article", "boxed"):
+            part = "boxed" if boxed and tag == "article" else tag
+            self._seen.add(part)
         own, names = None, [(k, v) for k, v in attrs if k in ("class", "id", "role")]
         if tag in CONTAINERS or tag in HASHED and part == "body":
             own = blake2b(digest_size=8)
             self._hashing.append(own)
             own.update(repr((tag, sorted(names))).encode("utf-8", "surrogatepass"))
-        self._open.append(_Element(tag, own, skipped, part, len(self._blocks), any(v for _, v in names), holds, running, marked and tag in CONTAINERS and tag != "main"))
-
-    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], part: str) -> bool:
+        marked = tag in CONTAINERS and tag != "main" and marked
+        self._tags[tag] += 1
+        self._open.append(
+            _Element(tag, own, skipped, part, len(self._blocks), any(v for _, v in names), holds, running, marked, boxed, len(self._spare))
+        )
+
+    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], part: str) -> bool | str:
+        if tag in PASSED:
+            return "name"
         if tag in SKIPPED or tag == "header" and part == "body":
             return True
         if tag in ("html", "body", "main"):
@@ -152,17 +187,23 @@ class PageReader(HTMLParser):
         return any(key == "role" and value and value.lower() in ROLES or key == "hidden" for key, value in attrs)
 
     @staticmethod
-    def _is_marked(attrs: list[tuple[str, str | None]], part: str) -> bool:
+    def _is_marked(attrs: list[tuple[str, str | None]], part: str) -> bool | str:
+        """Whether a class or id is a word for furniture; "part" if only parts of longer names are."""
+        marked: bool | str = False
         for key, value in attrs:
             if value and key in ("class", "id"):
                 for name in value.lower().split():
                     words = {name} if part != "body" else set(_NAME.split(name))
                     if not FURNITURE.isdisjoint(words) and STATES.isdisjoint(words):
-                        return True
-        return False
+                        if words <= FURNITURE:
+                            return True
+                        marked = "part"
+        return marked
 
     def _end_implied(self, tag: str) -> None:
         # An open paragraph, with inline elements left open in it, ends where a block starts.
+        if not self._tags["p"] and not any(self._tags[name] for name in ENDS_ITSELF.get(tag, ())):
+            return
         for i in range(len(self._open) - 1, 0, -1):
             name = self._open[i].tag
             if name == "p" or name in ENDS_ITSELF.get(tag, ()):
@@ -176,6 +217,8 @@ class PageReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._break()
+        if not self._tags[tag]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             name = self._open[i].tag
             if name == tag:
@@ -191,17 +234,20 @@ class PageReader(HTMLParser):
         if e.tag in BLOCKS:
             self._break()
         self._open.pop()
+        self._tags[e.tag] -= 1
         above = self._open[-1]
         above.holds = above.holds or e.holds
         above.plain = above.plain and e.plain and e.tag not in BLOCKS
-        if e.marked and not e.holds:
+        if e.marked and (not e.holds or e.part == "article"):
+            if e.marked == "part" and e.part == "body":
+                self._spare += self._blocks[e.at :]
             del self._blocks[e.at :]
         if e.own is None:
             return
         digest = self._hashing.pop().digest()
         self._hashing[-1].update(b"E" + digest)
         n = int.from_bytes(digest, "big", signed=True) & ~1
-        if e.part == "article":
+        if e.part in ("article", "boxed"):
             n |= 1
             if e.skipped or not e.plain or not e.named or e.tag in LISTS:
                 return
@@ -210,6 +256,7 @@ class PageReader(HTMLParser):
         (self._in_main if e.part == "main" else self.hashes).append(n)
         if n in self._template and e.part != "main":
             del self._blocks[e.at :]
+            del self._spare[e.spare_at :]
 
     def handle_data(self, data: str) -> None:
         if not self._open[-1].skipped:

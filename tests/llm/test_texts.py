@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,7 +121,44 @@ def test_names_drop_no_main_text():
     ):
         assert html_text.main_text(page) == "Text", page
     nested = "<article><p>A</p><div class='related'>B<article>C</article></div></article><div class=comments>D</div>"
-    assert html_text.main_text(nested) == "A\nB\nC"
+    assert html_text.main_text(nested) == "A"
+
+
+def test_pages_that_leave_tags_out_or_wrap_themselves():
+    for page in (
+        "<html><head><title>t</title><body><article><p>Text</p></article>",
+        "<html><head><title>t</title><meta charset=utf-8><div><p>Text</p></div>",
+        "<form id=f><input><label>Name</label><div><article><p>Text</p></article></div></form>",
+        "<form><main><p>Text</p><button>Go</button></main></form>",
+        "<nav><a href='/'>Home</a><article><p>Text</p></article>",
+        "<div class='related-work'><p>Text</p></div>",
+        "<section class='share-prices'>Text</section><div class='menu'>Home</div>",
+        "<div id='login-guide'><div class='share-x'>Text</div></div><footer>End</footer>",
+    ):
+        assert html_text.main_text(page) == "Text", page
+    order = "<div class='share-prices'>A<div class='login-guide'>B</div>C</div>"
+    assert html_text.main_text(order) == "A\nB\nC"
+
+
+def test_articles_of_readers_go():
+    for comments in (
+        "<div id='comments'><article class='comment-body'>nice</article></div>", "<section class='x comments'><article>nice</article></section>",
+        "<article class='comment'>nice</article>", "<div class='related-posts'><article><p>nice</p></article></div>",
+    ):
+        assert html_text.main_text(f"<article><p>Text</p></article>{comments}") == "Text", comments
+        # In a main element a part of a longer name marks nothing.
+        assert html_text.main_text(f"<main><p>Text</p>{comments}</main>") == ("nice" if "related-posts" in comments else "Text"), comments
+        assert html_text.main_text(f"<article><p>Text</p>{comments.replace('related-posts', 'related')}</article>") == "Text" or "class='comment'" in comments
+    # Without another article the marked one is the main text.
+    assert html_text.main_text("<div class='widget'><article>Text</article></div>") == "Text"
+    assert html_text.main_text("<div class='page-widget'><main><h1>Text</h1></main></div>") == "Text"
+
+
+def test_deep_and_unmatched_tags_take_linear_time():
+    for page in ("<div>" * 20_000 + "Text" + "</section></b>" * 20_000, "<span>" * 20_000 + "<div></div>" * 20_000 + "Text"):
+        began = time.process_time()
+        assert html_text.main_text(page) == "Text"
+        assert time.process_time() - began < 10
 
 
 def test_the_main_text_is_no_template(spark):
