@@ -11,6 +11,8 @@ from pkgrisk.functions.semver import semver_key
 from pkgrisk.functions.text import tags
 from pkgrisk.operators.metrics import METRICS, TIME, Metric, format_value
 from pkgrisk.operators.rules import FALSE, TRUE
+from pkgrisk.operators.running import running_sums
+from pkgrisk.session import Scratch
 
 # Marks and texts of the reports.
 MARKS = {TRUE: "✔️", FALSE: "❌"}
@@ -66,7 +68,7 @@ def matrix_report(long: DataFrame, texts: DataFrame | None, packages: Sequence[s
     """Metrics down, packages across; appraisal and reasons first.
 
     ``packages`` names the columns.  A package of the input that is not among
-    them ends the job; see ``matrix_reports`` for many packages.
+    them ends the job; see ``matrix_blocks`` for all packages, however many.
     """
     rows = long.select(
         (F.col("category_ord") + 2).alias("section"),
@@ -107,6 +109,70 @@ def matrix_reports(
     return [matrix_report(within(long, b), texts if texts is None else within(texts, b), b) for b in blocks]
 
 
+def _matrix_rows(long: DataFrame, texts: DataFrame | None) -> DataFrame:
+    rows = long.select("name", "version", (F.col("category_ord") + 2).alias("section"), "metric_ord", F.col("metric").alias("Metric"), "value")
+    if texts is not None:
+        for section, title, value in ((0, "Appraisals", "status"), (1, "Reasons", "reasons")):
+            rows = rows.unionByName(
+                texts.select("name", "version", F.lit(section).alias("section"), F.lit(0).alias("metric_ord"), F.lit(title).alias("Metric"), F.col(value).alias("value"))
+            )
+    return rows
+
+
+def matrix_blocks(long: DataFrame, texts: DataFrame | None = None, block: int = MATRIX_BLOCK) -> DataFrame:
+    """``block, section, metric_ord, Metric, cells``: the matrix of all packages of the input, whatever their number, in one job.
+
+    Packages are numbered in report order by running sums over ranges and laid side by side in blocks of ``block``.  A row of a block is
+    one metric with a cell for each package of the block, empty where nothing is known; its first row, of section -1, has their labels.
+    Of several values of a package and metric the smallest counts.
+    """
+    scratch = Scratch(long.sparkSession, "matrix")
+    rows = scratch.save(_matrix_rows(long, texts), "rows")
+    packages = rows.select("name", "version").distinct().withColumns({"key": semver_key(F.col("version")), "number": F.lit(1).cast("long")})
+    numbers = scratch.save(running_sums(packages, ["name", "key", "version"], ["number"], scratch).drop("key"), "numbers")
+    at = F.col("number") - 1
+    numbers = numbers.select(
+        F.col("name").alias("_name"), F.col("version").alias("_version"), F.floor(at / block).alias("block"), F.pmod(at, F.lit(block)).cast("int").alias("at")
+    )
+    widths = numbers.groupBy("block").agg((F.max("at") + 1).alias("width"))
+    labels = numbers.select(
+        "block", "at", F.lit(-1).alias("section"), F.lit(0).alias("metric_ord"), F.lit("Metric").alias("Metric"), report_label(F.col("_name"), F.col("_version")).alias("value")
+    )
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.col("version").eqNullSafe(F.col("_version"))
+    placed = rows.join(numbers, same).select("block", "at", "section", "metric_ord", "Metric", "value").unionByName(labels)
+    found = F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", F.lit("")).alias("value"))))
+    return (
+        placed.groupBy("block", "section", "metric_ord", "Metric").agg(found.alias("found")).join(widths, "block")
+        .select("block", "section", "metric_ord", "Metric", _filled(F.col("found"), F.col("width")).alias("cells"))
+    )
+
+
+def _filled(found: Column, width: Column) -> Column:
+    """Values of ``found`` (sorted by place) at their places 0 .. ``width`` - 1, empty ones between them."""
+    complete = (F.size(found) == width) & (F.size(F.array_distinct(found["at"])) == width)
+    none = F.array().cast("array<string>")
+
+    def empty(n: Column) -> Column:
+        return F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)))
+
+    def placed(so_far: Column, x: Column) -> Column:
+        return F.when(x["at"] < F.size(so_far), so_far).otherwise(F.concat(so_far, empty(x["at"] - F.size(so_far)), F.array(x["value"])))
+
+    padded = F.aggregate(found, none, placed, lambda a: F.concat(a, empty(width - F.size(a))))
+    return F.when(complete, found["value"]).otherwise(padded)
+
+
+def write_matrix(blocks: DataFrame, path: str) -> None:
+    """A CSV file for each block, in a folder of its number: labels first, then metrics in report order."""
+
+    def quoted(c: Column) -> Column:
+        return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    line = F.array_join(F.transform(F.concat(F.array("Metric"), "cells"), quoted), ",")
+    ordered = blocks.select("block", "section", "metric_ord", line.alias("value")).repartition("block").sortWithinPartitions("block", "section", "metric_ord")
+    ordered.select("block", "value").write.mode("overwrite").partitionBy("block").text(path)
+
+
 def present_metrics(long: DataFrame) -> DataFrame:
     """Metrics any package has, by category and registry order."""
     return (

@@ -404,6 +404,26 @@ def report_matrix(s: Shadow) -> DataFrame:
     return rep.matrix_report(to_long(appraised, _NATION_METRICS), rep.appraisal_texts(appraised), names)
 
 
+_BLOCK_METRICS = tuple(m for m in METRICS if m.name in ("crate.name", "crate.license", "stability.yanked", "usage.total_downloads"))
+
+
+@query(
+    f"""WITH {_M}, n AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i FROM x),
+c AS (SELECT i, 'Metric' AS metric, concat(name, ' v', version) AS value FROM n
+  UNION ALL SELECT i, 'Appraisals', concat(risk, ' RISK (score = ', printf('%.0f', score), ', awarded points = ', awarded, ', available points = ', available, ')') FROM n
+  UNION ALL SELECT i, 'crate.name', name FROM n
+  UNION ALL SELECT i, 'crate.license', CASE k % 5 WHEN 0 THEN 'GPL-3.0' WHEN 1 THEN NULL ELSE 'MIT OR Zlib' END FROM n
+  UNION ALL SELECT i, 'stability.yanked', (NOT g1)::VARCHAR FROM n
+  UNION ALL SELECT i, 'usage.total_downloads', downloads::VARCHAR FROM n)
+SELECT i // 100 AS block, metric AS "Metric", string_agg(coalesce(value, ''), '|' ORDER BY i) AS cells FROM c GROUP BY 1, 2"""
+)
+def report_matrix_blocks(s: Shadow) -> DataFrame:
+    """The matrix of every package, a hundred side by side."""
+    appraised = _appraised(s)
+    blocks = rep.matrix_blocks(to_long(appraised, _BLOCK_METRICS), rep.appraisal_texts(appraised), 100)
+    return blocks.filter("Metric <> 'Reasons'").select("block", "Metric", F.array_join("cells", "|").alias("cells"))
+
+
 @query(
     f"""WITH {_NATION} SELECT name, version, concat('{{"appraisal":{{"reasons":["Kept","Licensed',
   CASE WHEN k % 3 = 0 THEN ' (failure to evaluate: no value)' ELSE '' END, '"],"result":"', {_NATION_RISK}, '"}},"metrics":{{"crate.keywords":["',

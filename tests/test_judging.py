@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 import json
 
@@ -171,6 +172,36 @@ def test_order_summary_and_matrix_limit(spark):
         rep.matrix_report(metrics_long(df, REPORT), None, names[:2]).collect()
 
 
+def test_matrix_blocks(spark, tmp_path):
+    df = three_packages(spark)
+    ordered = [f"{r.name} v{r.version}" for r in rep.in_report_order(df).collect()]
+    want = [tuple(r) for r in rep.matrix_report(metrics_long(df, REPORT), rep.appraisal_texts(df), ordered).collect()]
+    long = metrics_long(df, REPORT)
+    # Missing and repeated values do no harm.
+    long = long.filter("name <> 'serde' OR metric <> 'crate.name'").unionByName(long.filter("metric = 'crate.version'"))
+    want = [tuple("" if m[0] == "crate.name" and c == "serde" else c for c in m) for m in want]
+    blocks = rep.matrix_blocks(long, rep.appraisal_texts(df), 2)
+    rows = {}
+    for r in blocks.orderBy("block", "section", "metric_ord").collect():
+        rows.setdefault(r.block, []).append((r.Metric, *r.cells))
+    assert rows[0] == [("Metric", *ordered[:2])] + [m[:3] for m in want]
+    assert rows[1] == [("Metric", *ordered[2:])] + [(m[0], m[3]) for m in want]
+    rep.write_matrix(blocks, str(tmp_path / "matrix"))
+    for block, expected in rows.items():
+        (path,) = (tmp_path / "matrix" / f"block={block}").glob("*.txt")
+        assert list(csv.reader(path.open(newline=""))) == [list(r) for r in expected]
+    assert rep.matrix_blocks(long.limit(0)).isEmpty()
+
+
+def test_matrix_of_many_packages(spark):
+    long = spark.range(50_000).selectExpr(
+        "concat('p', lpad(id, 6, '0')) AS name", "'1.0.0' AS version", "0 AS category_ord", "'Metadata' AS category", "0 AS metric_ord", "'m' AS metric", "cast(id as string) AS value"
+    )
+    rows = {(r.block, r.Metric): r.cells for r in rep.matrix_blocks(long).collect()}
+    assert len(rows) == 100
+    assert [v for b in range(50) for v in rows[b, "m"]] == [str(i) for i in range(50_000)]
+
+
 def test_score_text_rounds_to_even(spark):
     df = spark.createDataFrame([(66.5,), (67.5,), (66.6,)], "s double")
     texts = df.select(
