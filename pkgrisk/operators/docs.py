@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pkgrisk.session import Scratch
+
 # Accepted format versions and the link syntax looked for.
 FORMAT_VERSIONS = (50, 57)
 CODE_BLOCK = r"```[\s\S]*?```"
@@ -28,18 +30,9 @@ _READ = {
 
 def parsed(docs_json: DataFrame) -> DataFrame:
     """Adds ``doc``, ``status`` and ``reason`` to ``body`` rows."""
-    low, high = FORMAT_VERSIONS
-    version = F.col("doc.format_version").try_cast("bigint")
     # A value of another type than expected spoils its own field only; text that is no JSON object to its end is malformed.
     broken = F.col("doc._bad").isNotNull() & F.json_object_keys("body").isNull()
-    reason = (
-        F.when(F.col("doc").isNull() | broken, "malformed JSON")
-        .when(version.isNull(), "missing 'format_version' field")
-        .when(
-            ~version.between(low, high),
-            F.concat(F.lit("unsupported format version "), version.cast("string")),
-        )
-    )
+    reason = _reason(F.col("doc").isNull() | broken, F.col("doc.format_version"))
     return (
         docs_json.withColumn("doc", F.from_json("body", DOCUMENT, _READ))
         .withColumn("reason", reason)
@@ -48,6 +41,17 @@ def parsed(docs_json: DataFrame) -> DataFrame:
     )
 
 
+def _reason(broken: Column, format_version: Column) -> Column:
+    """Why a document can't be read; NULL if it can."""
+    low, high = FORMAT_VERSIONS
+    version = format_version.try_cast("bigint")
+    return (
+        F.when(broken, "malformed JSON")
+        .when(version.isNull(), "missing 'format_version' field")
+        .when(~version.between(low, high), F.concat(F.lit("unsupported format version "), version.cast("string")))
+    )
+
+
 def items(docs: DataFrame) -> DataFrame:
     """``package, version, id, root, counts, name, docs, links`` of every item.
 
@@ -57,19 +61,22 @@ def items(docs: DataFrame) -> DataFrame:
     exploded = docs.filter(F.col("status") == "Found").select(
         "package", "version", F.col("doc.root").alias("root"), F.explode_outer("doc.index").alias("id", "item")
     )
-    public = (F.col("item.visibility") == "public") & F.col("item.inner.use").isNull()
     return exploded.select(
         "package",
         "version",
         "id",
         "root",
-        F.coalesce(public, F.lit(False)).alias("counts"),
+        _counts(F.col("item")).alias("counts"),
         "item.name",
         "item.docs",
         "item.links",
     )
 
 
+def _counts(item: Column) -> Column:
+    return F.coalesce((item["visibility"] == "public") & item["inner"]["use"].isNull(), F.lit(False))
+
+
 def has_docs(docs: Column) -> Column:
     return F.coalesce(docs.rlike(r"(?U)\S"), F.lit(False))
 
@@ -136,7 +143,7 @@ def broken_links(docs: Column, links: Column) -> Column:
 def docs_metrics(docs: DataFrame) -> DataFrame:
     """``package, version, docs struct`` for every readable document."""
     documented = F.col("counts") & has_docs(F.col("docs"))
-    is_front = (F.col("id") == F.col("root")) & (F.col("name") == F.replace("package", F.lit("-"), F.lit("_")))
+    is_front = (F.col("id") == F.col("root")) & _front_name(F.col("name"))
     zero = F.lit(0).cast("bigint")
     counted = items(docs).groupBy("package", "version").agg(
         F.count_if(F.col("counts")).alias("public_api_elements"),
@@ -147,8 +154,16 @@ def docs_metrics(docs: DataFrame) -> DataFrame:
         ).alias("broken_doc_links"),
         F.coalesce(F.sum(F.when(documented, example_count(F.col("docs")))), zero).alias("examples_in_docs"),
     )
+    return counted.select("package", "version", _payload().alias("docs"))
+
+
+def _front_name(name: Column) -> Column:
+    return name == F.replace("package", F.lit("-"), F.lit("_"))
+
+
+def _payload() -> Column:
     n, covered = F.col("public_api_elements"), F.col("documented")
-    payload = F.struct(
+    return F.struct(
         n,
         (n - covered).alias("undocumented_elements"),
         F.when(n > 0, covered / n * 100.0).otherwise(F.lit(100.0)).alias("doc_coverage_percentage"),
@@ -156,7 +171,46 @@ def docs_metrics(docs: DataFrame) -> DataFrame:
         "broken_doc_links",
         "examples_in_docs",
     )
-    return counted.select("package", "version", payload.alias("docs"))
+
+
+LINE = f"struct<format_version: string, root: string, id: string, item: {ITEM}, _bad: string>"
+
+
+def docs_facts_of_lines(lines: DataFrame) -> DataFrame:
+    """``docs_facts`` of documents landed one item a line: ``package, version, body`` rows.
+
+    A document is a head line ``{"format_version": .., "root": ..}`` and a line ``{"id": .., "item": {..}}`` for each item, in any order
+    and in any number of files, so that its items are read by many tasks.  Only numbers are shuffled, combined first; the front page is
+    met by its id.  A document with a line that is no JSON object is malformed; the largest of several heads counts.
+    """
+    line = F.col("line")
+    broken = line.isNull() | line["_bad"].isNotNull() & F.json_object_keys("body").isNull()
+    is_item = line["id"].isNotNull()
+    counts = is_item & _counts(line["item"])
+    documented = counts & has_docs(line["item"]["docs"])
+    text, links = line["item"]["docs"], line["item"]["links"]
+    read = lines.filter("body IS NULL OR body RLIKE '\\\\S'").withColumn("line", F.from_json("body", LINE, _READ)).select(
+        "package", "version", broken.alias("broken"),
+        F.when(~is_item, F.struct(line["format_version"].alias("format_version"), line["root"].alias("root"))).alias("head"),
+        counts.cast("long").alias("counts"), documented.cast("long").alias("documented"),
+        F.when(documented, broken_links(text, links)).otherwise(0).cast("long").alias("broken_links"),
+        F.when(documented, example_count(text)).otherwise(0).cast("long").alias("examples"),
+        F.when(documented & _front_name(line["item"]["name"]), line["id"]).alias("front"),
+    )
+    read = Scratch(lines.sparkSession, "docs-lines").save(read, "lines")
+    counted = read.groupBy("package", "version").agg(
+        F.max("broken").alias("broken"), F.max("head").alias("head"), F.sum("counts").alias("public_api_elements"), F.sum("documented").alias("documented"),
+        F.sum("broken_links").alias("broken_doc_links"), F.sum("examples").alias("examples_in_docs"),
+    )
+    front = read.filter("front IS NOT NULL").select(F.col("package").alias("_package"), F.col("version").alias("_version"), "front").distinct()
+    same = (F.col("package") == F.col("_package")) & F.col("version").eqNullSafe(F.col("_version")) & (F.col("head.root") == F.col("front"))
+    known = counted.join(front, same, "left").withColumn("has_crate_level_docs", F.col("front").isNotNull())
+    reason = _reason(F.coalesce("broken", F.lit(False)), F.col("head.format_version"))
+    known = known.withColumn("reason", reason)
+    found = F.col("reason").isNull()
+    return known.select(
+        F.col("package").alias("name"), "version", F.when(found, "Found").otherwise("Unavailable").alias("status"), "reason", F.when(found, _payload()).alias("docs")
+    )
 
 
 def docs_facts(docs_json: DataFrame) -> DataFrame:

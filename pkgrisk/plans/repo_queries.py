@@ -259,17 +259,27 @@ _ITEMS = """i AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS x,
 p AS (SELECT *, i % 3 = 0 OR i % 4 = 1 OR regexp_matches(x, '\\S') AS documented FROM i WHERE i % 5 <> 4 AND i % 7 <> 6)"""
 
 
-@query(
+_DOCS_METRICS = (
     f"""WITH {_ITEMS} SELECT concat('doc-', doc_id) AS package, count(*) AS public_api_elements,
   count(*) FILTER (NOT documented) AS undocumented_elements, bool_or(i = 0 AND lang = 'en') AS has_crate_level_docs,
   count(*) FILTER (i % 8 = 5) AS broken_doc_links, count(*) FILTER (i % 3 = 0) AS examples_in_docs
 FROM p GROUP BY doc_id"""
 )
+
+
+@query(_DOCS_METRICS)
 def docs_metrics(s: Shadow) -> DataFrame:
     m = doc.docs_metrics(doc.parsed(s.docs_json))
     return m.select("package", "docs.*").drop("doc_coverage_percentage")
 
 
+@query(_DOCS_METRICS)
+def docs_metrics_lines(s: Shadow) -> DataFrame:
+    """The same from documents landed one item a line."""
+    facts = doc.docs_facts_of_lines(s.docs_lines).filter("status = 'Found'")
+    return facts.select(F.col("name").alias("package"), "docs.*").drop("doc_coverage_percentage")
+
+
 @query(
     f"""WITH {_ITEMS} SELECT concat('doc-', doc_id) AS name, 'Found' AS status, NULL AS reason,
   round(count(*) FILTER (documented)::DOUBLE / count(*) * 100, 6) AS coverage FROM p GROUP BY doc_id

@@ -347,16 +347,7 @@ class Shadow:
     @cached_property
     def docs_json(self) -> DataFrame:
         """One item per text line of a document."""
-        item = (
-            "named_struct("
-            "'name', CASE WHEN i = 0 AND lang = 'en' THEN concat('doc_', doc_id) ELSE concat('item', i) END, "
-            "'visibility', CASE WHEN i % 5 = 4 THEN 'default' ELSE 'public' END, "
-            "'docs', concat(x, CASE WHEN i % 3 = 0 THEN '\n  ```\nlet a = \"[`Nope`]\";\n```\n' ELSE '' END, "
-            "CASE WHEN i % 4 = 1 THEN ' see [`Foo`]' ELSE '' END), "
-            "'links', CASE WHEN i % 8 = 1 THEN map('`Foo`', 1) ELSE cast(map() as map<string, int>) END, "
-            "'inner', CASE WHEN i % 7 = 6 THEN map('use', map('source', 'x')) ELSE map('struct', map('kind', 'x')) END)"
-        )
-        index = f"map_from_entries(transform(split(text, '\n'), (x, i) -> struct(cast(i as string), {item})))"
+        index = f"map_from_entries(transform(split(text, '\n'), (x, i) -> struct(cast(i as string), {_DOC_ITEM})))"
         return self.table("documents").select(
             F.expr("concat('doc-', doc_id)").alias("package"),
             F.lit("1.0.0").alias("version"),
@@ -365,6 +356,26 @@ class Shadow:
             ).alias("body"),
         )
 
+    @cached_property
+    def docs_lines(self) -> DataFrame:
+        """The same documents with a line for each item and one for the head."""
+        docs, name = self.table("documents"), F.expr("concat('doc-', doc_id)").alias("package")
+        heads = docs.select(name, F.expr("to_json(named_struct('format_version', 48 + doc_id % 12, 'root', '0'))").alias("body"))
+        lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+        items = lines.select(name, F.expr(f"to_json(named_struct('id', cast(i as string), 'item', {_DOC_ITEM}))").alias("body"))
+        return heads.unionByName(items).select("package", F.lit("1.0.0").alias("version"), "body")
+
+
+# A documentation item made of text line x, number i.
+_DOC_ITEM = (
+    "named_struct("
+    "'name', CASE WHEN i = 0 AND lang = 'en' THEN concat('doc_', doc_id) ELSE concat('item', i) END, "
+    "'visibility', CASE WHEN i % 5 = 4 THEN 'default' ELSE 'public' END, "
+    "'docs', concat(x, CASE WHEN i % 3 = 0 THEN '\n  ```\nlet a = \"[`Nope`]\";\n```\n' ELSE '' END, "
+    "CASE WHEN i % 4 = 1 THEN ' see [`Foo`]' ELSE '' END), "
+    "'links', CASE WHEN i % 8 = 1 THEN map('`Foo`', 1) ELSE cast(map() as map<string, int>) END, "
+    "'inner', CASE WHEN i % 7 = 6 THEN map('use', map('source', 'x')) ELSE map('struct', map('kind', 'x')) END)"
+)
 
 # Pieces of code with known line counts, by line number.
 SNIPPETS = (

@@ -90,6 +90,11 @@ def read_docs_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_docs_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name, body`` of documents landed one item a line; large files are split over tasks."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("body"))
+
+
 def read_badges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("repo string, branch string, http_status int, body string").json(path)
 

@@ -5,9 +5,10 @@ import json
 from pyspark.sql import functions as F
 
 from pkgrisk.operators.codebase import located_codebase
-from pkgrisk.operators.docs import docs_facts
+from pkgrisk.operators.docs import docs_facts, docs_facts_of_lines
 from pkgrisk.operators.facts import merge_facts
 from pkgrisk.operators.resolve import failures, parse_requests
+from pkgrisk.sources.landed import read_docs_lines
 
 
 def test_a_package_its_repository_does_not_hold(spark):
@@ -69,3 +70,39 @@ def test_each_source_has_its_own_limit(spark, tmp_path):
     limits = policy_limits(default_policy()) | {"coverage": timedelta(days=1)}
     got = refresh_plan_by_source(old, saved, F.expr("TIMESTAMP_NTZ'2024-01-11'"), limits).collect()
     assert {tuple(r) for r in got} == {("coverage", "a"), ("unknown", "a")}
+
+
+def test_documents_by_line(spark, tmp_path):
+    def item(name, docs, visibility="public", links=None, inner="struct"):
+        return {"name": name, "visibility": visibility, "docs": docs, "links": links or {}, "inner": {inner: {}}}
+
+    documents = {
+        "a-b": (57, {"0": item("a_b", "front [`Gone`]"), "1": item("x", "```\n1\n```"), "2": item("y", " "), "3": item("z", "d", "default"), "4": item("u", "d", inner="use")}),
+        "other-root": (50, {"7": item("other_root", "not the root")}), "old": (49, {"0": item("old", "x")}), "empty": (51, {}),
+        "no-version": (None, {"0": item("q", "x")}), "text": ("x", {}),
+    }
+    whole = [(n, "1.0.0", json.dumps({"format_version": v, "root": 0, "index": i})) for n, (v, i) in documents.items()]
+    lines = [(n, "1.0.0", json.dumps(r)) for n, (v, i) in documents.items() for r in ({"format_version": v, "root": 0}, *({"id": k, "item": x} for k, x in i.items()))]
+    kind = "package string, version string, body string"
+    want = {tuple(r) for r in docs_facts(spark.createDataFrame(whole, kind)).collect()}
+    got = docs_facts_of_lines(spark.createDataFrame(lines[::-1] + [("a-b", "1.0.0", " ")], kind))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(documents)
+    bad = docs_facts_of_lines(spark.createDataFrame([*lines, ("a-b", "1.0.0", "{"), ("gone", "1.0.0", None)], kind)).collect()
+    assert {r.name: r.reason for r in bad if r.name in ("a-b", "gone")} == dict.fromkeys(("a-b", "gone"), "malformed JSON")
+    assert docs_facts_of_lines(spark.createDataFrame([], kind)).isEmpty()
+
+
+def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
+    with (tmp_path / "big.jsonl").open("w") as file:
+        file.write('{"format_version": 57, "root": "0"}\n')
+        for i in range(20_000):
+            file.write(json.dumps({"id": str(i), "item": {"name": "big", "visibility": "public", "docs": "d" * 1000, "inner": {"struct": {}}}}) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        lines = read_docs_lines(spark, str(tmp_path / "big.jsonl"))
+        assert lines.rdd.getNumPartitions() >= 8
+        row = docs_facts_of_lines(lines.select(F.lit("big").alias("package"), F.lit("1.0.0").alias("version"), "body")).head()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (row.docs.public_api_elements, row.docs.undocumented_elements, row.docs.has_crate_level_docs) == (20_000, 0, True)
