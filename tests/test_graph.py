@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from pkgrisk.operators import graph as g
 from pkgrisk.sources.landed import GRAPH_SCHEMA, graph_tables
 
@@ -159,3 +160,20 @@ def test_graph_document(spark):
     roots = g.select_roots(t["packages"])
     closure = g.closure_facts(roots, t["package_features"], t["package_deps"], t["resolve_edges"], t["resolve_features"], types=("standard",))
     assert [tuple(r) for r in g.closure_requests(closure, t["packages"]).collect()] == [("x", "1.0.0")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dep_declaration", "dep_features", "optional_active"])
+def test_rows_of_packages_are_never_broadcast(spark, name):
+    """A list made per package is estimated by the file it comes from, however many rows it gives."""
+    plan = _plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_closure_broadcasts_nothing(spark):
+    name = "closure_features"
+    plan = _plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "Join" in plan and "Broadcast" not in plan
