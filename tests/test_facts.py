@@ -127,3 +127,15 @@ def test_broken_links(spark, text, links, broken):
 def test_fences(spark):
     df = spark.createDataFrame([("```\na\n```\n  ```rust\nb",)], "d string")
     assert df.select(example_count(F.col("d")).alias("n")).head().n == 1
+
+
+def test_requirements_are_dealt_out_before_they_are_read(spark):
+    """A small file is one or two tasks; its requirements are read by as many as a shuffle has."""
+    advisories = spark.createDataFrame([], "package string, informational string, severity string, cvss string, patched array<string>, unaffected array<string>").union(
+        spark.createDataFrame([("a", None, "high", None, [">=2.0.0"], None)], "package string, informational string, severity string, cvss string, patched array<string>, unaffected array<string>")
+    )
+    packages = spark.createDataFrame([("a", "1.0.0"), ("a", "2.0.0")], "name string, version string")
+    facts = advisory_facts(advisories, packages)
+    assert "RoundRobinPartitioning" in facts._jdf.queryExecution().executedPlan().toString()
+    got = {r.version: r.advisories.per_version.high_vulnerability_count for r in facts.collect()}
+    assert got == {"1.0.0": 1, "2.0.0": 0}
