@@ -50,7 +50,8 @@ class KeptTable:
         parts = {p: w for p, w in self._manifest()[1].items() if w and keep(p)}
         schema = self._schema("_part")
         if not parts:
-            return self._spark.createDataFrame([], schema)
+            # Known to be empty when a plan is made, so that joins with it fall away.
+            return self._spark.createDataFrame([], schema).limit(0)
         base = f"{self.path}/data"
         found = self._spark.read.schema(self._schema("_part", "_write")).option("basePath", base)
         return found.parquet(*[f"{base}/_write={w}/_part={p}" for p, w in sorted(parts.items())]).select(*schema.names)
@@ -157,22 +158,26 @@ class IssueAgeStore:
         return self._table.read(lambda part: part.startswith("sums-")).drop("_part", "issue")
 
     def add(self, issues: DataFrame, marks: Callable[[DataFrame], DataFrame]) -> None:
-        """Takes the present state of some issues; ``marks`` is ``hosting.age_marks``.  Issues that are not named stay as they are."""
+        """Takes the present state of some issues; ``marks`` is ``hosting.age_marks``.  Issues that are not named stay as they are.
+
+        ``issues`` is read once: its marks have a row for every issue, which also says which ones are named.
+        """
         scratch = Scratch(self._spark, "issue-ages")
         issues = issues.withColumn("issue", F.col("issue").cast("string"))
-        keys = issues.select("repo", "issue").distinct().withColumn("_part", self._bucket("issues", "repo", "issue"))
-        keys = scratch.save(keys, "keys")
-        touched = {r["_part"] for r in keys.select("_part").distinct().collect()}
+        every = scratch.save(marks(issues, every=True), "came")
+        touched = {r["_part"] for r in every.select(self._bucket("issues", "repo", "issue").alias("_part")).distinct().collect()}
         if not touched:
             return
-        came = scratch.save(marks(issues), "came")
-        named = keys.select(F.col("repo").alias("_repo"), F.col("issue").alias("_issue"))
+        came = every.filter("family is not null")
+        named = every.select(F.col("repo").alias("_repo"), F.col("issue").alias("_issue"))
         same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("issue").eqNullSafe(F.col("_issue"))
         old = self._table.read(touched.__contains__).drop("_part")
         back = old.join(named, same, "left_semi").withColumns({"n": -F.col("n"), "seconds": -F.col("seconds")})
         change = scratch.save(_summed(back.unionByName(came)).withColumn("_part", self._sums_part()), "change")
         sums_touched = {r["_part"] for r in change.select("_part").distinct().collect()}
-        sums = _summed(self._table.read(sums_touched.__contains__).drop("_part", "issue").unionByName(change.drop("_part")))
+        sums = change.drop("_part")
+        if self._table.version():
+            sums = _summed(self._table.read(sums_touched.__contains__).drop("_part", "issue").unionByName(sums))
         whole = old.join(named, same, "left_anti").unionByName(came).withColumn("_part", self._bucket("issues", "repo", "issue"))
         self._table.replace(
             whole.unionByName(sums.withColumns({"issue": F.lit(None).cast("string"), "_part": self._sums_part()})), touched | sums_touched

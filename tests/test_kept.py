@@ -154,3 +154,24 @@ def test_issue_batches_add_up_to_the_whole(spark, tmp_path):
     store.add(spark.createDataFrame([issue("b", 501, 901)], ISSUE), age_marks)
     assert before.items() <= files(tmp_path).items()
     assert len({p.parent.name for p in files(tmp_path).keys() - before.keys() if "issues-" in str(p)}) == 1
+
+
+def test_issues_are_read_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", n, at(1), at(2) if n % 2 else None, "closed" if n % 2 else "open", None) for n in range(10)]
+    # One that adds nothing: a closed one without the time.
+    rows.append(("a", 10, at(1), None, "closed", None))
+    issues = spark.createDataFrame(rows, ISSUE).mapInArrow(count, ISSUE)
+    store = IssueAgeStore(spark, str(tmp_path), buckets=4)
+    store.add(issues, age_marks)
+    assert read.value == 11
+    assert {(r.family, r.n) for r in store.sums().groupBy("family").agg(F.sum("n").alias("n")).collect()} == {("open_issue_age", 5), ("closed_issue_age", 5)}
+    # What it had before is taken back all the same.
+    store.add(spark.createDataFrame([("a", 1, at(1), None, "closed", None)], ISSUE), age_marks)
+    assert {(r.family, r.n) for r in store.sums().groupBy("family").agg(F.sum("n").alias("n")).collect()} == {("open_issue_age", 5), ("closed_issue_age", 4)}
