@@ -79,5 +79,5 @@ def test_package_sums(spark):
 
 def test_words_and_brackets_on_a_line_count_it_once():
     text = "#[test]\nfn t() {\n    a(1, [2]);\n\n    b; c\n}\nfn f() {\n    d(\n        e)\n}\n"
-    assert statistics(text) == (4, 4, 0, 0, False)
+    assert statistics(text) == (4, 5, 0, 0, False)
     assert statistics("fn f() {\n    a)\n}\n")[4]
