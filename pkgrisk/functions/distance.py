@@ -2,11 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+# Most edits of a pair that is found by what deletions leave of both names, and keys made at one time.
+MAX_DELETED = 4
+_KEYS_AT_ONCE = 200_000
+
+
+def _mixed(n: int) -> int:
+    """A 64-bit factor, the same on every worker."""
+    n = (n + 1) * 0x9E3779B97F4A7C15 % 2**64
+    n = (n ^ n >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    n = (n ^ n >> 27) * 0x94D049BB133111EB % 2**64
+    return n ^ n >> 31
+
+
+@lru_cache(maxsize=None)
+def _weights(size: int, longest: int) -> np.ndarray | None:
+    """Factors of the letters for each way to leave ``longest - longest // 5`` of ``size``; None if there is none to look at."""
+    k = longest // 5
+    left = longest - k
+    if left > size or k > MAX_DELETED:
+        return None
+    out = np.zeros((size, len(list(combinations(range(size), left)))), dtype=np.uint64)
+    for column, kept in enumerate(combinations(range(size), left)):
+        out[list(kept), column] = [_mixed(n) for n in range(left)]
+    return out
+
+
+def deletion_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, name`` for each distinct remainder of each name of a batch.
+
+    Names at a distance of at most k keep a common remainder when the longer
+    one loses k letters and the other one k less the difference: a swapped pair
+    loses a letter on both sides, like a replaced one.  k is a fifth of the
+    longer name, so a name has keys for each longer size it may meet.  Keys are
+    hashes; names may share one by chance.
+    """
+    for batch in batches:
+        names = batch.column(0)
+        raw = [t.encode("latin-1", "replace") for t in names.to_pylist()]
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            for longest in range(size, min(size * 5 // 4, MAX_DELETED * 5 + 4) + 1):
+                weights = _weights(size, longest)
+                if weights is None:
+                    continue
+                step = max(1, _KEYS_AT_ONCE // weights.shape[1])
+                for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+                    letters = np.array([list(raw[i]) for i in part], dtype=np.uint64).reshape(len(part), size)
+                    keys = np.sort(letters @ weights + np.uint64(_mixed(1000 + longest)), axis=1)
+                    new = np.ones(keys.shape, dtype=bool)
+                    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[new].view(np.int64)), names.take(pa.array(part[np.nonzero(new)[0]]))], ["key", "name"]
+                    )
+
 
 def _codes(texts: pd.Series, fill: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("latin-1", "replace") for t in texts]
