@@ -38,14 +38,15 @@ def _weights(size: int, longest: int) -> np.ndarray | None:
     return out
 
 
-def deletion_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def deletion_keys(batches: Iterator[pa.RecordBatch], held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """``key, name`` for each distinct remainder of each name of a batch.
 
     Names at a distance of at most k keep a common remainder when the longer
     one loses k letters and the other one k less the difference: a swapped pair
     loses a letter on both sides, like a replaced one.  k is a fifth of the
     longer name, so a name has keys for each longer size it may meet.  Keys are
-    hashes; names may share one by chance.
+    hashes; names may share one by chance.  With ``held``, the bits of the keys
+    of the other side by their remainder, keys that it cannot have are left out.
     """
     for batch in batches:
         names = batch.column(0)
@@ -63,6 +64,9 @@ def deletion_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     keys = np.sort(letters @ weights + np.uint64(_mixed(1000 + longest)), axis=1)
                     new = np.ones(keys.shape, dtype=bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    if held is not None:
+                        bit = np.mod(keys.view(np.int64), 8 * len(held))
+                        new &= (held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[new].view(np.int64)), names.take(pa.array(part[np.nonzero(new)[0]]))], ["key", "name"]
                     )

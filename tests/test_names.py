@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.distance import deletion_keys, transposition_distance
 from pkgrisk.functions.text import csv_cell, normalize_name, repository, tags
-from pkgrisk.operators.resolve import candidate_names, parse_requests, similar_names, suggest_names
+from pkgrisk.operators.resolve import _key_sketch, candidate_names, parse_requests, similar_names, suggest_names
 
 
 def plain_distance(a: str, b: str) -> int:
@@ -100,6 +100,18 @@ def test_remainders_of_a_name_are_listed_once(spark):
     assert len(keys) == 1
 
 
+def test_keys_that_the_other_side_cannot_have_are_left_out(spark):
+    def keys(name, held=None):
+        return [k for b in deletion_keys(iter([pa.RecordBatch.from_pydict({"w": [name]})]), held) for k in b.column(0).to_pylist()]
+
+    df = spark.createDataFrame([("tokioruntime", "tokioruntime")], "wanted string, w string")
+    held = _key_sketch(df, "w").value
+    assert keys("tokioruntime", held) == keys("tokioruntime")
+    shared = set(keys("tokioruntime")) & set(keys("tokiorumtine"))
+    assert shared and shared <= set(keys("tokiorumtine", held)) and len(keys("tokiorumtine", held)) < len(keys("tokiorumtine"))
+    assert len(keys("serde-derives", held)) < 5
+
+
 def test_long_names_meet_by_pieces(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd") for _ in range(n)) for n in (19, 20, 23, 24, 25, 26, 29, 30, 40) for _ in range(8)]
