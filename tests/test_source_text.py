@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pkgrisk.functions.source_text import line_statistics, statistics
 from pkgrisk.operators.codebase import source_files, source_stats
+from pkgrisk.plans.shadow import SNIPPETS, Shadow
 
 CASES = [
     ("", (0, 0, 0, 0, False)),
@@ -81,3 +82,21 @@ def test_words_and_brackets_on_a_line_count_it_once():
     text = "#[test]\nfn t() {\n    a(1, [2]);\n\n    b; c\n}\nfn f() {\n    d(\n        e)\n}\n"
     assert statistics(text) == (4, 5, 0, 0, False)
     assert statistics("fn f() {\n    a)\n}\n")[4]
+
+
+def test_files_are_shuffled_as_line_numbers(spark, tmp_path):
+    lines = [(1, 3), (1, 1), (1, 1), (2, None), (97, 2), (97, None), (97, 12), (11, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = Shadow(spark, str(tmp_path)).source_files
+    assert {r.path: r.content for r in files.collect()} == {
+        "src/f1.rs": SNIPPETS[1] * 2 + SNIPPETS[3], "src/f2.rs": "", "src/f97.rs": SNIPPETS[2] + SNIPPETS[0] + "fn bad( {\n", "tests/f11.rs": SNIPPETS[5],
+    }
+    below = files._jdf.queryExecution().sparkPlan().toString().split("partial_collect_list")[1]
+    assert SNIPPETS[1] not in below
+
+
+def test_line_statistics_of_missing_texts(spark):
+    df = spark.createDataFrame([(0, "fn a() {}\n"), (1, None), (2, "}")], "i int, c string").coalesce(1)
+    rows = {r.i: r.s for r in df.select("i", line_statistics(F.col("c")).alias("s")).collect()}
+    assert (tuple(rows[0]), rows[1], tuple(rows[2])) == ((1, 0, 0, 0, False), None, (1, 0, 0, 0, True))
+    assert df.limit(0).select(line_statistics(F.col("c")).alias("s")).collect() == []
