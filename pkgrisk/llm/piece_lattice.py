@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from typing import NamedTuple
 
@@ -206,6 +207,18 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     )
 
 
+class _Frequent:
+    """Frequent words and their ids, sent as columns; a worker makes a dictionary of them once, and the driver none."""
+
+    def __init__(self, table: pa.Table):
+        self._table = table
+
+    @cached_property
+    def ids(self) -> dict[str, list[int]]:
+        own, self._table = self._table, None
+        return dict(zip(own.column("word").to_pylist(), own.column("ids").to_pylist(), strict=True))
+
+
 class _Dictionary:
     """Ids of texts from the ids of their words: the common ones, and those that come with a text."""
 
@@ -241,7 +254,7 @@ class _Dictionary:
 
 def _applied(model: str, frequent):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        own = _Dictionary(model, frequent.value)
+        own = _Dictionary(model, frequent.value.ids)
         for texts, words, ids in batches:
             out = [
                 own.ids(t.as_py(), dict(zip(w.as_py(), i.as_py(), strict=True)) if w.is_valid else {})
@@ -275,7 +288,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids", f
             break
         least = row["least"]
     common = counts.filter((F.col("n") >= least) & (F.length("word") <= LONG_WORD)).select("key", "word")
-    shared = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in common.join(encoded, "key").toLocalIterator()})
+    # One job for all of them; an iterator would run one for each partition.
+    shared = spark.sparkContext.broadcast(_Frequent(common.join(encoded, "key").select("word", "ids").toArrow()))
     rare_words = counts.filter((F.col("n") < least) | (F.length("word") > LONG_WORD)).select("key", "word")
     pairs = keyed.select("__row", F.explode(F.array_distinct(words_of(F.col(f"`{text}`"), model))).alias("word"))
     pairs = pairs.join(F.broadcast(common.select("word")), "word", "left_anti").select("__row", word_key(F.col("word")).alias("key")).distinct()

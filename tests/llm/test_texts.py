@@ -66,6 +66,14 @@ def test_pieces_of_odd_tables(spark):
     assert piece_lattice.encode(empty(spark), model_path()).count() == 0
 
 
+def test_frequent_words_come_in_one_job(spark, library, monkeypatch):
+    df = spark.createDataFrame([(0, "the rare thing"), (1, "the the"), (2, None)], "doc_id long, text string")
+    # An iterator runs a job for each partition.
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    rows = {r.doc_id: list(r.ids) for r in piece_lattice.encode(df, model_path(), frequent=2).collect()}
+    assert rows == {0: library.encode("the rare thing"), 1: library.encode("the the"), 2: []}
+
+
 def test_decode_of_odd_ids(spark, library):
     rows = [(0, None), (1, []), (2, [1, 264, 2]), (3, library.encode("  é\U0001f600")), (4, [3 + 0xFF])]
     got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, ids array<int>").select("i", piece_lattice.decode(F.col("ids"), model_path()).alias("t")).collect()}
