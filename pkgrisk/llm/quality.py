@@ -277,17 +277,20 @@ def _margin(w: np.ndarray, bias: float, scale: np.ndarray, found: np.ndarray) ->
 
 def descend(found: list[np.ndarray], y: np.ndarray, scale: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the squared hinge loss; each class weighs the same in sum."""
-    values = [scale[f] / np.sqrt(max(1, len(f))) for f in found]
+    def values(i: int) -> np.ndarray:
+        # Made when needed: those of the whole sample take twice as much memory as its n-grams.
+        return scale[found[i]] / np.sqrt(max(1, len(found[i])))
+
     # The bias is one more indicator of value 1.
     w, bias = np.zeros(len(scale)), 0.0
     cost = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * settings.penalty
     ridge = 1 / (2 * cost)
-    norm = np.array([v @ v + 1.0 for v in values]) + ridge
+    norm = np.array([v @ v + 1.0 for v in map(values, range(len(found)))]) + ridge
     alpha = np.zeros(len(y))
     random = np.random.default_rng(settings.seed)
     for _ in range(settings.epochs):
         for i in random.permutation(len(y)):
-            f, v = found[i], values[i]
+            f, v = found[i], values(i)
             gradient = y[i] * (w[f] @ v + bias) - 1 + ridge[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / norm[i])
             if new != alpha[i]:

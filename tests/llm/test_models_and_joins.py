@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,6 +125,18 @@ def test_coordinate_descent_reaches_the_minimum():
 SMALL = toxicity.Settings(fit_docs=1400, epochs=8)
 
 
+def test_coordinate_descent_holds_no_values_of_the_sample():
+    random = np.random.default_rng(3)
+    found = [np.sort(random.choice(5000, 500, replace=False)).astype(np.int32) for _ in range(1000)]
+    y, scale = np.where(random.random(1000) > 0.5, 1, -1), random.normal(size=5000)
+    tracemalloc.start()
+    quality.descend(found, y, scale, quality.Settings(epochs=1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All of them are 4 MB.
+    assert peak < 1e6
+
+
 def test_toxicity_learns_word_starts_and_scores_odd_rows(spark):
     rows = labelled(1600)
     df = spark.createDataFrame([(i, t, b) for i, _, t, b in rows], "doc_id long, text string, y int")
