@@ -34,22 +34,28 @@ WORDS_PER_PARTITION = 10_000
 # Longest word, in code points, that stands for itself as a key; and the block in which longer words are exploded.
 LONG_WORD = 64
 NEVER = 2**31 - 1
+# Bits of a time in a flank; the largest one is that of a part that nothing uses up.
+TIME = 24
+LAST = 2**TIME - 1
 
 
-class Flank(NamedTuple):
-    """A part at one end of a piece while the piece is made: its length, and when it comes into being and is used up."""
+def flank(size: int, born: int, dies: int) -> int:
+    """A part at one end of a piece while the piece is made: its length, and when it comes into being and is used up; as one number,
+    since every edge of every word carries those of its piece."""
+    return size << 2 * TIME | born << TIME | dies
 
-    size: int
-    born: int
-    dies: int
+
+def flank_fields(part: Column) -> tuple[Column, Column, Column]:
+    """``size, born, dies`` of a flank."""
+    return F.shiftright(part, 2 * TIME), F.shiftright(part, TIME).bitwiseAND(F.lit(LAST)), part.bitwiseAND(F.lit(LAST))
 
 
 class Edge(NamedTuple):
     text: str
     id: int
     rank: int
-    left: list[Flank]
-    right: list[Flank]
+    left: list[int]
+    right: list[int]
 
 
 def _made(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
@@ -68,6 +74,9 @@ def _made(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
 def piece_edges(model: str) -> list[Edge]:
     """All pieces that merging can end in; as many as the file has at most."""
     rank = {p.text: round(-p.score) for p in pieces(model) if p.kind == "normal"}
+    # Ranks and the time 0 of characters are only compared, so their order numbers do.
+    order = {r: n for n, r in enumerate(sorted({0, *rank.values()}))}
+    rank = {p: order[r] for p, r in rank.items()}
     ids = {p.text: p.id for p in pieces(model) if p.kind == "normal"}
     parts = {p: _made(p, rank) for p in rank if len(p) > 1}
     times: dict[str, int] = {}
@@ -81,15 +90,15 @@ def piece_edges(model: str) -> list[Edge]:
             times[p] = max(rank[p], time(a), time(b))
         return times[p]
 
-    def flank(p: str, side: int) -> list[Flank]:
-        out, dies = [], NEVER
+    def flanks(p: str, side: int) -> list[int]:
+        out, dies = [], LAST
         while True:
-            out.append(Flank(len(p), time(p), dies))
+            out.append(flank(len(p), time(p), dies))
             if len(p) == 1:
                 return out
             dies, p = time(p), parts[p][side]
 
-    return [Edge(p, ids[p], rank[p], flank(p, 0), flank(p, 1)) for p in rank if len(p) == 1 or parts[p]]
+    return [Edge(p, ids[p], rank[p], flanks(p, 0), flanks(p, 1)) for p in rank if len(p) == 1 or parts[p]]
 
 
 def words_of(text: Column, model: str) -> Column:
@@ -99,9 +108,13 @@ def words_of(text: Column, model: str) -> Column:
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
-    flank = "array<struct<size: int, born: int, dies: int>>"
-    edges = [e._replace(text=e.text.replace(SPACE, " ")) for e in piece_edges(model)]
-    return spark.createDataFrame(edges, f"piece string, id int, rank int, left {flank}, right {flank}")
+    edges = piece_edges(model)
+    # Columns are smaller than rows, in the driver's Python as well as on their way.
+    return spark.createDataFrame(pa.table({
+        "piece": pa.array([e.text.replace(SPACE, " ") for e in edges], pa.string()), "id": pa.array([e.id for e in edges], pa.int32()),
+        "rank": pa.array([e.rank for e in edges], pa.int32()), "left": pa.array([e.left for e in edges], pa.list_(pa.int64())),
+        "right": pa.array([e.right for e in edges], pa.list_(pa.int64())),
+    }))
 
 
 def word_key(word: Column) -> Column:
@@ -141,13 +154,16 @@ def viterbi(edges: Column) -> Column:
         last = F.get(path, start - 1)
 
         def crosses(c: Column) -> Column:
-            return (c["start"] < start) & (c["end"] > start) & F.exists(
-                item(last)["right"],
-                lambda x: (x["size"] == start - c["start"]) & (c["rank"] < x["dies"]) & F.exists(
-                    edge["left"],
-                    lambda y: (y["size"] == c["end"] - start) & (c["rank"] <= y["dies"]) & (y["born"] < x["dies"]) & (x["born"] <= y["dies"]),
-                ),
-            )
+            def right(x: Column) -> Column:
+                size, born, dies = flank_fields(x)
+
+                def left(y: Column) -> Column:
+                    own_size, own_born, own_dies = flank_fields(y)
+                    return (own_size == c["end"] - start) & (c["rank"] <= own_dies) & (own_born < dies) & (born <= own_dies)
+
+                return (size == start - c["start"]) & (c["rank"] < dies) & F.exists(edge["left"], left)
+
+            return (c["start"] < start) & (c["end"] > start) & F.exists(item(last)["right"], right)
 
         # Edges across the boundary end behind the piece before it and not behind this edge, so they lie between the two.
         blocked = F.exists(F.slice(edges, last + 2, n - last - 1), crosses)
@@ -292,8 +308,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", name: str = "ids", f
     shared = spark.sparkContext.broadcast(_Frequent(common.join(encoded, "key").select("word", "ids").toArrow()))
     rare_words = counts.filter((F.col("n") < least) | (F.length("word") > LONG_WORD)).select("key", "word")
     pairs = keyed.select("__row", F.explode(F.array_distinct(words_of(F.col(f"`{text}`"), model))).alias("word"))
-    pairs = pairs.join(F.broadcast(common.select("word")), "word", "left_anti").select("__row", word_key(F.col("word")).alias("key")).distinct()
-    own = pairs.join(rare_words.join(encoded, "key"), "key").groupBy("__row").agg(F.collect_list(F.struct("word", "ids")).alias("__own"))
+    pairs = pairs.join(F.broadcast(common.select("word")), "word", "left_anti").select("__row", word_key(F.col("word")).alias("key"))
+    # Equal texts give their words once each; the set takes them together, so pairs move to their words and to their texts only.
+    own = pairs.join(rare_words.join(encoded, "key"), "key").groupBy("__row").agg(F.collect_set(F.struct("word", "ids")).alias("__own"))
     ids = _applied(model, shared)(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col("__own.word"), F.col("__own.ids"))
     return keyed.join(own, "__row", "left").select(*[F.col(f"`{n}`") for n in names if n != name], ids.alias(name))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 
@@ -74,6 +75,23 @@ def test_frequent_words_come_in_one_job(spark, library, monkeypatch):
     assert rows == {0: library.encode("the rare thing"), 1: library.encode("the the"), 2: []}
 
 
+def test_pairs_of_rare_words_move_to_words_and_texts_only(spark, library):
+    texts = [(i, f"the rare{i % 3} thing thing{i % 3}") for i in range(9)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = piece_lattice.encode(df, model_path(), frequent=2)
+    # Copies of a text are not brought together in a shuffle of their own.
+    assert not re.search(r"Exchange hashpartitioning\(__row#\w+, key#", got._jdf.queryExecution().executedPlan().toString())
+    assert {r.doc_id: list(r.ids) for r in got.collect()} == {i: library.encode(t) for i, t in texts}
+
+
+def test_flanks_are_numbers(spark):
+    parts = [(3, 0, 5), (16, 7, piece_lattice.LAST), (1, 0, 1)]
+    df = spark.createDataFrame([(piece_lattice.flank(*p),) for p in parts], "part long")
+    assert [tuple(r) for r in df.select(*piece_lattice.flank_fields(F.col("part"))).collect()] == parts
+    table = piece_lattice.piece_table(spark, model_path())
+    assert dict(table.dtypes)["left"] == dict(table.dtypes)["right"] == "array<bigint>"
+
+
 def test_decode_of_odd_ids(spark, library):
     rows = [(0, None), (1, []), (2, [1, 264, 2]), (3, library.encode("  é\U0001f600")), (4, [3 + 0xFF])]
     got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, ids array<int>").select("i", piece_lattice.decode(F.col("ids"), model_path()).alias("t")).collect()}
