@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pyarrow as pa
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pkgrisk.functions.distance import deletion_keys, transposition_distance
 from pkgrisk.functions.text import csv_cell, normalize_name, repository, tags
 from pkgrisk.operators.resolve import _key_sketch, candidate_names, parse_requests, similar_names, suggest_names
+from pkgrisk.session import Scratch
 
 
 def plain_distance(a: str, b: str) -> int:
@@ -129,6 +131,16 @@ def test_distance_is_computed_once(spark):
     assert plan.count("ArrowEvalPython") <= 2 and plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
 
 
+def test_names_and_their_keys_are_never_broadcast(spark, monkeypatch):
+    """Keys are estimated by the names, and names by their compressed file."""
+    df, frames, save = spark.createDataFrame([("serde",), ("tokio",)], "name string"), [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name: frames.append(frame) or save(self, frame, name))
+    frames += [suggest_names(df, df, df), candidate_names(df, df)]
+    plans = "".join(f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    joins = re.findall(r"(SortMerge|BroadcastHash)Join(?:\(skew=\w+\))? \[(key|w|o|name)#\d+L?\], ", plans)
+    assert {key for _, key in joins} == {"key", "w", "o", "name"} and {kind for kind, _ in joins} == {"SortMerge"}
+
+
 def test_suggestions(spark):
     crates = spark.createDataFrame([("serde",), ("serde-json",), ("serde_derive",), ("tokio",)], "name string")
     missing = spark.createDataFrame([("serdee",), ("serdejson",), ("abcd",)], "name string")
