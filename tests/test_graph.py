@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -177,3 +178,34 @@ def test_closure_broadcasts_nothing(spark):
     name = "closure_features"
     plan = _plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows of a state meet their roots as bits; what is made of them stays where it is."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    plan = _plan(g.reachable(edges)).split("Initial Plan")[-1]
+    assert "Generate" in plan and not {"Exchange", "Join"} & set(re.findall(r"Exchange|Join", plan[: plan.index("Generate")]))
+
+
+def test_features_without_effect_take_no_part(spark, monkeypatch):
+    """Nothing follows from std and alloc, so no root carries them; roots' own features are no facts of the rounds."""
+    found, derive = [], g.derive
+    monkeypatch.setattr(g, "derive", lambda *a, **b: found.append(derive(*a, **b)) or found[-1])
+    features = spark.createDataFrame(
+        [(p, *f) for p in "abc" for f in (("default", "std"), ("std", "alloc"), ("opt", "dep:d"))], "pkg_id string, feature string, activation string"
+    )
+    deps = spark.createDataFrame(
+        [(p, i, n, None, "normal", n == "d", True, ["opt"] if p == "a" else []) for p in "abc" for i, n in enumerate("nd")],
+        "pkg_id string, ord int, name string, rename string, kind string, optional boolean, uses_default_features boolean, features array<string>",
+    )
+    edges = spark.createDataFrame(
+        [("a", "n", "b", ["normal"]), ("b", "n", "c", ["normal"]), ("b", "d", "d", ["normal"])], "pkg_id string, dep_lib_name string, dep_pkg_id string, kinds array<string>"
+    )
+    on = spark.createDataFrame([("a", "default")], "pkg_id string, feature string")
+    roots = spark.createDataFrame([("a",)], "pkg_id string")
+    rows = g.closure_facts(roots, features, deps, edges, on, types=("standard",)).collect()
+    assert {tuple(r) for r in rows} == {("a", "standard", p) for p in "bcd"}
+    state = found[-1].state.join(found[-1].atoms, "id")
+    held = {tuple(r.atom.split(g._SEP)) for r in state.collect()}
+    assert {h for h in held if h[1] == "V"} == {("", "V", p) for p in "bcd"}
+    assert held - {("", "V", p) for p in "bcd"} <= {("", "F", "b", "opt")}
