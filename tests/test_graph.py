@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pkgrisk.operators import graph as g
+from pkgrisk.session import Scratch
 from pkgrisk.sources.landed import GRAPH_SCHEMA, graph_tables
 
 
@@ -209,3 +210,23 @@ def test_features_without_effect_take_no_part(spark, monkeypatch):
     held = {tuple(r.atom.split(g._SEP)) for r in state.collect()}
     assert {h for h in held if h[1] == "V"} == {("", "V", p) for p in "bcd"}
     assert held - {("", "V", p) for p in "bcd"} <= {("", "F", "b", "opt")}
+
+
+def test_atoms_that_bring_one_other_give_way_to_it(spark, monkeypatch):
+    """Rounds are as many as the longest way between atoms that are asked for or needed in pairs; rings keep their place."""
+    rules = [(f"p{i}", f"f{i}.0") for i in range(4)] + [(f"f{i}.{k}", f"f{i}.{k + 1}" if k < 2 else f"p{i + 1}") for i in range(4) for k in range(3)]
+    rules += [("p1", "x"), ("x", "y"), ("y", "x"), ("p2", "left"), ("left", "leftmost"), ("f0.1", "right"), ("both", "p9"), ("p4", "dead"), ("dead", "gone")]
+    single = spark.createDataFrame(rules, "src string, dst string")
+    both = spark.createDataFrame([("leftmost", "right", "both")], "left string, right string, dst string")
+    seeds = spark.createDataFrame([("r", "p0"), ("r", "dead"), ("s", "f3.1"), ("t", "right"), ("t", "p2")], "root string, atom string")
+    rounds, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: rounds.append(name) or save(self, df, name))
+
+    def found(asked=None):
+        rounds.clear()
+        pairs = {(r.root, r.atom) for r in g.as_pairs(g.derive(seeds, single, both, asked=asked)).collect()}
+        return {p for p in pairs if p[1].startswith("p")}, sum(name.startswith("round-") for name in rounds)
+
+    (want, before), (got, now) = found(), found(lambda atom: atom.startswith("p"))
+    assert got == want and ("t", "p9") in got and ("r", "p9") in got and ("s", "p4") in got
+    assert now <= 9 < 15 <= before
